@@ -28,10 +28,14 @@ def moving_average_valid(
     ``max_window``-row frame and the width is applied with ``slice``.
     """
     min_points = max_window if min_points is None else min_points
-    n = series.select(F.count(F.lit(1))).scalar()
-    width = F.least(F.lit(max_window), F.floor(n / 3).cast("int"))
+    n_sub = series.select(F.count(F.lit(1))).scalar()
     w_ord = Window.orderBy(order)
     frame = w_ord.rowsBetween(-(max_window - 1), Window.currentRow)
+    # The point count is a scalar subquery; lambdas may not hold one, so it is
+    # attached as a column before the width enters the slice/aggregate.
+    series = series.withColumn("__n", n_sub)
+    n = F.col("__n")
+    width = F.least(F.lit(max_window), F.floor(n / 3).cast("int"))
     out = series.withColumn("__pos", F.row_number().over(w_ord)).withColumn(
         "__frame", F.collect_list(F.col(value).cast("double")).over(frame)
     )
@@ -41,7 +45,7 @@ def moving_average_valid(
     return (
         out.withColumn("moving_avg", F.when(defined, avg))
         .withColumn("window", F.when(n > F.lit(min_points), width))
-        .drop("__pos", "__frame")
+        .drop("__pos", "__frame", "__n")
     )
 
 

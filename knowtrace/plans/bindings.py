@@ -90,3 +90,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "prompt",
         F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer"),
     )
+
+
+def conv_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests from conversations: each user turn, numbered 0.. in (conv_id, turn) order.
+
+    ``request_id`` is the ordinal as text (the typed family's id rule).
+    """
+    from knowtrace.operators.requests import with_ordinal
+
+    a = answers(spark, sf_dir)
+    a = with_ordinal(a, [F.col("conv_id").asc(), F.col("turn").asc()], "position")
+    return a.withColumn("request_id", F.col("position").cast("string"))

@@ -1 +1,435 @@
-"""Registered queries."""
+"""Registered queries: prompts, settings, request envelopes, response parsing
+and reconciliation (P9-P13, J3, J6, W9-W12, X19-X25, S5-S7, K3, F1, A9, T2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from knowtrace.functions import answers as A
+from knowtrace.functions.core import pystrip
+from knowtrace.operators import requests as R
+from knowtrace.operators import responses as S
+from knowtrace.operators import select
+from knowtrace.plans import bindings as B
+from knowtrace.plans.catalog import register
+from knowtrace.plans.oracle import RESULTS, with_
+from knowtrace.plans.oracle_answers import CONV_REQ, error, knows, response, strip
+
+TOP_MONTH = 10
+MIN_VIEWS = 100_000
+REASONING_VIEWS = 250_000
+TYPED_MODEL = "claude-opus-4-5"
+JSONL_MODEL = "gemini-3-flash-preview"
+
+# Model per order priority, used to exercise the family routing on real rows.
+PRIORITY_MODELS = [
+    ("1-URGENT", "gemini-3-pro-preview"),
+    ("2-HIGH", "Gemini-3-Flash-Preview"),
+    ("3-MEDIUM", "claude-opus-4-5"),
+    ("4-NOT SPECIFIED", "gpt-5.2"),
+    ("5-LOW", "o3-mini"),
+]
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@register(
+    "prompts",
+    with_(RESULTS) + "SELECT name, 'Is ' || name || ', ' || description || ', still alive?' AS prompt FROM results",
+)
+def prompts(spark, sf_dir):
+    r = B.results(spark, sf_dir)
+    return r.select("name", R.prompt("name", "description").alias("prompt"))
+
+
+def _priority_model_sql() -> str:
+    whens = " ".join(f"WHEN {_sql_str(p)} THEN {_sql_str(m)}" for p, m in PRIORITY_MODELS)
+    return f"CASE o_orderpriority {whens} END"
+
+
+def _settings_values_sql() -> str:
+    rows = []
+    for fam, lvl, mt, temp, system, *_ in R.SETTINGS_ROWS:
+        rows.append(f"({_sql_str(fam)}, {_sql_str(lvl)}, {mt}, {temp}, {_sql_str(system)})")
+    return "settings(family, level, max_tokens, temperature, system) AS (VALUES " + ", ".join(rows) + ")"
+
+
+@register(
+    "settings_join",
+    with_(
+        f"""m AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS name, {_priority_model_sql()} AS model,
+         floor(o_totalprice) >= {REASONING_VIEWS} AS reasoning FROM orders)""",
+        """f AS (
+  SELECT name, model, reasoning,
+         CASE WHEN contains(lower(model), 'gemini') THEN 'batch-jsonl'
+              WHEN contains(lower(model), 'claude') THEN 'batch-typed' ELSE 'sequential' END AS family
+  FROM m)""",
+        """l AS (
+  SELECT *, CASE WHEN family = 'batch-jsonl' THEN
+                   CASE WHEN reasoning OR contains(lower(model), 'gemini-3-pro') THEN 'low' ELSE 'disabled' END
+                 WHEN reasoning THEN 'on' ELSE 'off' END AS level
+  FROM f)""",
+        _settings_values_sql(),
+    )
+    + """SELECT l.name, l.model, l.family, l.level, CAST(s.max_tokens AS INTEGER) AS max_tokens,
+  CAST(s.temperature AS DOUBLE) AS temperature, s.system
+FROM l LEFT JOIN settings s ON s.family = l.family AND s.level = l.level""",
+)
+def settings_join(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders")
+    model = None
+    for p, m in PRIORITY_MODELS:
+        cond = F.col("o_orderpriority") == p
+        model = F.when(cond, F.lit(m)) if model is None else model.when(cond, F.lit(m))
+    df = o.select(
+        F.col("o_orderkey").cast("string").alias("name"),
+        model.alias("model"),
+        (F.floor("o_totalprice") >= REASONING_VIEWS).alias("reasoning"),
+    )
+    df = df.withColumn("family", A.model_family("model")).withColumn(
+        "level", R.settings_level("family", "reasoning", "model")
+    )
+    df = R.attach_settings(df)
+    return df.select("name", "model", "family", "level", "max_tokens", "temperature", "system")
+
+
+def _selected(spark, sf_dir):
+    r = B.results(spark, sf_dir)
+    return select.select_top(r, tie=["row_key"], top_per_month=TOP_MONTH, min_views_n=MIN_VIEWS)
+
+
+_SELECTED_SQL = with_(
+    RESULTS,
+    f"""sel AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY strftime(death_date, '%Y-%m') ORDER BY pageviews DESC, row_key) AS rn
+    FROM results WHERE pageviews >= {MIN_VIEWS}) t WHERE rn <= {TOP_MONTH})""",
+    """ord AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY strftime(death_date, '%Y-%m'), pageviews DESC, row_key) - 1 AS BIGINT)
+           AS position,
+         'Is ' || name || ', ' || description || ', still alive?' AS prompt
+  FROM sel)""",
+)
+
+
+def _order():
+    return select.selection_order("month", ["row_key"])
+
+
+@register(
+    "requests_typed",
+    _SELECTED_SQL
+    + f"""SELECT position, CAST(position AS VARCHAR) AS request_id, prompt,
+  json_object('custom_id', CAST(position AS VARCHAR),
+    'params', json_object('model', {_sql_str(TYPED_MODEL)}, 'max_tokens', 2, 'temperature', 0,
+      'system', {_sql_str(R.SYSTEM_TYPED)},
+      'messages', json_array(json_object('role', 'user', 'content', prompt)),
+      'thinking', json_object('type', 'disabled')))::VARCHAR AS payload
+FROM ord""",
+)
+def requests_typed(spark, sf_dir):
+    req = R.build_requests(_selected(spark, sf_dir), _order(), TYPED_MODEL, reasoning=False)
+    return req.select("position", "request_id", "prompt", "payload")
+
+
+@register(
+    "requests_jsonl",
+    _SELECTED_SQL
+    + f"""SELECT position, 'request-' || CAST(position AS VARCHAR) AS request_id, prompt,
+  json_object('key', 'request-' || CAST(position AS VARCHAR),
+    'request', json_object(
+      'contents', json_array(json_object('parts', json_array(json_object('text', prompt)), 'role', 'user')),
+      'systemInstruction', json_object('parts', json_array(json_object('text', {_sql_str(R.SYSTEM_REASONING)}))),
+      'generationConfig', json_object('temperature', 1.0::DOUBLE, 'maxOutputTokens', 200,
+                                      'thinkingConfig', json_object('thinkingLevel', 'LOW'))))::VARCHAR AS payload
+FROM ord""",
+)
+def requests_jsonl(spark, sf_dir):
+    req = R.build_requests(_selected(spark, sf_dir), _order(), JSONL_MODEL, reasoning=True)
+    return req.select("position", "request_id", "prompt", "payload")
+
+
+# --- answers from conversations ---------------------------------------------
+
+
+@register(
+    "yes_no_parse",
+    with_(CONV_REQ)
+    + f"""SELECT conv_id, turn, {knows(strip('answer'))} AS knows, {error(strip('answer'))} AS error
+FROM req WHERE answer IS NOT NULL""",
+)
+def yes_no_parse(spark, sf_dir):
+    a = B.answers(spark, sf_dir).where(F.col("answer").isNotNull())
+    parsed = A.yes_no_safe(pystrip("answer"))
+    return a.select("conv_id", "turn", parsed.getField("knows").alias("knows"), parsed.getField("error").alias("error"))
+
+
+@register(
+    "response_text",
+    with_(CONV_REQ) + f"SELECT conv_id, turn, {response(strip('answer'))} AS response FROM req WHERE answer IS NOT NULL",
+)
+def response_text_q(spark, sf_dir):
+    a = B.answers(spark, sf_dir).where(F.col("answer").isNotNull())
+    t = pystrip("answer")
+    return a.select("conv_id", "turn", A.response_text(t, A.yes_no_error(t)).alias("response"))
+
+
+def _succeeded(req):
+    """Answers as succeeded responses (no answer -> no response row)."""
+    return req.where(F.col("answer").isNotNull()).select(
+        "request_id",
+        F.lit("succeeded").alias("status"),
+        pystrip("answer").alias("text"),
+        F.lit(None).cast("string").alias("error"),
+        F.col("position").alias("seq"),
+    )
+
+
+@register(
+    "join_responses",
+    with_(CONV_REQ)
+    + f"""SELECT request_id, CASE WHEN answer IS NOT NULL THEN {knows(strip('answer'))} END AS knows,
+  CASE WHEN answer IS NULL THEN 'No result' ELSE {response(strip('answer'))} END AS response
+FROM req""",
+)
+def join_responses_q(spark, sf_dir):
+    req = B.conv_requests(spark, sf_dir)
+    scored = S.score(S.dedupe_last(_succeeded(req)))
+    return S.join_responses(req, scored).select("request_id", "knows", "response")
+
+
+# JSONL result lines rendered from the answers.  variant = conv_id % 7:
+# 0 plain; 1 text in the second part; 2 error object; 3 no candidates;
+# 4 empty response; 5 duplicate key (first line superseded); 6 malformed line.
+# Every conversation with conv_id % 5 = 0 also gets two lines with keys that
+# are rejected ('request-x', 'other-<i>').
+ERR_OBJ = '{"code":500,"message":"internal"}'
+
+
+def _jsonl_lines(req):
+    key = F.concat(F.lit("request-"), F.col("position").cast("string"))
+    v = F.col("conv_id") % 7
+    part = lambda thought, text: F.struct(thought.alias("thought"), text.alias("text"))
+    no_bool = F.lit(None).cast("boolean")
+    no_str = F.lit(None).cast("string")
+    parts = F.when(
+        v == 1, F.array(part(F.lit(True), no_str), part(no_bool, F.col("answer")))
+    ).otherwise(F.array(part(no_bool, F.col("answer"))))
+    cand = F.struct(F.struct(parts.alias("parts")).alias("content"))
+    ok_line = F.to_json(F.struct(key.alias("key"), F.struct(F.array(cand).alias("candidates")).alias("response")))
+    stale = F.to_json(
+        F.struct(
+            key.alias("key"),
+            F.struct(
+                F.array(F.struct(F.struct(F.array(part(no_bool, F.col("prompt"))).alias("parts")).alias("content"))).alias(
+                    "candidates"
+                )
+            ).alias("response"),
+        )
+    )
+    err_line = F.concat(F.lit('{"key":"'), key, F.lit('","error":' + ERR_OBJ + "}"))
+    nocand = F.concat(F.lit('{"key":"'), key, F.lit('","response":{"candidates":[]}}'))
+    empty = F.concat(F.lit('{"key":"'), key, F.lit('","response":{}}'))
+    broken = F.concat(F.lit('{"key":"'), key, F.lit('","response":'))
+    main = (
+        F.when(v == 2, err_line).when(v == 3, nocand).when(v == 4, empty).when(v == 6, broken).otherwise(ok_line)
+    )
+    line = lambda value, sub: F.struct(value.alias("value"), F.lit(sub).alias("sub"))
+    lines = F.array(
+        F.when(v == 5, line(stale, 0)),
+        line(main, 1),
+        F.when(F.col("conv_id") % 5 == 0, line(F.lit('{"key":"request-x","response":{}}'), 2)),
+        F.when(
+            F.col("conv_id") % 5 == 0,
+            line(F.concat(F.lit('{"key":"other-'), F.col("position").cast("string"), F.lit('"}')), 3),
+        ),
+    )
+    rows = req.where(F.col("answer").isNotNull()).select("position", F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("l"))
+    return rows.select(
+        F.col("l.value").alias("value"),
+        F.struct(F.col("position"), F.col("l.sub").alias("sub")).alias("seq"),
+    )
+
+
+@register(
+    "jsonl_responses",
+    with_(CONV_REQ)
+    + f"""SELECT request_id,
+  CASE WHEN answer IS NOT NULL AND conv_id % 7 IN (0, 1, 5) THEN {knows(strip('answer'))} END AS knows,
+  CASE WHEN answer IS NULL OR conv_id % 7 = 6 THEN 'No result'
+       WHEN conv_id % 7 = 2 THEN 'Error: {ERR_OBJ}'
+       WHEN conv_id % 7 = 3 THEN 'Error: No candidates in response'
+       WHEN conv_id % 7 = 4 THEN 'Error: No response or error in result'
+       ELSE {response(strip('answer'))} END AS response
+FROM req""",
+)
+def jsonl_responses(spark, sf_dir):
+    req = B.conv_requests(spark, sf_dir)
+    parsed = S.parse_jsonl_lines(_jsonl_lines(req))
+    scored = S.score(S.dedupe_last(parsed))
+    return S.join_responses(req, scored).select("request_id", "knows", "response")
+
+
+@register(
+    "dedupe_last",
+    """SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text, max(turn) AS seq
+FROM conversations GROUP BY conv_id""",
+)
+def dedupe_last_q(spark, sf_dir):
+    c = B.table(spark, sf_dir, "conversations")
+    return S.dedupe_last(c.select("conv_id", "role", "text", F.col("turn").alias("seq")), key="conv_id", seq="seq")
+
+
+# Typed result entries: variant = conv_id % 4: 0 succeeded with text,
+# 1 succeeded with no content, 2 errored, 3 expired; no answer -> canceled.
+def _typed_entries(req):
+    v = F.col("conv_id") % 4
+    typ = (
+        F.when(F.col("answer").isNull(), F.lit("canceled"))
+        .when(v == 2, F.lit("errored"))
+        .when(v == 3, F.lit("expired"))
+        .otherwise(F.lit("succeeded"))
+    )
+    content = F.when(
+        (v == 0) & F.col("answer").isNotNull(),
+        F.array(F.struct(F.lit("text").alias("type"), F.col("answer").alias("text"))),
+    ).when(v == 1, F.array().cast("array<struct<type:string,text:string>>"))
+    msg = F.struct(content.alias("content"))
+    entry = F.to_json(
+        F.struct(
+            F.col("request_id").alias("custom_id"),
+            F.struct(typ.alias("type"), F.when(typ == "succeeded", msg).alias("message")).alias("result"),
+        )
+    )
+    return req.select(entry.alias("value"), F.col("position").alias("seq"))
+
+
+@register(
+    "typed_responses",
+    with_(CONV_REQ)
+    + f"""SELECT request_id,
+  CASE WHEN answer IS NOT NULL AND conv_id % 4 = 0 THEN {knows(strip('answer'))} END AS knows,
+  CASE WHEN answer IS NULL THEN 'Error: canceled'
+       WHEN conv_id % 4 = 1 THEN 'Error parsing response: list index out of range'
+       WHEN conv_id % 4 = 2 THEN 'Error: errored'
+       WHEN conv_id % 4 = 3 THEN 'Error: expired'
+       ELSE {response(strip('answer'))} END AS response
+FROM req""",
+)
+def typed_responses(spark, sf_dir):
+    req = B.conv_requests(spark, sf_dir)
+    scored = S.score(S.dedupe_last(S.parse_typed_results(_typed_entries(req))))
+    return S.join_responses(req, scored).select("request_id", "knows", "response")
+
+
+@register(
+    "response_status_counts",
+    with_(CONV_REQ)
+    + """SELECT CASE WHEN answer IS NULL THEN 'canceled' WHEN conv_id % 4 = 2 THEN 'errored'
+            WHEN conv_id % 4 = 3 THEN 'expired' ELSE 'succeeded' END AS status, count(*) AS n
+FROM req GROUP BY 1""",
+)
+def response_status_counts(spark, sf_dir):
+    from knowtrace.operators.metrics import response_status_counts as counts
+
+    entries = _typed_entries(B.conv_requests(spark, sf_dir))
+    typ = F.from_json("value", S.TYPED_SCHEMA).getField("result").getField("type")
+    return counts(entries.select(typ.alias("status")))
+
+
+@register(
+    "inline_positional",
+    with_(CONV_REQ)
+    + f"""SELECT request_id,
+  CASE WHEN answer IS NOT NULL AND answer <> '' THEN {knows(strip('answer'))} END AS knows,
+  CASE WHEN answer IS NULL THEN 'Error: No response'
+       WHEN answer = '' THEN 'Error: Could not parse response'
+       ELSE {response(strip('answer'))} END AS response
+FROM req""",
+)
+def inline_positional(spark, sf_dir):
+    req = B.conv_requests(spark, sf_dir)
+    inline = req.select(
+        "position",
+        F.col("answer").isNotNull().alias("has_response"),
+        F.when(F.col("answer") != "", F.col("answer")).alias("text"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    scored = S.score(S.responses_by_position(inline))
+    return S.join_responses(req, scored).select("request_id", "knows", "response")
+
+
+@register(
+    "prefix_before_error",
+    with_(
+        CONV_REQ,
+        f"""s AS (SELECT request_id, position, CASE WHEN answer IS NOT NULL THEN {knows(strip('answer'))} END AS knows,
+                CASE WHEN answer IS NULL THEN 'No result' ELSE {response(strip('answer'))} END AS response FROM req)""",
+    )
+    + """SELECT request_id, knows, response FROM s
+WHERE position < coalesce((SELECT min(position) FROM s WHERE knows IS NULL), 9223372036854775807)""",
+)
+def prefix_before_error(spark, sf_dir):
+    """Sequential family - a missing or unparsable answer is fatal; keep what came before."""
+    req = B.conv_requests(spark, sf_dir)
+    joined = S.join_responses(req, S.score(_succeeded(req)))
+    return S.prefix_before_error(joined, "position", F.col("knows").isNull()).select("request_id", "knows", "response")
+
+
+@register(
+    "retry_ladder",
+    with_(CONV_REQ)
+    + """SELECT request_id,
+  CAST(CASE WHEN length(answer) <= 200 THEN 0 WHEN length(answer) <= 400 THEN 1 ELSE 2 END AS INTEGER) AS attempt,
+  CAST(CASE WHEN length(answer) <= 200 THEN 200 WHEN length(answer) <= 400 THEN 400 ELSE 800 END AS INTEGER) AS "limit",
+  CASE WHEN length(answer) <= 800 THEN 'stop' ELSE 'length' END AS finish,
+  CASE WHEN length(answer) <= 800 THEN answer ELSE '' END AS text
+FROM req WHERE answer IS NOT NULL""",
+)
+def retry_ladder(spark, sf_dir):
+    """Answer length stands for the tokens a reasoning answer needs; each
+    attempt under that budget comes back empty with finish 'length'."""
+    req = B.conv_requests(spark, sf_dir).where(F.col("answer").isNotNull())
+    ladder = S.limit_ladder(R.RETRY_START, R.RETRY_CAP)
+    att = req.select(
+        "request_id", "answer", F.posexplode(F.array(*[F.lit(x) for x in ladder])).alias("attempt", "limit")
+    )
+    fits = F.length("answer") <= F.col("limit")
+    att = att.select(
+        "request_id",
+        F.col("attempt").cast("int").alias("attempt"),
+        F.col("limit").cast("int").alias("limit"),
+        F.when(fits, F.lit("stop")).otherwise(F.lit("length")).alias("finish"),
+        F.when(fits, F.col("answer")).otherwise(F.lit("")).alias("text"),
+    )
+    out = S.resolve_attempts(att, cap=R.RETRY_CAP)
+    return out.select("request_id", "attempt", "limit", "finish", "text")
+
+
+def parity_responder(prompt: str) -> str:
+    """Deterministic stand-in for a model: 'No' for even-length prompts, 'Yes' for odd;
+    fails on an empty prompt."""
+    if not prompt:
+        raise ValueError("empty prompt")
+    return "No" if len(prompt) % 2 == 0 else "Yes"
+
+
+@register(
+    "responder",
+    with_(CONV_REQ)
+    + """SELECT request_id,
+  CASE WHEN coalesce(prompt, '') = '' THEN NULL WHEN length(prompt) % 2 = 0 THEN TRUE ELSE FALSE END AS knows,
+  CASE WHEN coalesce(prompt, '') = '' THEN 'Error: ValueError: empty prompt'
+       WHEN length(prompt) % 2 = 0 THEN 'No' ELSE 'Yes' END AS response
+FROM req""",
+)
+def responder(spark, sf_dir):
+    req = B.conv_requests(spark, sf_dir)
+    answered = S.apply_responder(req, parity_responder)
+    return S.join_responses(req, S.score(answered)).select("request_id", "knows", "response")
+
+
+

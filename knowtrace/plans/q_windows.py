@@ -1 +1,83 @@
-"""Registered queries."""
+"""Registered queries: period top-N and moving averages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from knowtrace.operators import metrics, select, smoothing
+from knowtrace.plans import bindings as B
+from knowtrace.plans.catalog import register
+from knowtrace.plans.oracle import DAILY, MONTHLY, RESULTS, with_
+
+TOP_DAY = 3
+TOP_MONTH = 10
+TOP_MONTH_MIN_VIEWS = 100_000
+TREND_MIN_SAMPLES = 100
+
+
+def _topn_sql(period_fmt: str, n: int, min_views: int | None) -> str:
+    where = f"WHERE pageviews >= {min_views}" if min_views else ""
+    return with_(RESULTS) + f"""SELECT name, death_date, pageviews, rank FROM (
+  SELECT name, death_date, pageviews,
+         CAST(row_number() OVER (PARTITION BY strftime(death_date, '{period_fmt}')
+                                 ORDER BY pageviews DESC, row_key) AS BIGINT) AS rank
+  FROM results {where}) t
+WHERE rank <= {n}"""
+
+
+@register("top_n_day", _topn_sql("%Y-%m-%d", TOP_DAY, None))
+def top_n_day(spark, sf_dir):
+    r = select.select_top(B.results(spark, sf_dir), tie=["row_key"], top_per_day=TOP_DAY)
+    return r.select("name", "death_date", "pageviews", "rank")
+
+
+@register("top_n_month", _topn_sql("%Y-%m", TOP_MONTH, TOP_MONTH_MIN_VIEWS))
+def top_n_month(spark, sf_dir):
+    r = select.select_top(
+        B.results(spark, sf_dir), tie=["row_key"], top_per_month=TOP_MONTH, min_views_n=TOP_MONTH_MIN_VIEWS
+    )
+    return r.select("name", "death_date", "pageviews", "rank")
+
+
+@register(
+    "daily_moving_avg",
+    with_(
+        RESULTS,
+        DAILY,
+        "s AS (SELECT day, accuracy, row_number() OVER (ORDER BY day) AS pos FROM daily WHERE accuracy IS NOT NULL)",
+        "p AS (SELECT count(*) AS n, least(7, count(*) // 3) AS w FROM s)",
+    )
+    + """SELECT s.day, s.accuracy,
+  CASE WHEN p.n > 7 AND s.pos >= p.w THEN
+    round((SELECT sum(s2.accuracy * (1.0 / p.w)) FROM s s2 WHERE s2.pos BETWEEN s.pos - p.w + 1 AND s.pos), 6)
+  END AS moving_avg,
+  CASE WHEN p.n > 7 THEN CAST(p.w AS BIGINT) END AS width
+FROM s, p""",
+)
+def daily_moving_avg(spark, sf_dir):
+    """Daily accuracy (NULL days dropped first) with the adaptive valid-mode average."""
+    daily = select.known_accuracy(metrics.accuracy_by(B.results(spark, sf_dir), "day")).select("day", "accuracy")
+    ma = smoothing.moving_average_valid(daily, "accuracy", "day")
+    return ma.select(
+        "day", "accuracy", F.round("moving_avg", 6).alias("moving_avg"), F.col("window").cast("bigint").alias("width")
+    )
+
+
+@register(
+    "monthly_moving_avg",
+    with_(RESULTS, MONTHLY)
+    + f"""SELECT month, accuracy, correct + incorrect AS n_known,
+  round(avg(accuracy) OVER (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving_avg
+FROM monthly WHERE accuracy IS NOT NULL AND correct + incorrect >= {TREND_MIN_SAMPLES}""",
+)
+def monthly_moving_avg(spark, sf_dir):
+    """Month accuracy, minimum-sample filter *before* the 3-month trailing average."""
+    m = metrics.accuracy_by(B.results(spark, sf_dir), "month")
+    m = select.known_accuracy(select.min_samples(m, TREND_MIN_SAMPLES))
+    ma = smoothing.moving_average_trailing(m, "accuracy", "month", 3)
+    return ma.select(
+        "month",
+        "accuracy",
+        (F.col("correct") + F.col("incorrect")).alias("n_known"),
+        F.round("moving_avg", 6).alias("moving_avg"),
+    )
