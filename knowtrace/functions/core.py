@@ -45,7 +45,7 @@ def tri_state_text(c: ColumnOrName) -> Column:
 
 def parse_date(c: ColumnOrName) -> Column:
     """``strptime(s, '%Y-%m-%d')``: accepts unpadded month/day, NULL on garbage."""
-    return F.try_to_date(_c(c), F.lit("yyyy-M-d"))
+    return F.try_to_date(_c(c), "yyyy-M-d")
 
 
 def day_key(c: ColumnOrName) -> Column:

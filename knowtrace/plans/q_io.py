@@ -1 +1,297 @@
-"""Registered queries."""
+"""Registered queries: CSV round trip, run labels and run comparison, number
+labels, resume by month, text report (S1, S2, K1, K2, K4-K6, U1-U3, J4,
+X22, X23, X28, T3, C6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from knowtrace.functions import labels as L
+from knowtrace.functions.core import month_key, pct_text, py_fixed, thousands
+from knowtrace.operators import ingest, metrics, pageviews
+from knowtrace.plans import bindings as B
+from knowtrace.plans.catalog import register
+from knowtrace.plans.oracle import MONTHLY, RESULTS, with_
+from knowtrace.plans.q_requests import PRIORITY_MODELS
+from knowtrace.plans.render import SQL_SOURCES, render_pages
+from knowtrace.session import work_path
+from knowtrace.sources import csv_io
+
+RESUME_EXISTING_BEFORE = "1998-01-01"
+RESUME_START, RESUME_END = "1997-07-01", "1999-12-31"
+PENDING_START, PENDING_END = "1994-06-01", "2002-03-31"
+
+# Run parameters per order priority (each priority plays one model run).
+RUN_MIN_VIEWS = {"1-URGENT": 500_000, "2-HIGH": 1_500_000, "3-MEDIUM": 2_000_000, "4-NOT SPECIFIED": 999_500, "5-LOW": None}
+# Expected parse of those names (Python title-case/upper-case rules, read off by hand).
+RUN_TITLES = {
+    "1-URGENT": ("Gemini 3 Pro Preview", "All deaths with minimum 500 thousand views"),
+    "2-HIGH": ("Gemini 3 Flash Preview", "All deaths with minimum 1.5 million views"),
+    "3-MEDIUM": ("Claude Opus 4 5", "All deaths with minimum 2 million views"),
+    "4-NOT SPECIFIED": ("GPT 5.2", "All deaths with minimum 1000 thousand views"),
+    "5-LOW": ("O3Mini High", "Knowledge of deaths by month"),
+}
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _results_with_text(spark, sf_dir):
+    """Results whose text fields carry commas, quotes and newlines."""
+    o = B.table(spark, sf_dir, "orders")
+    r = B.results(spark, sf_dir)
+    return r.join(o.select(F.col("o_orderkey").alias("row_key"), "o_orderpriority"), "row_key").select(
+        "name",
+        "death_date",
+        F.concat(F.lit("customer "), F.col("description"), F.lit(", order")).alias("description"),
+        "pageviews",
+        "knows",
+        F.concat(F.lit('Answer "'), F.col("o_orderpriority"), F.lit('", then\nmore')).alias("response"),
+    )
+
+
+@register(
+    "csv_round_trip",
+    with_(RESULTS)
+    + """SELECT r.name, r.death_date, 'customer ' || r.description || ', order' AS description, r.pageviews, r.knows,
+  'Answer "' || o.o_orderpriority || '", then' || chr(10) || 'more' AS response
+FROM results r JOIN orders o ON o.o_orderkey = r.row_key""",
+)
+def csv_round_trip(spark, sf_dir):
+    """K2 then S1: every field quoted, quotes doubled, embedded newlines kept, tri-state exact."""
+    path = work_path(spark, "csv_round_trip")
+    csv_io.write_results(_results_with_text(spark, sf_dir), path)
+    back = csv_io.read_results(spark, path)
+    return back.select("name", "death_date", "description", "pageviews", "knows", "response")
+
+
+def _run_label_col():
+    model = None
+    mv = None
+    for p, m in PRIORITY_MODELS:
+        cond = F.col("o_orderpriority") == p
+        model = F.when(cond, F.lit(m)) if model is None else model.when(cond, F.lit(m))
+        v = RUN_MIN_VIEWS[p]
+        lit = F.lit(v).cast("bigint") if v is not None else F.lit(None).cast("bigint")
+        mv = F.when(cond, lit) if mv is None else mv.when(cond, lit)
+    return L.run_label(model, F.lit("1995-01-01"), F.lit("2001-12-31"), top_per_month=F.lit(0), min_views=mv)
+
+
+def _case(col: str, mapping: dict[str, str]) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in mapping.items()) + " END"
+
+
+@register(
+    "compare_runs",
+    with_(RESULTS)
+    + f"""SELECT {_case('o.o_orderpriority', {k: v[0] for k, v in RUN_TITLES.items()})} AS model,
+  {_case('o.o_orderpriority', {k: v[1] for k, v in RUN_TITLES.items()})} AS subtitle,
+  strftime(r.death_date, '%Y-%m') AS month,
+  count(*) FILTER (WHERE knows) AS correct, count(*) FILTER (WHERE NOT knows) AS incorrect,
+  count(*) FILTER (WHERE knows IS NULL) AS unknown, count(*) AS total,
+  CAST(count(*) FILTER (WHERE knows) AS DOUBLE) / nullif(count(*) FILTER (WHERE knows IS NOT NULL), 0) * 100 AS accuracy
+FROM results r JOIN orders o ON o.o_orderkey = r.row_key
+GROUP BY 1, 2, 3""",
+)
+def compare_runs(spark, sf_dir):
+    """K6 + T3: write one run per priority as ``run=<label>`` partitions, read them
+    all back, parse model and subtitle from the run name, accuracy by (model, month)."""
+    o = B.table(spark, sf_dir, "orders")
+    r = B.results(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("row_key"), "o_orderpriority"), "row_key")
+    runs = r.select("name", "death_date", "description", "pageviews", "knows", F.lit("").alias("response"), _run_label_col().alias("run"))
+    path = work_path(spark, "runs")
+    csv_io.write_results(runs, path)
+    back = csv_io.read_results(spark, path)
+    dims = ingest.with_run_dimensions(back)
+    return metrics.accuracy_by(dims, ["model", "subtitle", "month"])
+
+
+def _compact_sql(x: str) -> str:
+    return (
+        f"(CASE WHEN {x} >= 1000000 THEN replace(printf('%.1f', {x} / 1000000.0) || ' million', '.0 million', ' million')"
+        f" WHEN {x} >= 1000 THEN printf('%.0f', {x} / 1000.0) || ' thousand' ELSE CAST({x} AS VARCHAR) END)"
+    )
+
+
+@register(
+    "number_labels",
+    with_(RESULTS)
+    + f"""SELECT strftime(death_date, '%Y-%m') AS month, CAST(sum(pageviews) AS BIGINT) AS total_views,
+  {_compact_sql('sum(pageviews)')} AS total_label, {_compact_sql('min(pageviews)')} AS min_label,
+  {_compact_sql('max(pageviews)')} AS max_label, {_compact_sql('avg(pageviews)::BIGINT * 3')} AS scaled_label
+FROM results GROUP BY 1""",
+)
+def number_labels(spark, sf_dir):
+    """X22 on per-month view aggregates (exact Python rounding, ties included)."""
+    r = B.results(spark, sf_dir)
+    agg = r.groupBy(month_key("death_date").alias("month")).agg(
+        F.sum("pageviews").alias("total_views"),
+        F.min("pageviews").alias("mn"),
+        F.max("pageviews").alias("mx"),
+        F.avg("pageviews").alias("av"),
+    )
+    return agg.select(
+        "month",
+        F.col("total_views").cast("bigint").alias("total_views"),
+        L.compact_number("total_views").alias("total_label"),
+        L.compact_number("mn").alias("min_label"),
+        L.compact_number("mx").alias("max_label"),
+        L.compact_number(F.round("av").cast("bigint") * 3).alias("scaled_label"),
+    )
+
+
+@register(
+    "file_labels",
+    with_(
+        RESULTS,
+        f"""g AS (
+  SELECT o.o_orderpriority AS prio, {_case('o.o_orderpriority', dict(PRIORITY_MODELS))} AS model,
+         min(r.death_date) AS d, count(*) AS n,
+         CASE WHEN o.o_orderpriority = '5-LOW' THEN NULL ELSE min(r.pageviews) * 100 END AS mv
+  FROM results r JOIN orders o ON o.o_orderkey = r.row_key GROUP BY o.o_orderpriority)""",
+    )
+    + f"""SELECT replace(replace(model, '/', '-'), ':', '-') || '_' || CAST(d AS VARCHAR) || '_to_' || CAST(d AS VARCHAR)
+    || '_topmonth-' || CASE WHEN n % 7 > 0 THEN CAST(n % 7 AS VARCHAR) ELSE 'all' END
+    || '_minviews-' || coalesce(CAST(mv AS VARCHAR), 'none') || '.csv' AS label,
+  {_case('prio', {k: v[0] for k, v in RUN_TITLES.items()})} AS model,
+  CASE WHEN mv IS NULL THEN 'Knowledge of deaths by month'
+       ELSE 'All deaths with minimum ' || {_compact_sql('mv')} || ' views' END AS subtitle
+FROM g""",
+)
+def file_labels(spark, sf_dir):
+    """K6 names built from per-run aggregates, then parsed back."""
+    o = B.table(spark, sf_dir, "orders")
+    r = B.results(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("row_key"), "o_orderpriority"), "row_key")
+    model = None
+    for p, m in PRIORITY_MODELS:
+        cond = F.col("o_orderpriority") == p
+        model = F.when(cond, F.lit(m)) if model is None else model.when(cond, F.lit(m))
+    g = r.groupBy("o_orderpriority").agg(
+        F.min("death_date").alias("d"), F.count(F.lit(1)).alias("n"), F.min("pageviews").alias("minpv")
+    )
+    mv = F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None).cast("bigint")).otherwise(F.col("minpv") * 100)
+    g = g.withColumn("model", model).withColumn("mv", mv)
+    label = L.run_label("model", F.col("d"), F.col("d"), top_per_month=F.col("n") % 7, min_views="mv")
+    g = g.withColumn("label", label)
+    return g.select("label", L.model_title("label").alias("model"), L.views_subtitle("label").alias("subtitle"))
+
+
+def _months_sql(start: str, end: str) -> str:
+    return (
+        f"SELECT strftime(m, '%Y-%m') AS month_key FROM generate_series(DATE_TRUNC('month', DATE '{start}'), "
+        f"DATE '{end}', INTERVAL 1 MONTH) AS g(m)"
+    )
+
+
+@register(
+    "pending_months",
+    _months_sql(PENDING_START, PENDING_END)
+    + " EXCEPT SELECT DISTINCT strftime(CAST(o_orderdate AS DATE), '%Y-%m') FROM orders",
+)
+def pending_months(spark, sf_dir):
+    """Months of the range not present in the existing output (the orders)."""
+    todo = ingest.pending_months(spark, PENDING_START, PENDING_END, B.entities(spark, sf_dir))
+    return todo.select("month_key")
+
+
+@register(
+    "resume_union",
+    with_(
+        SQL_SOURCES,
+        f"""ok AS (SELECT okey, t, d FROM src WHERE shape IN (0, 1, 2, 3, 7)
+  AND d BETWEEN DATE '{RESUME_EXISTING_BEFORE}' AND DATE '{RESUME_END}')""",
+        """v AS (SELECT 'Person_' || CAST(l_orderkey AS VARCHAR) AS article, CAST(l_shipdate AS DATE) AS day FROM lineitem)""",
+        """new_rows AS (SELECT DISTINCT ok.okey, ok.d FROM ok JOIN v ON v.article = replace(ok.t, ' ', '_')
+  AND v.day BETWEEN ok.d - 1 AND ok.d + 58)""",
+        f"""old_rows AS (SELECT o_orderkey AS okey, CAST(o_orderdate AS DATE) AS d FROM orders
+  WHERE CAST(o_orderdate AS DATE) < DATE '{RESUME_EXISTING_BEFORE}')""",
+    )
+    + """SELECT strftime(d, '%Y-%m') AS month, count(*) AS n
+FROM (SELECT d FROM old_rows UNION ALL SELECT d FROM new_rows) u GROUP BY 1""",
+)
+def resume_union(spark, sf_dir):
+    """The existing output covers every month before 1998; a run for
+    mid-1997..1999 collects only 1998-1999 from the pages and keeps the rest."""
+    existing = B.results(spark, sf_dir).where(F.col("death_date") < F.lit(RESUME_EXISTING_BEFORE))
+    existing = existing.select("name", "death_date", "description", "pageviews")
+    li = B.table(spark, sf_dir, "lineitem")
+    views = pageviews.daily_views(
+        li.select(
+            F.concat(F.lit("Person_"), F.col("l_orderkey").cast("string")).alias("article"),
+            F.to_date("l_shipdate").alias("day"),
+            F.col("l_quantity").cast("bigint").alias("views"),
+        )
+    )
+    out = ingest.ingest_months(render_pages(spark, sf_dir), views, existing, RESUME_START, RESUME_END)
+    return metrics.count_by_month(out)
+
+
+@register(
+    "report_rows",
+    with_(RESULTS, MONTHLY)
+    + """SELECT 'overall' AS section, 'Total tested: ' || CAST(count(*) AS VARCHAR) AS text FROM results
+UNION ALL SELECT 'overall', '  Knows death: ' || CAST(count(*) FILTER (WHERE knows) AS VARCHAR) || ' ('
+  || printf('%.1f', CAST(count(*) FILTER (WHERE knows) AS DOUBLE) / count(*) * 100) || '%)' FROM results
+UNION ALL SELECT 'overall', '  Doesn''t know: ' || CAST(count(*) FILTER (WHERE NOT knows) AS VARCHAR) || ' ('
+  || printf('%.1f', CAST(count(*) FILTER (WHERE NOT knows) AS DOUBLE) / count(*) * 100) || '%)' FROM results
+UNION ALL SELECT 'overall', '  Errors: ' || CAST(count(*) FILTER (WHERE knows IS NULL) AS VARCHAR) || ' ('
+  || printf('%.1f', CAST(count(*) FILTER (WHERE knows IS NULL) AS DOUBLE) / count(*) * 100) || '%)' FROM results
+  HAVING count(*) FILTER (WHERE knows IS NULL) > 0
+UNION ALL SELECT 'stats', CASE WHEN knows THEN '  Deaths model KNOWS (n=' ELSE '  Deaths model DOESN''T KNOW (n=' END
+  || CAST(count(*) AS VARCHAR) || '): Min: ' || format('{:,}', min(pageviews)) || '  Max: ' || format('{:,}', max(pageviews))
+  || '  Mean: ' || format('{:,.0f}', avg(pageviews)) || '  Median: ' || format('{:,.0f}', CAST(median(pageviews) AS DOUBLE))
+  FROM results WHERE knows IS NOT NULL GROUP BY knows
+UNION ALL SELECT 'month', '  ' || month || ': ' || CASE WHEN accuracy IS NULL THEN 'N/A' ELSE printf('%.1f', accuracy) || '%' END
+  || ' (' || CAST(correct AS VARCHAR) || '/' || CAST(correct + incorrect AS VARCHAR) || ' known)' FROM monthly""",
+)
+def report_rows(spark, sf_dir):
+    """The text report (overall, view statistics per outcome, by month) as rows."""
+    r = B.results(spark, sf_dir)
+    o = metrics.overall_summary(r)
+
+    def line(label, count_col, pct_col):
+        return F.concat(F.lit(label), F.col(count_col).cast("string"), F.lit(" ("), pct_text(pct_col), F.lit(")"))
+
+    overall = o.select(
+        F.explode(
+            F.array(
+                F.concat(F.lit("Total tested: "), F.col("total").cast("string")),
+                line("  Knows death: ", "correct", "pct_correct"),
+                line("  Doesn't know: ", "incorrect", "pct_incorrect"),
+                F.when(F.col("unknown") > 0, line("  Errors: ", "unknown", "pct_unknown")),
+            )
+        ).alias("text")
+    ).where(F.col("text").isNotNull()).select(F.lit("overall").alias("section"), "text")
+    st = metrics.pageview_stats(r)
+    stats = st.select(
+        F.lit("stats").alias("section"),
+        F.concat(
+            F.when(F.col("knows"), F.lit("  Deaths model KNOWS (n=")).otherwise(F.lit("  Deaths model DOESN'T KNOW (n=")),
+            F.col("count").cast("string"),
+            F.lit("): Min: "),
+            thousands("min_views"),
+            F.lit("  Max: "),
+            thousands("max_views"),
+            F.lit("  Mean: "),
+            py_fixed("mean_views", 0, grouping=True),
+            F.lit("  Median: "),
+            py_fixed("median_views", 0, grouping=True),
+        ).alias("text"),
+    )
+    m = metrics.accuracy_by(r, "month")
+    months = m.select(
+        F.lit("month").alias("section"),
+        F.concat(
+            F.lit("  "),
+            F.col("month"),
+            F.lit(": "),
+            pct_text("accuracy"),
+            F.lit(" ("),
+            F.col("correct").cast("string"),
+            F.lit("/"),
+            (F.col("correct") + F.col("incorrect")).cast("string"),
+            F.lit(" known)"),
+        ).alias("text"),
+    )
+    return overall.unionByName(stats).unionByName(months)

@@ -27,7 +27,7 @@ PRIORITY_MODELS = [
     ("2-HIGH", "Gemini-3-Flash-Preview"),
     ("3-MEDIUM", "claude-opus-4-5"),
     ("4-NOT SPECIFIED", "gpt-5.2"),
-    ("5-LOW", "o3-mini"),
+    ("5-LOW", "o3mini-high"),
 ]
 
 
