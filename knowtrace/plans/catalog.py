@@ -40,6 +40,7 @@ def _load() -> None:
     from knowtrace.plans import q_requests  # noqa: F401
     from knowtrace.plans import q_wikitext  # noqa: F401
     from knowtrace.plans import q_io  # noqa: F401
+    from knowtrace.plans import q_stream  # noqa: F401
 
 
 _loaded = False
