@@ -36,9 +36,12 @@ def log_edges(lo: Column, hi: Column, num_bins: int, mode: str = "clamped") -> C
         return raw
     if mode != "clamped":
         raise ValueError("edges must be 'clamped' or 'float'")
+    lo_d, hi_d = lo.cast("double"), hi.cast("double")
+    # Interior edges are clamped into [lo, hi] so the array stays monotonic even
+    # when rounding pushes 10**log10(x) past x (e.g. min == max).
     return F.transform(
         raw,
-        lambda e, i: F.when(i == 0, lo.cast("double")).when(i == num_bins, hi.cast("double")).otherwise(e),
+        lambda e, i: F.when(i == 0, lo_d).when(i == num_bins, hi_d).otherwise(F.greatest(lo_d, F.least(hi_d, e))),
     )
 
 

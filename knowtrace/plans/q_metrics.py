@@ -67,7 +67,10 @@ def _bins_sql(mode: str) -> str:
     inner = "pow(10, i * ((log10(hi) - log10(lo)) / 10) + log10(lo))"
     last = "pow(10, log10(hi))"
     if mode == "clamped":
-        edge = f"CASE WHEN i = 0 THEN CAST(lo AS DOUBLE) WHEN i = 10 THEN CAST(hi AS DOUBLE) ELSE {inner} END"
+        edge = (
+            "CASE WHEN i = 0 THEN CAST(lo AS DOUBLE) WHEN i = 10 THEN CAST(hi AS DOUBLE) "
+            f"ELSE greatest(CAST(lo AS DOUBLE), least(CAST(hi AS DOUBLE), {inner})) END"
+        )
     else:
         edge = f"CASE WHEN i = 10 THEN {last} ELSE {inner} END"
     return (
