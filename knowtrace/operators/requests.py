@@ -102,8 +102,17 @@ def with_ordinal(df: DataFrame, order: Sequence[Column], name: str = "position")
     Global sort (range-partitioned, parallel) -> per-partition row counts (one
     row per partition) -> running offsets over those few rows -> offset plus
     the row's index inside its partition.  ``order`` must be a total order.
+
+    The sorted, tagged rows are read by two branches (counts and data).  Each
+    branch would otherwise plan its own range shuffle, whose sampled bounds
+    are seeded per RDD and need not agree, so the tagged frame is cut with a
+    reliable checkpoint into the shared folder first (one eager job): both
+    branches then read the same partitions, and a lost executor recomputes
+    nothing inconsistent.
     """
-    tagged = (
+    from knowtrace.session import cut_lineage
+
+    tagged = cut_lineage(
         df.orderBy(*order)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__mono", F.monotonically_increasing_id())
