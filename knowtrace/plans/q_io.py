@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from knowtrace.functions import labels as L
-from knowtrace.functions.core import month_key, pct_text, py_fixed, thousands
-from knowtrace.operators import ingest, metrics, pageviews
+from knowtrace.functions.core import month_key
+from knowtrace.operators import ingest, metrics, pageviews, report
 from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import MONTHLY, RESULTS, with_
@@ -224,7 +224,11 @@ def resume_union(spark, sf_dir):
         )
     )
     out = ingest.ingest_months(render_pages(spark, sf_dir), views, existing, RESUME_START, RESUME_END)
-    return metrics.count_by_month(out)
+    # K1/K5 then S2: the merged table is written as the versioned entity CSV and read back.
+    base = work_path(spark, "resume") + "/deaths.csv"
+    csv_io.write_entities(out, base, version="1.0")
+    back = csv_io.read_entities(spark, csv_io.versioned_path(base, "1.0"))
+    return metrics.count_by_month(back)
 
 
 @register(
@@ -247,51 +251,4 @@ UNION ALL SELECT 'month', '  ' || month || ': ' || CASE WHEN accuracy IS NULL TH
 )
 def report_rows(spark, sf_dir):
     """The text report (overall, view statistics per outcome, by month) as rows."""
-    r = B.results(spark, sf_dir)
-    o = metrics.overall_summary(r)
-
-    def line(label, count_col, pct_col):
-        return F.concat(F.lit(label), F.col(count_col).cast("string"), F.lit(" ("), pct_text(pct_col), F.lit(")"))
-
-    overall = o.select(
-        F.explode(
-            F.array(
-                F.concat(F.lit("Total tested: "), F.col("total").cast("string")),
-                line("  Knows death: ", "correct", "pct_correct"),
-                line("  Doesn't know: ", "incorrect", "pct_incorrect"),
-                F.when(F.col("unknown") > 0, line("  Errors: ", "unknown", "pct_unknown")),
-            )
-        ).alias("text")
-    ).where(F.col("text").isNotNull()).select(F.lit("overall").alias("section"), "text")
-    st = metrics.pageview_stats(r)
-    stats = st.select(
-        F.lit("stats").alias("section"),
-        F.concat(
-            F.when(F.col("knows"), F.lit("  Deaths model KNOWS (n=")).otherwise(F.lit("  Deaths model DOESN'T KNOW (n=")),
-            F.col("count").cast("string"),
-            F.lit("): Min: "),
-            thousands("min_views"),
-            F.lit("  Max: "),
-            thousands("max_views"),
-            F.lit("  Mean: "),
-            py_fixed("mean_views", 0, grouping=True),
-            F.lit("  Median: "),
-            py_fixed("median_views", 0, grouping=True),
-        ).alias("text"),
-    )
-    m = metrics.accuracy_by(r, "month")
-    months = m.select(
-        F.lit("month").alias("section"),
-        F.concat(
-            F.lit("  "),
-            F.col("month"),
-            F.lit(": "),
-            pct_text("accuracy"),
-            F.lit(" ("),
-            F.col("correct").cast("string"),
-            F.lit("/"),
-            (F.col("correct") + F.col("incorrect")).cast("string"),
-            F.lit(" known)"),
-        ).alias("text"),
-    )
-    return overall.unionByName(stats).unionByName(months)
+    return report.recall_report(B.results(spark, sf_dir))["report_rows"]

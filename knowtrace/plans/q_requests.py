@@ -14,6 +14,8 @@ from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import RESULTS, with_
 from knowtrace.plans.oracle_answers import CONV_REQ, error, knows, response, strip
+from knowtrace.session import work_path
+from knowtrace.sources.jsonl import read_responses_jsonl, write_requests_jsonl
 
 TOP_MONTH = 10
 MIN_VIEWS = 100_000
@@ -148,8 +150,20 @@ def requests_typed(spark, sf_dir):
 FROM ord""",
 )
 def requests_jsonl(spark, sf_dir):
+    """P12 JSONL shape, written with the K3 sink and read back line by line."""
     req = R.build_requests(_selected(spark, sf_dir), _order(), JSONL_MODEL, reasoning=True)
-    return req.select("position", "request_id", "prompt", "payload")
+    path = work_path(spark, "requests_jsonl")
+    write_requests_jsonl(req, path)
+    lines = spark.read.text(path)
+    key = F.get_json_object("value", "$.key")
+    back = lines.select(
+        key.alias("request_id"),
+        F.get_json_object("value", "$.request.contents[0].parts[0].text").alias("prompt"),
+        F.col("value").alias("payload"),
+    )
+    return back.select(
+        F.split_part("request_id", F.lit("-"), F.lit(2)).cast("bigint").alias("position"), "request_id", "prompt", "payload"
+    )
 
 
 # --- answers from conversations ---------------------------------------------
@@ -268,7 +282,12 @@ FROM req""",
 )
 def jsonl_responses(spark, sf_dir):
     req = B.conv_requests(spark, sf_dir)
-    parsed = S.parse_jsonl_lines(_jsonl_lines(req))
+    # The result lines go through real files: a sorted write keeps line order
+    # within each file and file names (part-NNNNN) in key order, which is the
+    # order the reader's sequence (file, split start, row) restores.
+    path = work_path(spark, "responses_jsonl")
+    _jsonl_lines(req).orderBy("seq").select("value").write.mode("overwrite").text(path)
+    parsed = read_responses_jsonl(spark, path)
     scored = S.score(S.dedupe_last(parsed))
     return S.join_responses(req, scored).select("request_id", "knows", "response")
 

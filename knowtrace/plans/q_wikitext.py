@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knowtrace.operators import metrics, pageviews, select
+from knowtrace.operators import ingest, metrics, pageviews
 from knowtrace.operators import wikitext as W
 from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
@@ -107,11 +107,6 @@ GROUP BY e.okey, e.name, e.death_date, e.description""",
 )
 def parse_pages_round_trip(spark, sf_dir):
     """T4 end to end: pages in range -> parse -> date filter -> 60-day views -> drop missing."""
-    pages = render_pages(spark, sf_dir)
-    months = W.month_starts(spark, COLLECT_START, COLLECT_END)
-    pages = W.month_pages(pages, months)
-    ent, _ = W.parse_pages(pages)
-    ent = select.date_range(ent, COLLECT_START, COLLECT_END)
     li = B.table(spark, sf_dir, "lineitem")
     views = pageviews.daily_views(
         li.select(
@@ -120,8 +115,8 @@ def parse_pages_round_trip(spark, sf_dir):
             F.col("l_quantity").cast("bigint").alias("views"),
         )
     )
-    att = select.drop_missing_article(pageviews.attach_pageviews(ent, views))
-    return att.select("name", "death_date", "description", "pageviews")
+    ent, _ = ingest.collect_entities(render_pages(spark, sf_dir), views, COLLECT_START, COLLECT_END)
+    return ent.select("name", "death_date", "description", "pageviews")
 
 
 @register(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knowtrace.operators import metrics, select, smoothing
+from knowtrace.operators import metrics, report, select, smoothing
 from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import DAILY, MONTHLY, RESULTS, with_
@@ -13,6 +13,7 @@ TOP_DAY = 3
 TOP_MONTH = 10
 TOP_MONTH_MIN_VIEWS = 100_000
 TREND_MIN_SAMPLES = 100
+TREND_RUN = "gpt-5.2_1995-01-01_to_2001-12-31_topmonth-100_minviews-500000.csv"
 
 
 def _topn_sql(period_fmt: str, n: int, min_views: int | None) -> str:
@@ -67,17 +68,12 @@ def daily_moving_avg(spark, sf_dir):
     "monthly_moving_avg",
     with_(RESULTS, MONTHLY)
     + f"""SELECT month, accuracy, correct + incorrect AS n_known,
-  round(avg(accuracy) OVER (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving_avg
+  round(avg(accuracy) OVER (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving_avg,
+  'GPT 5.2' AS model, 'All deaths with minimum 500 thousand views' AS subtitle
 FROM monthly WHERE accuracy IS NOT NULL AND correct + incorrect >= {TREND_MIN_SAMPLES}""",
 )
 def monthly_moving_avg(spark, sf_dir):
-    """Month accuracy, minimum-sample filter *before* the 3-month trailing average."""
-    m = metrics.accuracy_by(B.results(spark, sf_dir), "month")
-    m = select.known_accuracy(select.min_samples(m, TREND_MIN_SAMPLES))
-    ma = smoothing.moving_average_trailing(m, "accuracy", "month", 3)
-    return ma.select(
-        "month",
-        "accuracy",
-        (F.col("correct") + F.col("incorrect")).alias("n_known"),
-        F.round("moving_avg", 6).alias("moving_avg"),
-    )
+    """Month accuracy, minimum-sample filter *before* the 3-month trailing average,
+    with the model and subtitle parsed from the run name."""
+    t = report.monthly_trend(B.results(spark, sf_dir), TREND_MIN_SAMPLES, TREND_RUN)
+    return t.withColumn("moving_avg", F.round("moving_avg", 6))
