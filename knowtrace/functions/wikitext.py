@@ -66,13 +66,14 @@ NAME_CHECKED = ("colon", "short_name", "bad_two_letter", "no_content", "short_de
 
 
 def is_end_section(line: ColumnOrName) -> Column:
-    return _c(line).rlike(RE_END)
+    ln = _c(line)
+    return ln.startswith("==") & ln.rlike(RE_END)
 
 
 def header_day(line: ColumnOrName) -> Column:
     """Day number of a day header line, NULL for any other line."""
     ln = _c(line)
-    return F.when(ln.rlike(RE_DAY), F.regexp_extract(ln, RE_DAY, 1).try_cast("int"))
+    return F.when(ln.startswith("==") & ln.rlike(RE_DAY), F.regexp_extract(ln, RE_DAY, 1).try_cast("int"))
 
 
 def is_top_bullet(line: ColumnOrName) -> Column:
@@ -90,12 +91,19 @@ def strip_bullets(c: ColumnOrName) -> Column:  # X1
     return F.regexp_replace(_c(c), RE_BULLETS, "")
 
 
+def _guarded(c: Column, needle: str, out: Column) -> Column:
+    """Run a rewrite only on strings that contain its marker (most lines do not)."""
+    return F.when(c.contains(needle), out).otherwise(c)
+
+
 def strip_comments(c: ColumnOrName) -> Column:  # X2 (no trim afterwards)
-    return F.regexp_replace(_c(c), RE_COMMENT, "")
+    c = _c(c)
+    return _guarded(c, "<!--", F.regexp_replace(c, RE_COMMENT, ""))
 
 
 def strip_ext_links(c: ColumnOrName) -> Column:  # X3
-    return F.regexp_replace(_c(c), RE_EXT_LINK, "")
+    c = _c(c)
+    return _guarded(c, "[http", F.regexp_replace(c, RE_EXT_LINK, ""))
 
 
 def foreign_link(c: ColumnOrName) -> Column:  # X4: anchored, case-sensitive
@@ -103,10 +111,11 @@ def foreign_link(c: ColumnOrName) -> Column:  # X4: anchored, case-sensitive
 
 
 def norm_circa(c: ColumnOrName) -> Column:  # X5
-    out = _c(c)
+    c = _c(c)
+    out = c
     for pat in RE_CIRCA:
         out = F.regexp_replace(out, pat, CIRCA_TEXT)
-    return out
+    return _guarded(c, "{{", out)
 
 
 def lead_link(entry: ColumnOrName) -> Column:  # X6
@@ -126,11 +135,14 @@ def drop_age(after_name: ColumnOrName) -> Column:  # X7: the age itself is disca
 
 
 def unwrap_links(c: ColumnOrName) -> Column:  # X8
-    return F.regexp_replace(_c(c), RE_LINK, "$2")
+    c = _c(c)
+    return _guarded(c, "[[", F.regexp_replace(c, RE_LINK, "$2"))
 
 
 def strip_markup(c: ColumnOrName) -> Column:  # X9: tags, then templates
-    return F.regexp_replace(F.regexp_replace(_c(c), RE_TAG, ""), RE_TEMPLATE, "")
+    c = _c(c)
+    no_tags = _guarded(c, "<", F.regexp_replace(c, RE_TAG, ""))
+    return F.when(no_tags.contains("{{"), F.regexp_replace(no_tags, RE_TEMPLATE, "")).otherwise(no_tags)
 
 
 def trim_punct(c: ColumnOrName) -> Column:  # X10
@@ -138,7 +150,8 @@ def trim_punct(c: ColumnOrName) -> Column:  # X10
 
 
 def drop_year_range(c: ColumnOrName) -> Column:  # X11
-    return pystrip(F.regexp_replace(_c(c), RE_YEAR_RANGE, ""))
+    c = _c(c)
+    return pystrip(_guarded(c, "(", F.regexp_replace(c, RE_YEAR_RANGE, "")))
 
 
 def cut_top_level(c: ColumnOrName) -> Column:  # X12

@@ -44,11 +44,10 @@ def _classified(pages: DataFrame, page_id: str, year: str, month: str, text: str
         "line",
         X.is_end_section(ln).cast("int").alias("is_end"),
         X.header_day(ln).alias("hday"),
-        ln.rlike(X.RE_DAY).alias("is_hdr"),
         X.is_top_bullet(ln).alias("top"),
         X.is_sub_bullet(ln).alias("sub"),
-        (pystrip(ln) == "").alias("blank"),
-    )
+        ln.rlike(r"(?U)^\s*$").alias("blank"),
+    ).withColumn("is_hdr", F.col("hday").isNotNull())
 
 
 def _line_state(cls: DataFrame, keep: list[str]) -> DataFrame:
@@ -89,22 +88,50 @@ def page_lines(pages: DataFrame, page_id: str = "page_id", year: str = "year", m
 _ENTRY_COLS = ["__entry", "__foreign", "__link_ok", "__title", "__name", "__content", "__desc"]
 
 
+def _staged(df: DataFrame, steps: list[tuple[str, object]]) -> DataFrame:
+    """Apply ``(name, fn)`` steps, each reading the previous step's column.
+
+    Every step is its own projection: the guarded rewrites read their input
+    twice (marker test + rewrite), and a column reference there costs nothing
+    where an inlined expression would be evaluated twice per level.
+    """
+    for name, fn in steps:
+        df = df.withColumn(name, fn)
+    return df
+
+
 def _entry_columns(lines: DataFrame) -> DataFrame:
     """X1-X12 on every line that holds a link, staged over projections so each
     regex runs once per line.  Runs *before* the page window: the window is a
     barrier for filter push-down, so later filters on the outcome read these
     materialised columns instead of re-inlining the chain."""
     has = F.col("line").contains("[[")
-    entry = X.norm_circa(X.strip_ext_links(X.strip_comments(X.strip_bullets("line"))))
-    df = lines.withColumn("__entry", F.when(has, entry))
+    df = _staged(
+        lines,
+        [
+            ("__e1", F.when(has, X.strip_bullets("line"))),
+            ("__e2", X.strip_comments("__e1")),
+            ("__e3", X.strip_ext_links("__e2")),
+            ("__entry", X.norm_circa("__e3")),
+        ],
+    )
     df = df.withColumn("__link", X.lead_link("__entry")).withColumn("__foreign", X.foreign_link("__entry"))
     ok = F.col("__link").getField("ok")
     after = F.col("__link").getField("rest")
-    df = df.withColumn("__content", F.when(ok, X.has_content(after))).withColumn(
-        "__pre", F.when(ok & X.has_content(after), X.describe_prefix(after))
+    df = df.withColumn("__content", F.when(ok, X.has_content(after)))
+    df = _staged(
+        df,
+        [
+            ("__d0", F.when(F.col("__content"), after)),
+            ("__d1", X.drop_age("__d0")),
+            ("__d2", X.unwrap_links("__d1")),
+            ("__d3", X.strip_markup("__d2")),
+            ("__d4", X.trim_punct("__d3")),
+            ("__pre", X.drop_year_range("__d4")),
+            ("__cut", X.cut_index("__pre")),
+            ("__desc", X.apply_cut("__pre", "__cut")),
+        ],
     )
-    df = df.withColumn("__cut", X.cut_index("__pre"))
-    df = df.withColumn("__desc", X.apply_cut("__pre", "__cut"))
     return df.select(
         *lines.columns,
         "__entry",

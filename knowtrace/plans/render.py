@@ -109,16 +109,26 @@ def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "okey",
         F.posexplode(entry_lines()).alias("k", "text"),
     )
-    header = F.when(F.col("day") % 2 == 0, F.concat(F.lit("=="), F.col("day").cast("string"), F.lit("==")))
-    header = header.otherwise(F.concat(F.lit("=== "), F.col("day").cast("string"), F.lit(" ===")))
-    heads = items.select("page_id", "year", "month", "day").distinct().select(
-        "page_id", "year", "month", "day", F.lit(-1).cast("bigint").alias("okey"), F.lit(0).alias("k"), header.alias("text")
-    )
-    allrows = items.unionByName(heads)
-    grouped = allrows.groupBy("page_id", "year", "month").agg(
+    grouped = items.groupBy("page_id", "year", "month").agg(
         F.sort_array(F.collect_list(F.struct("day", "okey", "k", "text"))).alias("items")
     )
-    body = F.transform("items", lambda x: x.getField("text"))
+
+    def header(day):
+        d = day.cast("string")
+        return F.when(day % 2 == 0, F.concat(F.lit("=="), d, F.lit("=="))).otherwise(
+            F.concat(F.lit("=== "), d, F.lit(" ==="))
+        )
+
+    # A day header goes before the first line of each day (items are sorted by day).
+    body = F.flatten(
+        F.transform(
+            "items",
+            lambda x, i: F.when(
+                (i == 0) | (x.getField("day") != F.get(F.col("items"), i - 1).getField("day")),
+                F.array(header(x.getField("day")), x.getField("text")),
+            ).otherwise(F.array(x.getField("text"))),
+        )
+    )
     intro = F.array(
         F.lit("{{Short description|None}}"),
         F.concat(F.lit("The following notable deaths occurred in "), month_title("year", "month"), F.lit(".")),
