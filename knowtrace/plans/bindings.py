@@ -33,8 +33,34 @@ def outcome_text(status: str = "o_orderstatus"):
     return F.when(s == "F", F.lit("True")).when(s == "O", F.lit("False")).otherwise(F.lit(""))
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+def scan_filter(
+    df: DataFrame, ts_col: str | None = None, start=None, end=None, value_col: str | None = None, min_value=None
+) -> DataFrame:
+    """Predicates on the *stored* columns, equivalent to the derived-column
+    filters the operators apply (date = to_date(ts), views = floor(value)), so
+    Parquet gets them as PushedFilters and skips row groups.
+
+    ``to_date(ts) in [start, end]``  <=>  ``start <= ts < end + 1 day``;
+    ``floor(v) >= n`` (integer n)    <=>  ``v >= n``.
+    """
+    import datetime as _dt
+
+    def as_day(d):
+        return d if isinstance(d, _dt.date) else _dt.date.fromisoformat(str(d))
+
+    if ts_col is not None and start is not None:
+        lo = _dt.datetime.combine(as_day(start), _dt.time())
+        df = df.where(F.col(ts_col) >= F.lit(lo).cast("timestamp_ntz"))
+    if ts_col is not None and end is not None:
+        hi = _dt.datetime.combine(as_day(end) + _dt.timedelta(days=1), _dt.time())
+        df = df.where(F.col(ts_col) < F.lit(hi).cast("timestamp_ntz"))
+    if value_col is not None and min_value:
+        df = df.where(F.col(value_col) >= F.lit(float(int(min_value))))
+    return df
+
+
+def results(spark: SparkSession, sf_dir: str, start=None, end=None, min_views=None) -> DataFrame:
+    o = scan_filter(table(spark, sf_dir, "orders"), "o_orderdate", start, end, "o_totalprice", min_views)
     return o.select(
         F.col("o_orderkey").cast("string").alias("name"),
         F.to_date("o_orderdate").alias("death_date"),

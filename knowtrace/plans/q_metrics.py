@@ -146,7 +146,7 @@ def count_by_month(spark, sf_dir):
 WHERE death_date BETWEEN DATE '{DATE_START}' AND DATE '{DATE_END}'""",
 )
 def date_range(spark, sf_dir):
-    r = select.date_range(B.results(spark, sf_dir), DATE_START, DATE_END)
+    r = select.date_range(B.results(spark, sf_dir, start=DATE_START, end=DATE_END), DATE_START, DATE_END)
     return r.select("name", "death_date", "pageviews", "knows")
 
 
@@ -155,7 +155,8 @@ def date_range(spark, sf_dir):
     with_(RESULTS) + f"SELECT name, death_date, pageviews FROM results WHERE pageviews >= {MIN_VIEWS}",
 )
 def min_views_q(spark, sf_dir):
-    return select.min_views(B.results(spark, sf_dir), MIN_VIEWS).select("name", "death_date", "pageviews")
+    r = B.results(spark, sf_dir, min_views=MIN_VIEWS)
+    return select.min_views(r, MIN_VIEWS).select("name", "death_date", "pageviews")
 
 
 @register(

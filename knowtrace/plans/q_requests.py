@@ -99,7 +99,7 @@ def settings_join(spark, sf_dir):
 
 
 def _selected(spark, sf_dir):
-    r = B.results(spark, sf_dir)
+    r = B.results(spark, sf_dir, min_views=MIN_VIEWS)
     return select.select_top(r, tie=["row_key"], top_per_month=TOP_MONTH, min_views_n=MIN_VIEWS)
 
 

@@ -11,6 +11,7 @@ from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import with_
 from knowtrace.plans.render import SQL_EMITTED, SQL_SOURCES, render_pages
+from knowtrace.session import cut_lineage
 
 COLLECT_START, COLLECT_END = "1996-03-01", "1997-06-30"
 PAGES_START, PAGES_END = "1996-01-15", "1996-12-31"
@@ -86,6 +87,8 @@ FROM src WHERE shape IN (4, 5, 6)""",
 )
 def corrections(spark, sf_dir):
     _, rej = W.parse_pages(render_pages(spark, sf_dir))
+    # The rejects feed both sides of the corrections join: parse once, reliably checkpointed.
+    rej = cut_lineage(rej)
     fixed = W.apply_corrections(rej, _corrections(rej))
     return fixed.select("name", "article_title", "death_date", "description")
 

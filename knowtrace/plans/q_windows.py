@@ -35,7 +35,10 @@ def top_n_day(spark, sf_dir):
 @register("top_n_month", _topn_sql("%Y-%m", TOP_MONTH, TOP_MONTH_MIN_VIEWS))
 def top_n_month(spark, sf_dir):
     r = select.select_top(
-        B.results(spark, sf_dir), tie=["row_key"], top_per_month=TOP_MONTH, min_views_n=TOP_MONTH_MIN_VIEWS
+        B.results(spark, sf_dir, min_views=TOP_MONTH_MIN_VIEWS),
+        tie=["row_key"],
+        top_per_month=TOP_MONTH,
+        min_views_n=TOP_MONTH_MIN_VIEWS,
     )
     return r.select("name", "death_date", "pageviews", "rank")
 

@@ -27,9 +27,14 @@ DEFAULT_CONF = {
 
 def get_spark(master: str | None = None, app: str = "knowtrace", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
+    settings = {**DEFAULT_CONF, **conf}
     if master:
         builder = builder.master(master)
-    for k, v in {**DEFAULT_CONF, **conf}.items():
+        # Local mode: the driver JVM is also the executor, so it needs the heap.
+        # (On a cluster the deploy sets driver/executor memory.)
+        if master.startswith("local") and "spark.driver.memory" not in settings:
+            settings["spark.driver.memory"] = os.environ.get("KNOWTRACE_DRIVER_MEMORY", "16g")
+    for k, v in settings.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
