@@ -2,8 +2,9 @@
 
 A file-source stream over a directory of page files; each micro-batch is
 parsed (T1), joined to the static daily-view table (J1), rows without an
-article dropped (P3), and appended to the entity output partitioned by
-month; rejects go to a sibling folder.  The checkpoint records which files
+article dropped (P3), and written to the entity output under
+``epoch=<batch id>/month=<YYYY-MM>``; rejects go to a sibling folder.  Each
+epoch owns its folder and overwrites it, so a replayed batch is idempotent.  The checkpoint records which files
 were consumed, so a re-run with ``availableNow`` processes only new files
 (the streaming form of the reference's resume-by-month).
 """
@@ -51,8 +52,10 @@ def stream_ingest(
         out = att.select("name", "article_title", "death_date", "description", "pageviews").withColumn(
             "month", month_key("death_date")
         )
-        out.write.mode("append").partitionBy("month").parquet(f"{out_dir}/entities")
-        rej.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(f"{out_dir}/rejects")
+        # foreachBatch is at-least-once: a replayed epoch rewrites its own folder
+        # (overwrite) instead of appending twice, so retries leave no duplicates.
+        out.write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/entities/epoch={epoch_id}")
+        rej.write.mode("overwrite").parquet(f"{out_dir}/rejects/epoch={epoch_id}")
 
     q = (
         pages.writeStream.foreachBatch(process)

@@ -1,0 +1,85 @@
+"""CSV wire format, resume rule and the two streaming jobs."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from knowtrace.operators import ingest, metrics, pageviews
+from knowtrace.session import work_path
+from knowtrace.sources import csv_io
+from knowtrace.streaming.accuracy import stream_accuracy
+from knowtrace.streaming.ingest import stream_ingest
+
+
+def _results(spark):
+    rows = [
+        ("Ann, Example", dt.date(2024, 1, 5), 'singer "A"\nline two', 10, True, "No"),
+        ("Bo", dt.date(2024, 1, 6), " padded ", 0, False, "Yes"),
+        ("Cy", dt.date(2024, 2, 1), "", 5, None, ""),
+    ]
+    return spark.createDataFrame(
+        rows, "name string, death_date date, description string, pageviews long, knows boolean, response string"
+    )
+
+
+def test_results_csv_round_trip(spark):
+    path = work_path(spark, "test_csv")
+    csv_io.write_results(_results(spark), path)
+    raw = spark.read.text(path).collect()
+    assert raw[0].value == '"name","death_date","description","pageviews","llm_knows_death","llm_response"'
+    back = {r.name: r for r in csv_io.read_results(spark, path).collect()}
+    assert back["Ann, Example"].description == 'singer "A"\nline two'
+    assert back["Bo"].description == " padded "  # whitespace kept
+    assert (back["Ann, Example"].knows, back["Bo"].knows, back["Cy"].knows) == (True, False, None)
+    assert back["Cy"].pageviews == 5
+
+
+def test_results_missing_and_extra_columns(spark):
+    empty = csv_io.read_results(spark, work_path(spark, "none") + "/nothing.csv", missing_ok=True)
+    assert empty.count() == 0
+    try:
+        csv_io.write_results(_results(spark).withColumn("extra", F.lit(1)), work_path(spark, "x"))
+    except ValueError as e:
+        assert "extra" in str(e)
+    else:
+        raise AssertionError("extra column must be rejected")
+    assert csv_io.versioned_path("deaths_data.csv", "1.0") == "deaths_data_v1.0.csv"
+
+
+def test_pending_months_rule(spark):
+    existing = spark.createDataFrame([(dt.date(2024, 2, 3),)], "death_date date")
+    todo = ingest.pending_months(spark, "2024-01-15", "2024-03-31", existing)
+    assert [r.month_key for r in todo.orderBy("month_start").collect()] == ["2024-01", "2024-03"]
+
+
+def test_stream_accuracy_equals_batch(spark):
+    base = work_path(spark, "test_stream_acc")
+    rows = [(str(i), dt.date(2024, 1 + i % 5, 1 + i % 27), i, [True, False, None][i % 3]) for i in range(500)]
+    df = spark.createDataFrame(rows, "name string, death_date date, pageviews long, knows boolean")
+    df.repartition(5).write.parquet(f"{base}/in")
+    stream_accuracy(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", max_files_per_trigger=2)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{base}/out").select("month", "correct", "incorrect", "unknown", "total").collect())
+    want = sorted(tuple(r) for r in metrics.accuracy_by(df, "month").select("month", "correct", "incorrect", "unknown", "total").collect())
+    assert got == want
+
+
+def test_stream_ingest_incremental(spark):
+    base = work_path(spark, "test_stream_ingest")
+    page = "==1==\n* [[Ann Example]], 40, Danish painter\n* [[Bo Example]], 50, Danish singer"
+    pages = spark.createDataFrame(
+        [("p1", "Deaths in January 2024", 2024, 1, page)], "page_id string, title string, year int, month int, text string"
+    )
+    views = pageviews.daily_views(
+        spark.createDataFrame(
+            [("Ann_Example", dt.date(2024, 1, 3), 7), ("Bo_Example", dt.date(2024, 2, 3), 9)],
+            "article string, day date, views long",
+        )
+    )
+    pages.write.mode("append").parquet(f"{base}/in")
+    stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", views)
+    first = spark.read.parquet(f"{base}/out/entities").count()
+    stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", views)  # nothing new
+    assert spark.read.parquet(f"{base}/out/entities").count() == first == 2
+    pages.withColumn("page_id", F.lit("p2")).write.mode("append").parquet(f"{base}/in")
+    stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", views)
+    assert spark.read.parquet(f"{base}/out/entities").count() == 4
