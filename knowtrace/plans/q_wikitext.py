@@ -21,7 +21,7 @@ SUGGESTION_SQL = "suggestion"
 
 @register(
     "page_lines",
-    with_(SQL_SOURCES, SQL_EMITTED) + "SELECT line, day, parent_item FROM emitted",
+    with_(SQL_SOURCES, SQL_EMITTED) + "SELECT line, CAST(day AS INTEGER) AS day, parent_item FROM emitted",
 )
 def page_lines(spark, sf_dir):
     lines = W.page_lines(render_pages(spark, sf_dir))
