@@ -96,12 +96,23 @@ def versioned_path(base: str, version: str) -> str:
 
 
 def _write(df: DataFrame, path: str, mode: str, partition_by: list[str] | None) -> bool:
-    if df.isEmpty():  # the reference writes nothing for an empty run
-        return False
+    """Write once; if no data row came out, remove the output again.
+
+    The reference writes nothing for an empty run.  Checking emptiness
+    *before* the write would run the whole upstream plan (sort, shuffles)
+    twice; reading the first data row of what was written costs one small scan.
+    """
     w = df.write.mode(mode).options(**WRITE_OPTS)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
+    spark = df.sparkSession
+    written = spark.read.options(header="true", multiLine="true").csv(path)
+    if written.isEmpty():
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        return False
     return True
 
 

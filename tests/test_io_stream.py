@@ -83,3 +83,12 @@ def test_stream_ingest_incremental(spark):
     pages.withColumn("page_id", F.lit("p2")).write.mode("append").parquet(f"{base}/in")
     stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", views)
     assert spark.read.parquet(f"{base}/out/entities").count() == 4
+
+
+def test_empty_write_leaves_nothing(spark):
+    import os
+
+    path = work_path(spark, "empty_out") + "/deaths.csv"
+    empty = _results(spark).where(F.lit(False))
+    assert csv_io.write_results(empty, path) is False
+    assert not os.path.exists(path.replace("file:", ""))
