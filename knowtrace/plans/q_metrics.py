@@ -183,15 +183,12 @@ def min_samples_q(spark, sf_dir):
 FROM results GROUP BY 1""",
 )
 def split_outcomes_q(spark, sf_dir):
+    """P7 in one pass: the three-way split as a label column, then one aggregate
+    (``select.split_outcomes`` gives the three frames when they are needed apart)."""
     r = B.results(spark, sf_dir)
-    t, f, e = select.split_outcomes(r)
-    parts = [
-        t.select(F.lit("knows").alias("outcome"), "pageviews"),
-        f.select(F.lit("does_not_know").alias("outcome"), "pageviews"),
-        e.select(F.lit("error").alias("outcome"), "pageviews"),
-    ]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("pageviews").cast("bigint").alias("views"))
+    return r.groupBy(select.outcome_label().alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pageviews").cast("bigint").alias("views")
+    )
 
 
 @register(
