@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from knowtrace.functions.core import month_key
 from knowtrace.operators import pageviews, select
 from knowtrace.operators import wikitext as W
+from knowtrace.session import cut_lineage
 
 
 def completed_months(existing: DataFrame, date_col: str = "death_date") -> DataFrame:
@@ -50,7 +51,10 @@ def collect_entities(
     months = months if months is not None else W.month_starts(spark, start, end)
     wanted = W.month_pages(pages, months, title)
     ent, rejects = W.parse_pages(wanted)
-    ent = select.date_range(ent, start, end)
+    # The view join reads its entity input three times (date bounds, day
+    # spans, join back); checkpoint the parsed rows once to the shared folder
+    # rather than parse three times.
+    ent = cut_lineage(select.date_range(ent, start, end))
     att = select.drop_missing_article(pageviews.attach_pageviews(ent, views))
     return att, rejects
 

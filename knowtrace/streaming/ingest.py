@@ -47,7 +47,12 @@ def stream_ingest(
     pages = reader.load(in_dir)
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        ent, rej = W.parse_pages(batch)
+        # One parse feeds two sinks and the view join (which reads its input
+        # three times): persist it for this batch only (spills to disk; a lost
+        # block is recomputed from the batch's files).
+        parsed = W.parse_all(batch).persist()
+        ent = parsed.where(F.col("code") == "ok").select(*W.ENTITY_COLS)
+        rej = parsed.where(F.col("code") != "ok").select(*W.REJECT_COLS)
         att = select.drop_missing_article(pageviews.attach_pageviews(ent, views))
         out = att.select("name", "article_title", "death_date", "description", "pageviews").withColumn(
             "month", month_key("death_date")
@@ -56,6 +61,7 @@ def stream_ingest(
         # (overwrite) instead of appending twice, so retries leave no duplicates.
         out.write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/entities/epoch={epoch_id}")
         rej.write.mode("overwrite").parquet(f"{out_dir}/rejects/epoch={epoch_id}")
+        parsed.unpersist()
 
     q = (
         pages.writeStream.foreachBatch(process)
