@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowtrace.functions.core import accuracy_pct, day_key, month_key
@@ -77,27 +77,63 @@ def overall_summary(results: DataFrame, knows: str = "knows") -> DataFrame:
     )
 
 
+def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Exact median of ``value`` per ``group`` (mean of the two middle values
+    when the count is even), computed without gathering a group in one task.
+
+    1. ``(group, value) -> n``: a partial aggregate, so a hot value is one row.
+    2. Global sort of those rows (range-partitioned; distinct keys split
+       evenly), reliably checkpointed so every branch reads the same partitions.
+    3. Per (partition, group) sums -> offsets of each partition inside its
+       group (a few rows per partition, broadcast).
+    4. Running sum inside each range partition -> each value covers the ranks
+       ``[start, end)`` of its group; keep the values covering the middle ranks.
+    """
+    from knowtrace.session import cut_lineage
+
+    vc = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+    tagged = cut_lineage(vc.orderBy(group, value).withColumn("__pid", F.spark_partition_id()))
+    part = tagged.groupBy("__pid", group).agg(F.sum("__n").alias("__pn"))
+    before = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("__off", F.coalesce(F.sum("__pn").over(before), F.lit(0)))
+    totals = part.groupBy(group).agg(F.sum("__pn").alias("__total"))
+    run = Window.partitionBy("__pid", group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = tagged.withColumn("__cum", F.sum("__n").over(run))
+    # Bounded broadcasts: one row per (partition, group) present, one row per group.
+    cum = cum.join(F.broadcast(part.select("__pid", group, "__off")), ["__pid", group])
+    cum = cum.join(F.broadcast(totals), group)
+    end = F.col("__off") + F.col("__cum")
+    start = end - F.col("__n")
+    lo = F.floor((F.col("__total") - 1) / 2)
+    hi = F.floor(F.col("__total") / 2)
+    covers = lambda r: (start <= r) & (r < end)
+    v = F.col(value).cast("double")
+    picked = cum.where(covers(lo) | covers(hi))
+    return picked.groupBy(group).agg(
+        ((F.sum(F.when(covers(lo), v)) + F.sum(F.when(covers(hi), v))) / 2.0).alias("median")
+    )
+
+
 def pageview_stats(results: DataFrame, views: str = "pageviews", knows: str = "knows") -> DataFrame:
     """A4: min, max, mean, exact median and count of views per known outcome.
 
-    Two-level plan: first ``(outcome, views) -> n`` (a partial aggregate that
-    shrinks rows to distinct values and spreads a hot outcome over many
-    tasks), then the per-outcome statistics from those counts; the exact
-    median is ``percentile(v, 0.5, n)`` over distinct values, not over rows.
+    Counts, min, max and mean come from one partial aggregate over
+    ``(outcome, views) -> n`` (distinct values, not rows); the median is
+    :func:`exact_median`, which never gathers an outcome in one task.
     Views of 0 are included (unlike the bin operator).
     """
-    vc = (
-        results.where(F.col(knows).isNotNull())
-        .groupBy(F.col(knows).alias("knows"), F.col(views).cast("bigint").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    known = results.where(F.col(knows).isNotNull()).select(
+        F.col(knows).alias("knows"), F.col(views).cast("bigint").alias("v")
     )
-    return vc.groupBy("knows").agg(
+    vc = known.groupBy("knows", "v").agg(F.count(F.lit(1)).alias("n"))
+    stats = vc.groupBy("knows").agg(
         F.min("v").alias("min_views"),
         F.max("v").alias("max_views"),
         (F.sum(F.col("v") * F.col("n")).cast("double") / F.sum("n")).alias("mean_views"),
-        F.percentile(F.col("v"), F.lit(0.5), F.col("n")).alias("median_views"),
         F.sum("n").cast("bigint").alias("count"),
     )
+    med = exact_median(known, "knows", "v").withColumnRenamed("median", "median_views")
+    return stats.join(med, "knows").select("knows", "min_views", "max_views", "mean_views", "median_views", "count")
 
 
 def count_by_month(entities: DataFrame, date_col: str = "death_date") -> DataFrame:

@@ -135,3 +135,18 @@ def test_top_n_rules(spark):
     with pytest.raises(ValueError):
         select.select_top(r, tie=["k"], top_per_day=1, top_per_month=1)
     assert select.min_views(r, 0).count() == 20
+
+
+def test_exact_median_random(spark):
+    import statistics
+
+    rnd = random.Random(9)
+    rows = []
+    for g in range(4):
+        n = rnd.randint(1, 400)
+        rows += [(g, rnd.choice([rnd.randint(0, 50), rnd.randint(0, 10**6)])) for _ in range(n)]
+    rows += [(9, 7)] * 300  # a hot value
+    df = spark.createDataFrame(rows, "g int, v long").repartition(7)
+    got = {r.g: r.median for r in metrics.exact_median(df, "g", "v").collect()}
+    for g in {r[0] for r in rows}:
+        assert got[g] == float(statistics.median([v for gg, v in rows if gg == g]))
