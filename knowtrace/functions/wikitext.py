@@ -164,9 +164,25 @@ def apply_cut(c: ColumnOrName, cut: ColumnOrName) -> Column:
     return F.when(s.isNull(), s).when(k >= 0, pystrip(F.substring(s, F.lit(1), k))).otherwise(s)
 
 
+# First top-level cut when no '(' occurs (depth stays 0): a comma, or a period
+# that does not follow a standalone c/C (one not preceded by a letter).
+RE_FLAT_CUT = r"(?s)^(.*?)(?:,|(?<![cC])\.|(?<=\p{L}[cC])\.)"
+
+
 def cut_index(c: ColumnOrName) -> Column:
     """0-based position of the X12 cut, -1 for none.
 
+    Strings without '(' take one lazy regex; only those with a parenthesis
+    need the depth-tracking fold (higher-order functions run interpreted).
+    """
+    s = _c(c)
+    flat = F.when(s.rlike(RE_FLAT_CUT), F.length(F.regexp_extract(s, RE_FLAT_CUT, 1))).otherwise(F.lit(-1))
+    return F.when(s.contains("("), cut_index_fold(s)).otherwise(flat)
+
+
+def cut_index_fold(c: ColumnOrName) -> Column:
+    """0-based position of the X12 cut, -1 for none (general fold).
+
     Depth never drops below 0; a period right after a standalone ``c``
     (circa) is not a cut.  One left fold over the code points; the lambda
     only reads its own accumulator (previous two characters, depth, index),
