@@ -1,8 +1,8 @@
 """Log-spaced histogram of accuracy by views.
 
 Plan: one global min/max aggregate that Spark runs as a scalar subquery
-(one row, broadcast as a literal), then one bin column per row and one
-``groupBy(bin)`` with partial aggregation.  The reference scans every row
+(one row, broadcast as a literal), then one arithmetic bin column per row
+and one ``groupBy(bin)`` with partial aggregation.  The reference scans every row
 once per bin; this is a single pass after the min/max.
 
 Edge modes (D1):
@@ -45,20 +45,45 @@ def log_edges(lo: Column, hi: Column, num_bins: int, mode: str = "clamped") -> C
     )
 
 
+def edge_at(i: Column, lo: Column, hi: Column, num_bins: int, mode: str = "clamped") -> Column:
+    """Edge ``i`` of :func:`log_edges` as a scalar expression (no array per row)."""
+    lo_d, hi_d = lo.cast("double"), hi.cast("double")
+    log_lo, log_hi = F.log10(lo_d), F.log10(hi_d)
+    step = (log_hi - log_lo) / F.lit(float(num_bins))
+    raw = F.when(i == num_bins, F.pow(F.lit(10.0), log_hi)).otherwise(F.pow(F.lit(10.0), i.cast("double") * step + log_lo))
+    if mode == "float":
+        return raw
+    if mode != "clamped":
+        raise ValueError("edges must be 'clamped' or 'float'")
+    return F.when(i == 0, lo_d).when(i == num_bins, hi_d).otherwise(F.greatest(lo_d, F.least(hi_d, raw)))
+
+
 def with_log_bin(valid: DataFrame, num_bins: int = 10, views: str = "pageviews", mode: str = "clamped") -> tuple[DataFrame, Column]:
-    """Attach ``bin`` (NULL when a row falls outside every bin) and return the edge column."""
+    """Attach ``bin`` (NULL when a row falls outside every bin) and return the edge column.
+
+    The bin is the index of the last edge <= v (last bin closed).  It is
+    estimated from ``log10(v)`` and corrected by one step against the exact
+    edge values, so it equals the edge comparison without building or
+    scanning an edge array per row (array lambdas run interpreted).
+    """
     bounds = valid.select(F.struct(F.min(views).alias("lo"), F.max(views).alias("hi"))).scalar()
-    # Subqueries may not sit inside a lambda: materialise the bounds as columns first.
     valid = valid.withColumn("__lo", bounds.getField("lo")).withColumn("__hi", bounds.getField("hi"))
-    edges = log_edges(F.col("__lo"), F.col("__hi"), num_bins, mode)
+    lo, hi = F.col("__lo"), F.col("__hi")
+    edge = lambda i: edge_at(i, lo, hi, num_bins, mode)
+    n = F.lit(num_bins)
     v = F.col(views).cast("double")
-    last_le = F.size(F.filter(edges, lambda e: e <= v)) - 1  # index of the last edge <= v
-    bin_col = (
-        F.when(last_le < 0, F.lit(None))
-        .when(last_le < num_bins, last_le)
-        .when(v == F.get(edges, F.lit(num_bins)), F.lit(num_bins - 1))
-    )
-    return valid.withColumn("bin", bin_col.cast("int")), edges
+    log_lo = F.log10(lo.cast("double"))
+    step = (F.log10(hi.cast("double")) - log_lo) / F.lit(float(num_bins))
+    est = F.least(F.greatest(F.floor((F.log10(v) - log_lo) / step), F.lit(0)), n).cast("int")
+    valid = valid.withColumn("__k", F.when(step > 0, est))
+    k = F.col("__k")
+    fixed = F.when(v < edge(k), k - 1).when((k < n) & (v >= edge(k + 1)), k + 1).otherwise(k)
+    # min == max: every edge is the same value e; the last edge <= v is n when e <= v.
+    same = F.when(v >= edge(n), n).otherwise(F.lit(-1))
+    valid = valid.withColumn("__last", F.when(step > 0, fixed).otherwise(same))
+    last = F.col("__last")
+    bin_col = F.when(last < 0, F.lit(None)).when(last < n, last).when(v == edge(n), n - 1)
+    return valid.withColumn("bin", bin_col.cast("int")).drop("__k", "__last"), log_edges(lo, hi, num_bins, mode)
 
 
 def accuracy_by_log_bins(
@@ -76,8 +101,8 @@ def accuracy_by_log_bins(
         F.count_if(F.col(knows)).alias("correct"),
         F.count(F.lit(1)).alias("total"),
     )
-    low = F.get(edge_col, F.col("bin"))
-    high = F.get(edge_col, F.col("bin") + 1)
+    low = edge_at(F.col("bin"), F.col("__lo"), F.col("__hi"), num_bins, edges)
+    high = edge_at(F.col("bin") + 1, F.col("__lo"), F.col("__hi"), num_bins, edges)
     return agg.select(
         "bin",
         low.alias("low"),

@@ -150,3 +150,23 @@ def test_exact_median_random(spark):
     got = {r.g: r.median for r in metrics.exact_median(df, "g", "v").collect()}
     for g in {r[0] for r in rows}:
         assert got[g] == float(statistics.median([v for gg, v in rows if gg == g]))
+
+
+def test_arithmetic_bin_equals_edge_comparison(spark):
+    rnd = random.Random(4)
+    d = dt.date(2024, 1, 1)
+    for mode in ("clamped", "float"):
+        for trial in range(6):
+            if trial == 0:
+                vals = [7] * 5
+            elif trial == 1:
+                vals = [1, 10, 100, 1000]
+            else:
+                vals = [rnd.randint(1, 10 ** rnd.randint(1, 9)) for _ in range(rnd.randint(1, 300))]
+            df = _results(spark, [(str(i), d, v, True) for i, v in enumerate(vals)])
+            binned, edges = bins.with_log_bin(df, 10, "pageviews", mode)
+            v = F.col("pageviews").cast("double")
+            last = F.size(F.filter(edges, lambda e: e <= v)) - 1
+            ref = F.when(last < 0, F.lit(None)).when(last < 10, last).when(v == F.get(edges, F.lit(10)), F.lit(9))
+            rows = binned.select("bin", ref.cast("int").alias("ref")).collect()
+            assert all(r.bin == r.ref for r in rows), (mode, trial)
