@@ -29,7 +29,13 @@ from knowtrace.functions.core import pystrip
 
 
 def _classified(pages: DataFrame, page_id: str, year: str, month: str, text: str) -> DataFrame:
-    lines = pages.select(
+    # Hash-partition whole pages first: the per-line regex work then runs in
+    # parallel whatever the input layout (one small file is one task), the
+    # shuffle moves compact page texts rather than exploded lines, and the
+    # page window reuses this partitioning.  An explicit count keeps AQE from
+    # coalescing a CPU-heavy stage by bytes.
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = pages.repartition(n, F.col(page_id)).select(
         F.col(page_id).alias("page_id"),
         F.col(year).alias("year"),
         F.col(month).alias("month"),
