@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from knowtrace.functions.core import ColumnOrName, _c, pystrip
+from knowtrace.functions.core import ColumnOrName, _c
 
 # --- fixed values: texts that must equal the reference's output -------------
 AMBIGUOUS_MSG = "Ambiguous response (contains both 'yes' and 'no'): '{answer}'"
@@ -39,7 +39,9 @@ def yes_no(answer: ColumnOrName, whole_word: bool = False) -> Column:
     A *substring* test by default, as in the reference: "I don't know"
     contains 'no' and counts as true (D7).  ``whole_word=True`` opts out.
     """
-    norm = F.lower(pystrip(F.coalesce(_c(answer), F.lit(""))))
+    # Stripping whitespace cannot create or remove a 'yes'/'no' substring (or a
+    # word boundary around one), so the test runs on the lowered raw text.
+    norm = F.lower(F.coalesce(_c(answer), F.lit("")))
     y, n = _has(norm, "yes", whole_word), _has(norm, "no", whole_word)
     return F.when(y & n, F.lit(None)).when(y, F.lit(False)).when(n, F.lit(True)).otherwise(F.lit(None)).cast("boolean")
 
@@ -47,7 +49,7 @@ def yes_no(answer: ColumnOrName, whole_word: bool = False) -> Column:
 def yes_no_error(answer: ColumnOrName, whole_word: bool = False) -> Column:
     """X20 error half: the reference's ValueError text, NULL when the answer parses."""
     raw = F.coalesce(_c(answer), F.lit(""))
-    norm = F.lower(pystrip(raw))
+    norm = F.lower(raw)
     y, n = _has(norm, "yes", whole_word), _has(norm, "no", whole_word)
     amb_a, amb_b = AMBIGUOUS_MSG.split("{answer}")
     inv_a, inv_b = INVALID_MSG.split("{answer}")

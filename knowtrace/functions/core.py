@@ -17,9 +17,18 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters Python's ``str.isspace()`` accepts (what ``str.strip()`` removes),
+# derived from Python itself rather than written out.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+
+
 def pystrip(c: ColumnOrName) -> Column:
-    """Python ``str.strip()``: drop Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: drop Unicode whitespace at both ends.
+
+    ``btrim`` with Python's whitespace set only looks at the two ends; a
+    regex ``^\s+|\s+$`` would try a match at every position of long texts.
+    """
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def word_count(c: ColumnOrName) -> Column:

@@ -452,3 +452,21 @@ def responder(spark, sf_dir):
 
 
 
+
+
+@register(
+    "document_answers",
+    f"""SELECT lang, count(*) FILTER (WHERE k) AS knows_true, count(*) FILTER (WHERE NOT k) AS knows_false,
+  count(*) FILTER (WHERE k IS NULL) AS unparsed, count(*) AS total
+FROM (SELECT lang, {knows(strip('text'))} AS k FROM documents) t GROUP BY lang""",
+)
+def document_answers(spark, sf_dir):
+    """X19/X20 over whole document texts (up to 20,000 words each), by language."""
+    d = B.table(spark, sf_dir, "documents")
+    k = A.yes_no("text")
+    return d.groupBy("lang").agg(
+        F.count_if(k).alias("knows_true"),
+        F.count_if(~k).alias("knows_false"),
+        F.count_if(k.isNull()).alias("unparsed"),
+        F.count(F.lit(1)).alias("total"),
+    )

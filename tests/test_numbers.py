@@ -170,3 +170,13 @@ def test_arithmetic_bin_equals_edge_comparison(spark):
             ref = F.when(last < 0, F.lit(None)).when(last < 10, last).when(v == F.get(edges, F.lit(10)), F.lit(9))
             rows = binned.select("bin", ref.cast("int").alias("ref")).collect()
             assert all(r.bin == r.ref for r in rows), (mode, trial)
+
+
+def test_pystrip_matches_python(spark):
+    from knowtrace.functions.core import pystrip
+
+    rnd = random.Random(8)
+    alphabet = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", " ", "　", "a", "é", "x", "​"]
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 12))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.s for r in df.select(pystrip("t").alias("s")).collect()] == [t.strip() for t in texts]
