@@ -23,7 +23,7 @@ PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
 
 
 def pystrip(c: ColumnOrName) -> Column:
-    """Python ``str.strip()``: drop Unicode whitespace at both ends.
+    r"""Python ``str.strip()``: drop Unicode whitespace at both ends.
 
     ``btrim`` with Python's whitespace set only looks at the two ends; a
     regex ``^\s+|\s+$`` would try a match at every position of long texts.
