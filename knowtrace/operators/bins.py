@@ -66,8 +66,11 @@ def with_log_bin(valid: DataFrame, num_bins: int = 10, views: str = "pageviews",
     edge values, so it equals the edge comparison without building or
     scanning an edge array per row (array lambdas run interpreted).
     """
-    bounds = valid.select(F.struct(F.min(views).alias("lo"), F.max(views).alias("hi"))).scalar()
-    valid = valid.withColumn("__lo", bounds.getField("lo")).withColumn("__hi", bounds.getField("hi"))
+    # The global min/max is one row (a global aggregate): broadcast-join it so the
+    # bounds are plain columns.  As a scalar subquery it would be copied into
+    # every one of the many expressions below that read it.
+    bounds = valid.agg(F.min(views).alias("__lo"), F.max(views).alias("__hi")).withColumn("__one", F.lit(1))
+    valid = valid.withColumn("__one", F.lit(1)).join(F.broadcast(bounds), "__one").drop("__one")
     lo, hi = F.col("__lo"), F.col("__hi")
     edge = lambda i: edge_at(i, lo, hi, num_bins, mode)
     n = F.lit(num_bins)
