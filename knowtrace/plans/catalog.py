@@ -11,10 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from knowtrace.plans import bindings as B
-from knowtrace.plans.oracle import DAILY, MONTHLY, RESULTS, TRI, with_
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -58,5 +54,3 @@ def oracle_sql() -> dict[str, str]:
     queries()
     return dict(ORACLE)
 
-
-__all__ = ["register", "queries", "oracle_sql", "B", "F", "RESULTS", "TRI", "MONTHLY", "DAILY", "with_"]
