@@ -31,10 +31,20 @@ def pystrip(c: ColumnOrName) -> Column:
     return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
+# Regex class of exactly those characters (Java's (?U)\s differs: no \x1c-\x1f).
+PY_WS_CLASS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in PY_WHITESPACE) + "]"
+
+
 def word_count(c: ColumnOrName) -> Column:
     """``len(s.split())`` for a string (0 for NULL or blank)."""
     s = pystrip(c)
-    return F.when(s.isNull() | (s == ""), F.lit(0)).otherwise(F.size(F.split(s, r"(?U)\s+")))
+    return F.when(s.isNull() | (s == ""), F.lit(0)).otherwise(F.size(F.split(s, PY_WS_CLASS + "+")))
+
+
+def is_one_word(c: ColumnOrName) -> Column:
+    """``len(s.split()) == 1`` without splitting: non-blank, no inner whitespace."""
+    s = pystrip(c)
+    return (s != "") & ~s.rlike(PY_WS_CLASS)
 
 
 def tri_state(c: ColumnOrName) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from knowtrace.functions.core import ColumnOrName, _c, pystrip, word_count
+from knowtrace.functions.core import ColumnOrName, _c, is_one_word, pystrip, word_count
 
 # --- fixed values: patterns and texts that must equal the reference's ---------
 END_SECTIONS = ("References", "See also", "External links", "Notes", "Further reading")
@@ -256,7 +256,7 @@ def entry_code(parsed: Column) -> Column:  # X13
         .when((F.length(name) == 2) & ~name.rlike(RE_TWO_LETTER), F.lit("bad_two_letter"))
         .when(~p.getField("content"), F.lit("no_content"))
         .when(desc.isNull() | (F.length(desc) <= 3), F.lit("short_desc"))
-        .when(word_count(desc) == 1, F.lit("one_word"))
+        .when(is_one_word(desc), F.lit("one_word"))
         .when(desc.rlike(RE_PUNCT_ONLY), F.lit("punct_only"))
         .when(p.getField("death_date").isNull(), F.lit("invalid_date"))
         .otherwise(F.lit("ok"))
@@ -269,7 +269,7 @@ def name_warnings(name: ColumnOrName) -> Column:
     return F.filter(
         F.array(
             F.when((F.length(n) == 2) & n.rlike(RE_TWO_LETTER), F.lit("two_letter")),
-            F.when(word_count(n) == 1, F.lit("one_word_name")),
+            F.when(is_one_word(n), F.lit("one_word_name")),
         ),
         lambda x: x.isNotNull(),
     )
@@ -318,7 +318,7 @@ def suggest_description(desc: ColumnOrName, parent: ColumnOrName) -> Column:  #
     or the multi-word description found in the header; else the description."""
     d, p = _c(desc), _c(parent)
     nat = nationality(p)
-    one = d.isNotNull() & (d != "") & (word_count(d) == 1) & p.isNotNull() & (p != "")
+    one = d.isNotNull() & (d != "") & is_one_word(d) & p.isNotNull() & (p != "")
     return F.when(one & nat.isNotNull(), F.when(word_count(nat) > 1, nat).otherwise(F.concat(nat, F.lit(" "), d))).otherwise(d)
 
 

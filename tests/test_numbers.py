@@ -180,3 +180,15 @@ def test_pystrip_matches_python(spark):
     texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 12))) for _ in range(2000)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.s for r in df.select(pystrip("t").alias("s")).collect()] == [t.strip() for t in texts]
+
+
+def test_word_count_matches_python(spark):
+    from knowtrace.functions.core import is_one_word, word_count
+
+    rnd = random.Random(12)
+    alphabet = [" ", "\t", "\x1c", "\x1f", "\xa0", "　", "a", "b", "é", "-", "​"]
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 10))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(word_count("t").alias("n"), is_one_word("t").alias("one")).collect()
+    assert [r.n for r in rows] == [len(t.split()) for t in texts]
+    assert [r.one for r in rows] == [len(t.split()) == 1 for t in texts]
