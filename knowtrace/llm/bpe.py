@@ -24,11 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knowtrace.llm.hashing import pieces
+
 NONE = np.int32(2**31 - 1)
 LONG = 1024
 #: Cells of one matrix, and pieces a worker keeps before it starts anew.
 CELLS = 1 << 21
-KEEP = 400_000
+KEEP = 200_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -208,7 +210,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value[0], PairTable(*shared.value[1:]), pattern)
-        for b in batches:
+        for b in (part for whole in batches for part in pieces(whole, 1)):
             offsets, ids = encoder.encode(b.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.record_batch([b.column(0), lists], ["doc_id", "ids"])
@@ -225,9 +227,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.__getitem__
-        for b in batches:
-            raw = [b"".join(map(table, ids.values.to_pylist())) if ids.is_valid else None for ids in b.column("ids")]
+        table = np.array(shared.value, dtype=object)
+        for b in (part for whole in batches for part in pieces(whole, whole.schema.get_field_index("ids"))):
+            raw = [b"".join(table[ids.values.to_numpy()].tolist()) if ids.is_valid else None for ids in b.column("ids")]
             yield pa.record_batch([*b.columns, pa.array(raw, pa.binary())], [*b.schema.names, "bytes"])
 
     from pyspark.sql.types import BinaryType, StructField, StructType

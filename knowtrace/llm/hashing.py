@@ -1,8 +1,11 @@
-"""Numpy helpers on words and 64-bit hashes, used inside tasks."""
+"""Numpy helpers on batches, words and 64-bit hashes, used inside tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
@@ -36,3 +39,11 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.empty(0, dtype=np.int64)
     ends = np.cumsum(counts)
     return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1])
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows whose column holds about ``most`` bytes, one row at least."""
+    share = max(1, -(-batch.column(column).nbytes // most))
+    step = max(1, -(-batch.num_rows // share))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
