@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class Numbers(dict):
+    """Numbers things as they are first looked up: ``map(numbers.__getitem__, things)``."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Word numbers of all texts in one array, the texts' lengths, the different words."""
-    index: dict[bytes, int] = {}
-    flat = np.fromiter((index.setdefault(w, len(index)) for t in texts for w in t), dtype=np.int64, count=sum(map(len, texts)))
+    index = Numbers()
+    flat = np.fromiter(map(index.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=sum(map(len, texts)))
     return flat, np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)), list(index)
 
 

@@ -1,9 +1,9 @@
 """Substring dedup: Rabin-Karp hashes of every window of ``width`` words.
 
 One pass hashes all windows (a polynomial of the word hashes modulo 2^64, built for all
-positions at once), keeps of each hash the earliest place of the batch, and deals
-these to buckets by hash as packed columns; every later place of the batch is a repeat
-already.  So a passage that stands in a third of all documents reaches its bucket once a batch,
+positions at once), keeps of each hash the earliest place of the piece at hand, and deals
+these to buckets by hash as packed columns; every later place of the piece is a repeat
+already.  So a passage that stands in a third of all documents reaches its bucket once a piece,
 not once a document.  A bucket counts the places of each hash, spares the earliest and returns the others;
 per document these merge into maximal word intervals, which a second pass removes.
 
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowtrace.llm.common import blob_buckets, checked, pinned
-from knowtrace.llm.hashing import mix, numbered, spread, word_hashes
+from knowtrace.llm.hashing import mix, numbered, pieces, spread, word_hashes
 
 BASE = 0x9E3779B97F4A7C15 | 1
 LAST = 2**63 - 1
+#: Bytes of text that a task compares at once before it packs the rest for the buckets.
+PIECE = 8 << 20
 PACKED = "bucket int, repeats boolean, docs binary, tags binary, runs binary, gaps binary, hashes binary"
 
 
@@ -89,9 +91,9 @@ def repeats(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """doc_id, tag, positions: starts of windows that also start earlier (several rows a document)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in pieces(whole, 2, PIECE)):
             ids, tags = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            order = np.lexsort((tags, ids))
+            order = np.lexsort((tags, ids))  # by document, as places are compared
             raw = b.column(2).to_pylist()
             ids, tags = ids[order], tags[order]
             flat, lens, different = numbered([(raw[i] or b"").split() for i in order])
@@ -149,14 +151,17 @@ def intervals(found: DataFrame, width: int) -> DataFrame:
     return whole.mapInArrow(merged, "doc_id long, tag long, starts array<int>, ends array<int>")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, starts, ends (removed word intervals), kept (words left, joined by a space)."""
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, n_words, n_removed, starts, ends (removed word intervals), kept (words left, joined by a space).
+
+    bucket_bytes: text whose windows a bucket holds on average; a task needs about six times as much.
+    """
     if width < 1:
         raise ValueError("width must be positive")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(LAST))
     keyed = rows.select(key.alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
-    cuts = pinned(intervals(repeats(keyed, width, blob_buckets(rows, "text")), width), "intervals")
+    cuts = pinned(intervals(repeats(keyed, width, blob_buckets(rows, "text", bucket_bytes)), width), "intervals")
     cuts = checked(cuts.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "starts", "ends"))
     joined = rows.join(cuts, (key == F.col("of")) & (F.xxhash64("text") == F.col("of_tag")), "left")
 
