@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowtrace.llm.common import checked, pinned
-from knowtrace.llm.hashing import spread
+from knowtrace.llm.hashing import numbered, pieces, spread
 
 BUCKETS = 1 << 18
 CHAIN = 128
@@ -128,12 +128,10 @@ class Tagger:
 
     def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Of all tokens in a row, and the texts' lengths."""
-        index: dict[str, int] = {}
-        flat = np.fromiter((index.setdefault(t, len(index)) for x in texts for t in x), dtype=np.int64)
-        lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        flat, lens, index = numbered(texts)
         if not len(flat):
             return np.zeros(0), lens
-        emission = self.emissions(list(index))[flat]
+        emission = self.emissions(index)[flat]
         out = np.empty(len(flat))
         at, size = chains(lens)
         for k in range(0, len(at), 1 << 13):
@@ -163,9 +161,7 @@ def train(toxic: list[str], clean: list[str], share: float, rounds: int = 50, ra
     """Weights, transitions and logistic coefficients; share: of toxic documents among the labelled."""
     texts = [t.split() for t in [*toxic, *clean]]
     marks = token_labels(texts[: len(toxic)], texts[len(toxic) :])
-    index: dict[str, int] = {}
-    flat = np.fromiter((index.setdefault(t, len(index)) for x in texts for t in x), dtype=np.int64)
-    lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    flat, lens, index = numbered(texts)
     model = Tagger(np.zeros(BUCKETS + 1), np.zeros((2, 2)), np.zeros(4))
     kind = np.arange(len(texts)) < len(toxic)
     if len(flat):
@@ -246,7 +242,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(*shared.value) if shared.value is not None else None
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in (part for whole in batches for part in pieces(whole, 2)):
             texts = [t or "" for t in b.column(2).to_pylist()]
             scores, spans = np.zeros(len(texts)), [[] for _ in texts]
             if tagger is not None and texts:
