@@ -6,7 +6,7 @@ is missing.  The probability of a word after another interpolates the two counts
 this way with the smoothed count of the word alone; the interpolation weight depends on the level
 of the context and is fitted with each n-gram's own occurrence left out.
 
-Building: tasks count the n-grams of a batch, deal them as packed columns to segments by
+Building: tasks count the n-grams of a piece of their texts, deal them as packed columns to segments by
 their hash, and one task a segment adds up the counts and fills that segment's bits, so
 the filter is made in parallel and only finished bits travel to the driver.  Segments grow in
 number with the text.  At most ``max_filter_bytes`` are broadcast at once: a larger filter is used in
@@ -14,8 +14,9 @@ several passes, each scoring the words whose pair belongs to its segments, and t
 passes' sums add up, so no n-gram is left out.  The segments of single words (about two bytes
 a different word) are part of every pass.
 
-The exact unigram score beside it takes counts of frequent words from a broadcast table, bounded
-because at most ``FREQUENT`` words can each make up 1 / ``FREQUENT`` of all, and joins the others.
+The exact unigram score beside it takes counts of the ``FREQUENT`` most frequent words (or somewhat fewer: the cut
+falls between levels) from a broadcast table, and joins the others.  Words are told apart by their
+64-bit hash; of ten million different words, two share one with odds of about 3 in a million.
 
 Defined cases: null text is empty (its only token is the end); a null id counts as learned from;
 repeated rows are scored and counted each; without training rows all counts are 0; an
@@ -24,7 +25,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowtrace.llm.common import blob_buckets, checked, pinned
-from knowtrace.llm.hashing import mix, numbered, word_hashes
+from knowtrace.llm.hashing import mix, numbered, pieces, word_hashes
 
 END = b""
 STEP = 1.5
 HASHES = 5
 BITS_EACH = 10
-FREQUENT = 100_000
+FREQUENT = 1_000_000
+#: Bytes of text that a task counts or scores at once.
+PIECE = 6 << 20
 TUNE_DOCS = 400
 TUNE_CHARS = 20_000
 CONTEXTS = 64
@@ -134,33 +136,23 @@ def _pairs(flat: np.ndarray, lens: np.ndarray, hashes: np.ndarray) -> np.ndarray
     return pair_keys(hashes[before], hashes[flat])
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word (binary), c."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = Counter(w for t in _tokens(b.column(0).to_pylist()) for w in t)
-            yield pa.record_batch([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
-
-    return rows.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-
-
-def filter_segments(rows: DataFrame, segments: int) -> DataFrame:
-    """segment, bits: filled segments, the first ``segments`` for words (key: hash of the word), then as many for pairs."""
+def counted(rows: DataFrame, segments: int) -> DataFrame:
+    """segment, bits, keys, counts: one row a segment, the first ``segments`` for words (key: hash of the
+    word), then as many for pairs; keys and counts are those of the words (empty for pairs).
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in pieces(whole, 0, PIECE)):
             flat, lens, different = numbered(_tokens(b.column(0).to_pylist()))
             if not len(flat):
                 continue
             h = word_hashes(different)
-            words, n_words = np.unique(h[flat], return_counts=True)
             pairs, n_pairs = np.unique(_pairs(flat, lens, h), return_counts=True)
-            keys, n = np.concatenate([words, pairs]), np.concatenate([n_words, n_pairs])
+            keys, n = np.concatenate([h, pairs]), np.concatenate([np.bincount(flat), n_pairs]).astype(np.uint32)
             s = (keys % np.uint64(segments)).astype(np.int64)
-            s[len(words) :] += segments
+            s[len(h) :] += segments
             order = np.argsort(s, kind="stable")
-            s, keys, n = s[order], keys[order], n[order].astype(np.uint32)
+            s, keys, n = s[order], keys[order], n[order]
             cuts = [*np.nonzero(np.diff(s, prepend=-1))[0], len(s)]
             at = list(zip(cuts, cuts[1:]))
             yield pa.record_batch([pa.array(s[cuts[:-1]], pa.int32()), pa.array([keys[x:y].tobytes() for x, y in at], pa.binary()), pa.array([n[x:y].tobytes() for x, y in at], pa.binary())], ["segment", "keys", "counts"])
@@ -169,10 +161,43 @@ def filter_segments(rows: DataFrame, segments: int) -> DataFrame:
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.float64)
         keys, at = np.unique(keys, return_inverse=True)
-        return pa.table([table.column("segment").slice(0, 1), pa.array([fill(keys, np.bincount(at, n)).tobytes()], pa.binary())], names=["segment", "bits"])
+        n = np.bincount(at, n)
+        words = slice(None) if table.column("segment")[0].as_py() < segments else slice(0)
+        lists = [pa.array([keys[words].view(np.int64)], pa.list_(pa.int64())), pa.array([n[words].astype(np.int64)], pa.list_(pa.int64()))]
+        return pa.table([table.column("segment").slice(0, 1), pa.array([fill(keys, n).tobytes()], pa.binary()), *lists], names=["segment", "bits", "keys", "counts"])
 
     packed = rows.select(F.col("text").cast("binary")).mapInArrow(count, PACKED)
-    return packed.groupBy("segment").applyInArrow(build, "segment int, bits binary")
+    return packed.groupBy("segment").applyInArrow(build, "segment int, bits binary, keys array<long>, counts array<long>")
+
+
+class Counts:
+    """Exact counts of the frequent words, by hash; 0 for others."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
+
+def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the words above the lowest level that leaves at most ``most``."""
+    level = F.floor(F.log(F.col("c").cast("double")) / F.log(F.lit(1.1)))
+    left, least = most, None
+    for r in words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("level")).collect():  # a few hundred levels
+        left -= r.n
+        if left < 0:
+            break
+        least = r.c
+    if least is None:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    table = words.where(F.col("c") >= least).select("h", "c").toArrow()
+    h, c = table.column("h").to_numpy().view(np.uint64), table.column("c").to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
 
 
 class Model:
@@ -183,9 +208,8 @@ class Model:
         self.weights = np.full(CONTEXTS, 0.3) if weights is None else weights
         self.counts = level_counts()
 
-    def parts(self, flat: np.ndarray, lens: np.ndarray, different: list[bytes], unigrams: np.ndarray, leave: int = 0):
+    def parts(self, flat: np.ndarray, lens: np.ndarray, h: np.ndarray, unigrams: np.ndarray, leave: int = 0):
         """For each token: pair key held or not, context level, bigram share, smoothed unigram share."""
-        h = word_hashes(different)
         keys, at = np.unique(_pairs(flat, lens, h), return_inverse=True)
         held = self.store.holds(keys)
         pair = np.maximum(self.counts[self.store.level(keys)] - leave, 0)[at]
@@ -196,19 +220,20 @@ class Model:
         alone = (np.maximum(self.counts[unigrams[flat]] - leave, 0) + 1) / (self.total + self.vocabulary + 1)
         return held[at], np.minimum(unigrams[before], CONTEXTS - 1), share, np.minimum(alone, 1.0)
 
-    def log10(self, flat, lens, different, unigrams) -> np.ndarray:
+    def log10(self, flat, lens, h, unigrams) -> np.ndarray:
         """Sum a text over the tokens whose pair this filter holds."""
-        held, context, share, alone = self.parts(flat, lens, different, unigrams)
+        held, context, share, alone = self.parts(flat, lens, h, unigrams)
         w = self.weights[context]
         each = np.where(held, np.log10(w * share + (1 - w) * alone), 0.0)
         return np.add.reduceat(each, np.cumsum(lens) - lens) if len(lens) else each
 
     def fit(self, texts: list[bytes], unigrams, rounds: int = 20) -> np.ndarray:
         """Interpolation weights by context level (EM), each occurrence left out of its counts."""
-        flat, lens, different = numbered(_tokens(texts))
         if not texts:
             return self.weights
-        held, context, share, alone = self.parts(flat, lens, different, unigrams(different), leave=1)
+        flat, lens, different = numbered(_tokens(texts))
+        h = word_hashes(different)
+        held, context, share, alone = self.parts(flat, lens, h, unigrams(h), leave=1)
         context, share, alone = context[held], share[held], alone[held]
         w = np.full(CONTEXTS, 0.3)
         size = np.bincount(context, minlength=CONTEXTS)
@@ -230,17 +255,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), out_of.alias("held_out"))
     train = rows.where("not held_out")
 
-    counts = pinned(word_counts(train), "word-counts")
+    segments = blob_buckets(train, "text", 8 << 20)
+    bits = pinned(counted(train, segments), "filter")
+    counts = bits.select(F.explode(F.arrays_zip("keys", "counts")).alias("w")).select(F.col("w.keys").alias("h"), F.col("w.counts").alias("c"))
     total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.where(F.col("c") * F.lit(FREQUENT) >= F.lit(total)).where(F.lit(total > 0))
-    frequent = {bytes(r[0]): r[1] for r in frequent.collect()}  # at most FREQUENT rows
+    frequent = frequent_words(counts)
     norm = float(np.log10(total + vocabulary + 1))
 
-    segments = blob_buckets(train, "text", 8 << 20)
-    bits = pinned(filter_segments(train, segments), "filter")
-
     def read(numbers: list[int]) -> tuple:
-        rows_ = bits.where(F.col("segment").isin(numbers)).collect() if numbers else []
+        rows_ = bits.where(F.col("segment").isin(numbers)).select("segment", "bits").collect() if numbers else []
         return Filter.arrays(segments, {r[0] % segments: bytes(r[1]) for r in rows_})
 
     shards: list[list[int]] = [[]]
@@ -260,14 +283,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
     for number, shard in enumerate(shards):
         store = read(shard)
         if number == 0:
-            known = Filter(*share.value[1])
-            weights = Model(Filter(*store), total, vocabulary).fit(texts, lambda different: _unigram_levels(different, frequent, known))
+            exact, known = Counts(*frequent), Filter(*share.value[1])
+            weights = Model(Filter(*store), total, vocabulary).fit(texts, lambda h: _unigram_levels(h, exact(h), known))
         model = spark.sparkContext.broadcast((store, total, vocabulary, weights))
         parts.append(pinned(_score_pass(rows, model, share, number == 0), "scores"))
 
     first = parts[0]
-    tail = first.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("n"))
-    rare = tail.join(counts, "word").groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_sum"))
+    tail = first.select("row", F.explode("tail").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n"))
+    rare = tail.join(counts, "h").groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_sum"))
     out = first.drop("tail").join(rare, "row", "left")
     for p in parts[1:]:  # equal rows have equal scores
         p = p.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), F.col("score").alias("more")).dropDuplicates(["of", "of_tag"])
@@ -284,38 +307,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
     )
 
 
-def _unigram_levels(different: list[bytes], frequent: dict[bytes, int], words: Filter) -> np.ndarray:
-    exact = levels(np.array([frequent.get(w, 0) for w in different], dtype=np.float64))
-    return np.where(exact > 0, exact, words.level(word_hashes(different)))
+def _unigram_levels(h: np.ndarray, exact: np.ndarray, words: Filter) -> np.ndarray:
+    """Levels of words: of the exact count where there is one, else as the filter has it."""
+    out = levels(exact)
+    rare = np.nonzero(exact == 0)[0]
+    out[rare] = words.level(h[rare])
+    return out
 
 
 def _score_pass(rows: DataFrame, model, share, with_base: bool) -> DataFrame:
     """row, doc_id, held_out, tag, n_tokens, known, base, score, tail: one pass over all texts."""
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, words = share.value[0], Filter(*share.value[1])
+        frequent, words = Counts(*share.value[0]), Filter(*share.value[1])
         lm = Model(Filter(*model.value[0]), *model.value[1:])
         at = TaskContext.get().partitionId() << 40
-        for b in batches:
-            if not b.num_rows:
-                continue
-            tokens = _tokens(b.column(3).to_pylist())
-            flat, lens, different = numbered(tokens)
-            c = np.array([frequent.get(w, 0) for w in different], dtype=np.int64)
-            s = lm.log10(flat, lens, different, _unigram_levels(different, frequent, words))
+        for b in (part for whole in batches for part in pieces(whole, 3, PIECE)):
+            flat, lens, different = numbered(_tokens(b.column(3).to_pylist()))
+            h = word_hashes(different)
+            c = frequent(h)
+            s = lm.log10(flat, lens, h, _unigram_levels(h, c, words))
             starts = np.cumsum(lens) - lens
-            known = np.add.reduceat((c[flat] > 0).astype(np.int64), starts)
+            known = np.add.reduceat((c > 0).astype(np.int64)[flat], starts)
             base = np.add.reduceat(np.log10(c + 1.0)[flat], starts)
-            tails = []
-            for x, n in zip(starts, lens) if with_base else ():
-                own = flat[x : x + n]
-                own, times = np.unique(own[c[own] == 0], return_counts=True)
-                tails.append([{"word": different[w], "n": t} for w, t in zip(own, times.tolist())])
             ids = pa.array(np.arange(at, at + len(lens)), pa.int64())
             at += len(lens)
-            tail = pa.array(tails or [[]] * len(lens), tail_type)
-            yield pa.record_batch([ids, b.column(0), b.column(1), b.column(2), pa.array(lens), pa.array(known), pa.array(base), pa.array(s), tail], ["row", "doc_id", "held_out", "tag", "n_tokens", "known", "base", "score", "tail"])
+            yield pa.record_batch([ids, b.column(0), b.column(1), b.column(2), pa.array(lens), pa.array(known), pa.array(base), pa.array(s), _tails(flat, lens, h, c == 0 if with_base else np.zeros(len(c), dtype=bool))], ["row", "doc_id", "held_out", "tag", "n_tokens", "known", "base", "score", "tail"])
 
-    kinds = "row long, doc_id long, held_out boolean, tag long, n_tokens long, known long, base double, score double, tail array<struct<word:binary,n:long>>"
+    kinds = "row long, doc_id long, held_out boolean, tag long, n_tokens long, known long, base double, score double, tail array<struct<h:long,n:long>>"
     return rows.select("doc_id", "held_out", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text")).mapInArrow(run, kinds)
+
+
+def _tails(flat: np.ndarray, lens: np.ndarray, h: np.ndarray, rare: np.ndarray) -> pa.ListArray:
+    """Per text its rare words' hashes and how often each occurs."""
+    at = np.nonzero(rare[flat])[0]
+    text = np.repeat(np.arange(len(lens)), lens)[at]
+    key, n = np.unique(text * len(h) + flat[at], return_counts=True)
+    offsets = np.searchsorted(key, np.arange(len(lens) + 1) * len(h))
+    items = pa.StructArray.from_arrays([pa.array(h[key % len(h)].view(np.int64) if len(key) else np.empty(0, dtype=np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)

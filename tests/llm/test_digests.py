@@ -166,7 +166,13 @@ def test_windows(spark, sf):
     assert run("op9_window_dedup", spark, sf, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(expected, key=rows.key)
 
 
-def test_language_model(spark, sf):
+@pytest.mark.parametrize("frequent", [0, 40, 1_000_000])
+def test_language_model(spark, sf, frequent, monkeypatch):
+    """Counts are exact whether a word is in the broadcast table or joined."""
+    from knowtrace.llm import lm_score
+
+    table = lm_score.frequent_words
+    monkeypatch.setattr(lm_score, "frequent_words", lambda words: table(words, frequent))
     docs = [(i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, [*WORD.findall(ascii_lower(t or "")), None]) for i, t, _ in rows.documents(spark, sf)]
     c = Counter(w for _, out, ws in docs if not out for w in ws)
     n, v = sum(c.values()), len(c)
