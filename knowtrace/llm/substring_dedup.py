@@ -4,8 +4,8 @@ One pass hashes all windows (a polynomial of the word hashes modulo 2^64, built
 positions at once), keeps of each hash the earliest place of the piece at hand, and deals
 these to buckets by hash as packed columns; every later place of the piece is a repeat
 already.  So a passage that stands in a third of all documents reaches its bucket once a piece,
-not once a document.  A bucket counts the places of each hash, spares the earliest and returns the others;
-per document these merge into maximal word intervals, which a second pass removes.
+not once a document.  A bucket counts the places of each hash, spares the earliest and returns the others,
+packed and dealt by document; there they merge into maximal word intervals, which a second pass removes.
 
 Buckets grow in number with the text, so one holds about as much at any size.  Windows are compared
 by their 64-bit hash: two different ones share it with odds of about 1 in 10^19.
@@ -31,7 +31,7 @@ from knowtrace.llm.hashing import mix, numbered, pieces, spread, word_hashes
 BASE = 0x9E3779B97F4A7C15 | 1
 LAST = 2**63 - 1
 #: Bytes of text that a task compares at once before it packs the rest for the buckets.
-PIECE = 8 << 20
+PIECE = 4 << 20
 PACKED = "bucket int, repeats boolean, docs binary, tags binary, runs binary, gaps binary, hashes binary"
 
 
@@ -88,7 +88,9 @@ def _spare_first(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, hashes: np.
 
 
 def repeats(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """doc_id, tag, positions: starts of windows that also start earlier (several rows a document)."""
+    """PACKED rows of window starts whose words also start earlier, dealt by document; no hashes."""
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in pieces(whole, 2, PIECE)):
@@ -109,9 +111,7 @@ def repeats(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             early = ~late
             rows = list(_pack((h[early] % np.uint64(buckets)).astype(np.int64), doc[early], pos[early], ids, tags, h[early]))
             if late.any():
-                rows += _pack(mix(ids[doc[late]].view(np.uint64)).astype(np.int64) % buckets, doc[late], pos[late], ids, tags, None)
-            names = [x.split()[0] for x in PACKED.split(", ")]
-            kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+                rows += _pack(_by_document(ids, buckets)[doc[late]], doc[late], pos[late], ids, tags, None)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def counted(table: pa.Table) -> pa.Table:
@@ -124,34 +124,45 @@ def repeats(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             late = _spare_first(ids, tags, pos, h)
             done.append((ids[late], tags[late], pos[late]))
         ids, tags, pos = (np.concatenate([p[i] for p in done]) for i in range(3))
-        order = np.lexsort((pos, tags, ids))
-        ids, tags, pos = ids[order], tags[order], pos[order]
-        head = np.nonzero((np.diff(ids, prepend=ids[:1] - 1) != 0) | (np.diff(tags, prepend=tags[:1]) != 0))[0]
-        lists = pa.ListArray.from_arrays(pa.array([*head, len(ids)], pa.int32()), pa.array(pos, pa.int32()))
-        return pa.table([pa.array(ids[head]), pa.array(tags[head]), lists], names=["doc_id", "tag", "positions"])
+        doc, ids, tags, pos = _documents(ids, tags, pos)
+        out = list(_pack(_by_document(ids, buckets)[doc], doc, pos, ids, tags, None))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
 
     packed = docs.mapInArrow(hashed, PACKED)
-    return packed.groupBy("bucket").applyInArrow(counted, "doc_id long, tag long, positions array<int>")
+    return packed.groupBy("bucket").applyInArrow(counted, PACKED)
+
+
+def _by_document(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _documents(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places in order as document numbers and positions, and the documents' ids and tags."""
+    order = np.lexsort((pos, tags, ids))
+    ids, tags, pos = ids[order], tags[order], pos[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
+    return np.cumsum(new) - 1, ids[new], tags[new], pos
 
 
 def intervals(found: DataFrame, width: int) -> DataFrame:
     """doc_id, tag, starts, ends: maximal word intervals covered by the windows, one row a document."""
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            starts, ends = [], []
-            for x in b.column(2):
-                p = np.unique(x.values.to_numpy())
-                cut = np.nonzero(np.diff(p) > width)[0]
-                starts.append(np.concatenate([p[:1], p[cut + 1]]))
-                ends.append(np.concatenate([p[cut], p[-1:]]) + width)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["doc_id", "tag", "starts", "ends"])
+    def merged(table: pa.Table) -> pa.Table:
+        parts = [_unpack(r) for r in table.to_pylist()]
+        doc, ids, tags, pos = _documents(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        # a new interval at a new document or beyond the reach of the window before
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > width)
+        last = np.append(new[1:], True)[: len(new)]
+        offsets = pa.array(np.searchsorted(doc[new], np.arange(len(ids) + 1)), pa.int32())
+        starts, ends = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (pos[new], pos[last] + width))
+        return pa.table([pa.array(ids), pa.array(tags), starts, ends], names=["doc_id", "tag", "starts", "ends"])
 
-    whole = found.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    return whole.mapInArrow(merged, "doc_id long, tag long, starts array<int>, ends array<int>")
+    return found.groupBy("bucket").applyInArrow(merged, "doc_id long, tag long, starts array<int>, ends array<int>")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, starts, ends (removed word intervals), kept (words left, joined by a space).
 
     bucket_bytes: text whose windows a bucket holds on average; a task needs about six times as much.
@@ -166,7 +177,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = rows.join(cuts, (key == F.col("of")) & (F.xxhash64("text") == F.col("of_tag")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in pieces(whole, 1, PIECE)):
             n, gone, kept = [], [], []
             for text, starts, ends in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 w = text.split()
