@@ -25,7 +25,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,13 +99,16 @@ class Filter:
         self.segments, self.data, self.start, self.bits = segments, data, start, bits
 
     @staticmethod
-    def arrays(segments: int, parts: dict[int, bytes]) -> tuple:
+    def arrays(segments: int, sizes: dict[int, int], parts: Iterable[tuple[int, bytes]]) -> tuple:
         """The arguments of a filter of these segments: plain arrays, to broadcast."""
         size = np.zeros(segments, dtype=np.int64)
-        for s, p in parts.items():
-            size[s] = len(p)
-        data = np.frombuffer(b"".join(parts[s] for s in sorted(parts)), dtype=np.uint8)
-        return segments, data, np.cumsum(size) - size, (8 * size).astype(np.uint64)
+        for s, n in sizes.items():
+            size[s] = n
+        start = np.cumsum(size) - size
+        data = np.empty(size.sum(), dtype=np.uint8)
+        for s, p in parts:
+            data[start[s] : start[s] + size[s]] = np.frombuffer(p, dtype=np.uint8)
+        return segments, data, start, (8 * size).astype(np.uint64)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         return self.bits[(keys % np.uint64(self.segments)).astype(np.int64)] > 0
@@ -244,7 +247,7 @@ class Model:
         return np.clip(w, 1e-4, 0.95)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 256 << 20, is_held_out: Column | None = None, tune_docs: int = TUNE_DOCS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 128 << 20, is_held_out: Column | None = None, tune_docs: int = TUNE_DOCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The interpolation weights (CONTEXTS numbers) are fitted on at most ``tune_docs`` training
@@ -262,20 +265,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
     frequent = frequent_words(counts)
     norm = float(np.log10(total + vocabulary + 1))
 
+    sizes = {r[0]: r[1] for r in bits.select("segment", F.octet_length("bits")).collect()}  # two numbers a segment
+
     def read(numbers: list[int]) -> tuple:
-        rows_ = bits.where(F.col("segment").isin(numbers)).select("segment", "bits").collect() if numbers else []
-        return Filter.arrays(segments, {r[0] % segments: bytes(r[1]) for r in rows_})
+        rows_ = bits.where(F.col("segment").isin(numbers)).select("segment", "bits").toLocalIterator() if numbers else []
+        return Filter.arrays(segments, {s % segments: sizes[s] for s in numbers}, ((r[0] % segments, r[1]) for r in rows_))
 
     shards: list[list[int]] = [[]]
     filled = 0
-    for s, n in bits.where(F.col("segment") >= segments).select("segment", F.octet_length("bits")).orderBy("segment").collect():
-        if filled + n > max_filter_bytes and shards[-1]:
+    for s in sorted(x for x in sizes if x >= segments):
+        if filled + sizes[s] > max_filter_bytes and shards[-1]:
             shards.append([])
             filled = 0
         shards[-1].append(s)
-        filled += n
+        filled += sizes[s]
 
-    share = spark.sparkContext.broadcast((frequent, read(list(range(segments)))))
+    share = spark.sparkContext.broadcast((frequent, read(sorted(x for x in sizes if x < segments))))
     tune = train.where(F.length("text") <= TUNE_CHARS).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(tune_docs)
     texts = [r[0].encode() for r in tune.select("text").collect()]
     parts = []
@@ -286,6 +291,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
             exact, known = Counts(*frequent), Filter(*share.value[1])
             weights = Model(Filter(*store), total, vocabulary).fit(texts, lambda h: _unigram_levels(h, exact(h), known))
         model = spark.sparkContext.broadcast((store, total, vocabulary, weights))
+        del store
         parts.append(pinned(_score_pass(rows, model, share, number == 0), "scores"))
 
     first = parts[0]

@@ -200,7 +200,7 @@ def test_filter_levels():
 
     keys = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(1, 5001) % 300 + 1
-    f = lm.Filter(*lm.Filter.arrays(1, {0: lm.fill(keys, counts.astype(float)).tobytes()}))
+    f = lm.Filter(*lm.Filter.arrays(1, {0: len(bits := lm.fill(keys, counts.astype(float)))}, [(0, bits.tobytes())]))
     exact = lm.levels(counts)
     read = f.level(keys)
     assert (read >= exact).all() and (read == exact).mean() > 0.97
