@@ -42,7 +42,7 @@ HASHES = 5
 BITS_EACH = 10
 FREQUENT = 1_000_000
 #: Bytes of text that a task counts or scores at once.
-PIECE = 6 << 20
+PIECE = 2 << 20
 TUNE_DOCS = 400
 TUNE_CHARS = 20_000
 CONTEXTS = 64
@@ -258,7 +258,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), out_of.alias("held_out"))
     train = rows.where("not held_out")
 
-    segments = blob_buckets(train, "text", 8 << 20)
+    segments = blob_buckets(train, "text", 4 << 20)
     bits = pinned(counted(train, segments), "filter")
     counts = bits.select(F.explode(F.arrays_zip("keys", "counts")).alias("w")).select(F.col("w.keys").alias("h"), F.col("w.counts").alias("c"))
     total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
