@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,28 +29,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowtrace.llm.common import checked, pinned
-from knowtrace.llm.hashing import numbered, pieces, spread
+from knowtrace.llm.hashing import Numbers, numbered, pieces, spread
 
 BUCKETS = 1 << 18
 CHAIN = 128
-DOCS_EACH = 2000
+DOCS_EACH = 1500
 MAX_CHARS = 20_000
 KEEP = 300_000
 WIDTH = 9  # features a token
+PARTS = 6  # of which word and prefixes
+BIAS = zlib.crc32(b"bias")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def parts(token: str) -> list[str]:
-    """What a token is recognised by: its word and the word's prefixes."""
-    w = _EDGE.sub("", token).lower()
-    return [f"w={w}", *[f"{k}={w[:k]}" for k in (3, 4, 5, 6, 7) if len(w) > k]] if w else []
+def codes(tokens: Iterable[str], n: int) -> np.ndarray:
+    """WIDTH 32-bit hashes of each of ``n`` tokens: its word, the word's prefixes (PARTS together), ending, shape, bias.
 
+    -1 stands for none: a prefix as long as the word, or any part of a token without letters and digits.
+    """
+
+    def each() -> Iterator[int]:
+        for token in tokens:
+            w = _EDGE.sub("", token).lower()
+            yield zlib.crc32(b"w=" + w.encode()) if w else -1
+            for k in range(3, 8):
+                yield zlib.crc32(b"%d=" % k + w[:k].encode()) if len(w) > k else -1
+            yield zlib.crc32(b"-" + w[-3:].encode())
+            yield zlib.crc32(b"shape %d%d%d" % (token.isupper(), token.isalpha(), w.isalnum()))
+            yield BIAS
+
+    return np.fromiter(each(), dtype=np.int64, count=n * WIDTH).reshape(n, WIDTH)
 
-def features(token: str) -> list[int]:
-    """Hashed features, WIDTH of them; BUCKETS for none."""
-    w = _EDGE.sub("", token).lower()
-    names = parts(token) + [f"-{w[-3:]}", f"shape {token.isupper()} {token.isalpha()} {w.isalnum()}", "bias"]
-    return ([zlib.crc32(n.encode()) % BUCKETS for n in names] + [BUCKETS] * WIDTH)[:WIDTH]
+
+def features(code: np.ndarray) -> np.ndarray:
+    """Places of the weights; BUCKETS (a weight of 0) for none."""
+    return np.where(code >= 0, code % BUCKETS, BUCKETS)
 
 
 def chains(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +134,7 @@ class Tagger:
             self.known.clear()
         new = [t for t in tokens if t not in self.known]
         if new:
-            f = np.array([features(t) for t in new])
-            self.known.update(zip(new, self.weights[f].sum(axis=1).tolist()))
+            self.known.update(zip(new, self.weights[features(codes(new, len(new)))].sum(axis=1).tolist()))
         return np.array([self.known[t] for t in tokens])
 
     def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,43 +142,53 @@ class Tagger:
         flat, lens, index = numbered(texts)
         if not len(flat):
             return np.zeros(0), lens
-        emission = self.emissions(index)[flat]
-        out = np.empty(len(flat))
+        return self.decoded(self.emissions(index)[flat], lens), lens
+
+    def decoded(self, emission: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Marginals of tokens with these emissions, texts end to end."""
+        out = np.empty(len(emission))
         at, size = chains(lens)
         for k in range(0, len(at), 1 << 13):
             p = at[k : k + (1 << 13)]
             gamma, _ = forward_backward(np.where(p >= 0, emission[p], 0.0), size[k : k + (1 << 13)], self.trans)
             out[p[p >= 0]] = gamma[p >= 0]
-        return out, lens
+        return out
 
     def scores(self, marginals: np.ndarray, lens: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(summary(marginals, lens) @ self.logistic, -30, 30)))
 
 
-def token_labels(toxic: list[list[str]], clean: list[list[str]], least: float = 1.8) -> set[str]:
-    """Words and prefixes whose share of toxic documents is exp(least) times their share of clean ones or more."""
-    seen = []
-    for texts in (toxic, clean):
-        c: Counter = Counter()
-        for x in texts:
-            c.update({p for t in set(x) for p in parts(t)})
-        seen.append(c)
-    enough = max(4, len(toxic) // 100)
-    odds = lambda p: np.log((seen[0][p] + 0.5) / (len(toxic) + 1)) - np.log((seen[1][p] + 0.5) / (len(clean) + 1))
-    return {p for p, n in seen[0].items() if n >= enough and odds(p) >= least}
+def marked_tokens(flat: np.ndarray, lens: np.ndarray, kind: np.ndarray, code: np.ndarray, least: float = 1.8) -> np.ndarray:
+    """Which tokens have a word or prefix whose share of toxic documents is exp(least) times that of clean ones, or more."""
+    n = len(code)
+    pair = np.unique(np.repeat(np.arange(len(lens)), lens) * n + flat)  # each token of a document once
+    doc, token = pair // n, pair % n
+    enough, out = max(4, int(kind.sum()) // 100), np.zeros(n, dtype=bool)
+    for k in range(PARTS):
+        values, number = np.unique(code[:, k], return_inverse=True)
+        seen = np.unique(doc * len(values) + number[token])
+        toxic = kind[seen // len(values)]
+        bad, good = (np.bincount(seen[x] % len(values), minlength=len(values)) for x in (toxic, ~toxic))
+        odds = np.log((bad + 0.5) / (kind.sum() + 1)) - np.log((good + 0.5) / ((~kind).sum() + 1))
+        out |= ((bad >= enough) & (odds >= least) & (values >= 0))[number]
+    return out
 
 
 def train(toxic: list[str], clean: list[str], share: float, rounds: int = 50, rate: float = 0.3, l2: float = 2e-6) -> tuple:
     """Weights, transitions and logistic coefficients; share: of toxic documents among the labelled."""
-    texts = [t.split() for t in [*toxic, *clean]]
-    marks = token_labels(texts[: len(toxic)], texts[len(toxic) :])
-    flat, lens, index = numbered(texts)
+    index, parts = Numbers(), []
+    for t in [*toxic, *clean]:  # only numbers of tokens are kept
+        parts.append(np.fromiter(map(index.__getitem__, t.split()), dtype=np.int32))
+    flat, lens = np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    del parts
     model = Tagger(np.zeros(BUCKETS + 1), np.zeros((2, 2)), np.zeros(4))
-    kind = np.arange(len(texts)) < len(toxic)
+    kind = np.arange(len(lens)) < len(toxic)
+    marginals = np.zeros(len(flat))
     if len(flat):
-        marked = np.array([any(p in marks for p in parts(t)) for t in index])
-        y = (marked[flat] & np.repeat(kind, lens)).astype(float)
-        f = np.array([features(t) for t in index])
+        code = codes(index, len(index))
+        y = (marked_tokens(flat, lens, kind, code)[flat] & np.repeat(kind, lens)).astype(float)
+        f = features(code).astype(np.int32)
+        del code
         at, size = chains(lens)
         valid = at >= 0
         seen = np.zeros((2, 2))
@@ -175,8 +196,7 @@ def train(toxic: list[str], clean: list[str], share: float, rounds: int = 50, ra
         for i in range(2):
             for j in range(2):
                 seen[i, j] = ((state[:, :-1] == i) & (state[:, 1:] == j)).sum()
-        bias = zlib.crc32(b"bias") % BUCKETS
-        model.weights[bias] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+        model.weights[BIAS % BUCKETS] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
         w_m, w_v, t_m, t_v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros((2, 2)), np.zeros((2, 2))
         for step in range(1, rounds + 1):  # Adam on the mean log likelihood of a toxic token
             emission = model.weights[f].sum(axis=1)[flat]
@@ -194,7 +214,7 @@ def train(toxic: list[str], clean: list[str], share: float, rounds: int = 50, ra
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    marginals, lens = model.marginals(texts)
+        marginals = model.decoded(model.weights[f].sum(axis=1)[flat], lens)
     x = summary(marginals, lens)
     weight = np.where(kind, share / max(1, kind.sum()), (1 - share) / max(1, (~kind).sum())) * len(kind)
     b = np.zeros(4)
