@@ -71,8 +71,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    path = public_tokenizers.path(RANKS)
-    return bpe_digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    return bpe_digests(bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

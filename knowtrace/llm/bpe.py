@@ -202,32 +202,45 @@ class Encoder:
         return [x for x in ids if x >= 0]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>); the rank file is read on the driver and broadcast (under 1 MB)."""
+def token_table(ranks: dict[bytes, int]) -> np.ndarray:
+    """The bytes of each id."""
+    table = np.full(max(ranks.values()) + 1, b"", dtype=object)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, ids (array<int>), and with ``decoded`` the bytes that the ids stand for.
+
+    The rank file is read on the driver and broadcast (under 1 MB; its pair table is of fixed size too).
+    """
     ranks = load_ranks(path)
     pairs = PairTable.of(ranks)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pairs.keys, pairs.vals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value[0], PairTable(*shared.value[1:]), pattern)
+        table = token_table(shared.value[0]) if decoded else None
         for b in (part for whole in batches for part in pieces(whole, 1)):
             offsets, ids = encoder.encode(b.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
-            yield pa.record_batch([b.column(0), lists], ["doc_id", "ids"])
+            if not decoded:
+                yield pa.record_batch([b.column(0), lists], ["doc_id", "ids"])
+                continue
+            raw = [b"".join(table[ids[x:y]].tolist()) for x, y in zip(offsets, offsets[1:])]
+            yield pa.record_batch([b.column(0), lists, pa.array(raw, pa.binary())], ["doc_id", "ids", "bytes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    out = "doc_id long, ids array<int>" + ", bytes binary" * decoded
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The table with a column ``bytes``: what the ids of column ``ids`` stand for."""
-    ranks = load_ranks(path)
-    tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    """A table with ids, say one read back, and a column ``bytes``: what its ids stand for."""
+    shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.array(shared.value, dtype=object)
+        table = token_table(shared.value)
         for b in (part for whole in batches for part in pieces(whole, whole.schema.get_field_index("ids"))):
             raw = [b"".join(table[ids.values.to_numpy()].tolist()) if ids.is_valid else None for ids in b.column("ids")]
             yield pa.record_batch([*b.columns, pa.array(raw, pa.binary())], [*b.schema.names, "bytes"])

@@ -52,9 +52,7 @@ def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe_digests(bpe.decode(ids, path))
+    return bpe_digests(bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True))
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:

@@ -125,6 +125,16 @@ def test_bpe(spark, sf):
     assert run("op8_byte_bpe", spark, sf, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expected, key=rows.key)
 
 
+def test_bpe_decodes_a_table_of_ids(spark, odd):
+    import public_tokenizers
+
+    path = public_tokenizers.path(queries.RANKS)
+    docs = spark.read.parquet(f"{odd}/documents.parquet").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    got = {r.doc_id: bytes(r.bytes) for r in bpe.decode(ids, path).collect()}
+    assert got == {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+
+
 @pytest.mark.parametrize("long_", [4, 1024])
 def test_bpe_pieces(long_, monkeypatch):
     """Matrix rounds and the heap agree with the library on awkward pieces."""
