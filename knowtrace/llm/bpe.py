@@ -28,9 +28,10 @@ from knowtrace.llm.hashing import pieces
 
 NONE = np.int32(2**31 - 1)
 LONG = 1024
-#: Cells of one matrix, and pieces a worker keeps before it starts anew.
-CELLS = 1 << 21
-KEEP = 200_000
+#: Bytes of text taken at once, cells of one matrix, and pieces a worker keeps before it starts anew.
+PIECE = 2 << 20
+CELLS = 1 << 18
+KEEP = 120_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -222,7 +223,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value[0], PairTable(*shared.value[1:]), pattern)
         table = token_table(shared.value[0]) if decoded else None
-        for b in (part for whole in batches for part in pieces(whole, 1)):
+        for b in (part for whole in batches for part in pieces(whole, 1, PIECE)):
             offsets, ids = encoder.encode(b.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
             if not decoded:
@@ -241,7 +242,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_table(shared.value)
-        for b in (part for whole in batches for part in pieces(whole, whole.schema.get_field_index("ids"))):
+        for b in (part for whole in batches for part in pieces(whole, whole.schema.get_field_index("ids"), PIECE)):
             raw = [b"".join(table[ids.values.to_numpy()].tolist()) if ids.is_valid else None for ids in b.column("ids")]
             yield pa.record_batch([*b.columns, pa.array(raw, pa.binary())], [*b.schema.names, "bytes"])
 

@@ -35,7 +35,8 @@ BUCKETS = 1 << 18
 CHAIN = 128
 DOCS_EACH = 1500
 MAX_CHARS = 20_000
-KEEP = 300_000
+KEEP = 200_000
+BLOCK = 1 << 11  # chains decoded at once
 WIDTH = 9  # features a token
 PARTS = 6  # of which word and prefixes
 BIAS = zlib.crc32(b"bias")
@@ -148,9 +149,9 @@ class Tagger:
         """Marginals of tokens with these emissions, texts end to end."""
         out = np.empty(len(emission))
         at, size = chains(lens)
-        for k in range(0, len(at), 1 << 13):
-            p = at[k : k + (1 << 13)]
-            gamma, _ = forward_backward(np.where(p >= 0, emission[p], 0.0), size[k : k + (1 << 13)], self.trans)
+        for k in range(0, len(at), BLOCK):
+            p = at[k : k + (BLOCK)]
+            gamma, _ = forward_backward(np.where(p >= 0, emission[p], 0.0), size[k : k + (BLOCK)], self.trans)
             out[p[p >= 0]] = gamma[p >= 0]
         return out
 
@@ -201,8 +202,8 @@ def train(toxic: list[str], clean: list[str], share: float, rounds: int = 50, ra
         for step in range(1, rounds + 1):  # Adam on the mean log likelihood of a toxic token
             emission = model.weights[f].sum(axis=1)[flat]
             gamma, pairs = np.empty(at.shape), np.zeros((2, 2))
-            for k in range(0, len(at), 1 << 13):
-                s = slice(k, k + (1 << 13))
+            for k in range(0, len(at), BLOCK):
+                s = slice(k, k + (BLOCK))
                 gamma[s], p = forward_backward(np.where(valid[s], emission[at[s]], 0.0), size[s], model.trans)
                 pairs += p.sum(axis=0)
             token = y[at[valid]] - gamma[valid]
@@ -262,7 +263,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(*shared.value) if shared.value is not None else None
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for b in (part for whole in batches for part in pieces(whole, 2)):
+        for b in (part for whole in batches for part in pieces(whole, 2, 2 << 20)):
             texts = [t or "" for t in b.column(2).to_pylist()]
             scores, spans = np.zeros(len(texts)), [[] for _ in texts]
             if tagger is not None and texts:
