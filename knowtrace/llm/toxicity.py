@@ -150,8 +150,8 @@ class Tagger:
         out = np.empty(len(emission))
         at, size = chains(lens)
         for k in range(0, len(at), BLOCK):
-            p = at[k : k + (BLOCK)]
-            gamma, _ = forward_backward(np.where(p >= 0, emission[p], 0.0), size[k : k + (BLOCK)], self.trans)
+            p = at[k : k + BLOCK]
+            gamma, _ = forward_backward(np.where(p >= 0, emission[p], 0.0), size[k : k + BLOCK], self.trans)
             out[p[p >= 0]] = gamma[p >= 0]
         return out
 
@@ -203,7 +203,7 @@ def train(toxic: list[str], clean: list[str], share: float, rounds: int = 50, ra
             emission = model.weights[f].sum(axis=1)[flat]
             gamma, pairs = np.empty(at.shape), np.zeros((2, 2))
             for k in range(0, len(at), BLOCK):
-                s = slice(k, k + (BLOCK))
+                s = slice(k, k + BLOCK)
                 gamma[s], p = forward_backward(np.where(valid[s], emission[at[s]], 0.0), size[s], model.trans)
                 pairs += p.sum(axis=0)
             token = y[at[valid]] - gamma[valid]
