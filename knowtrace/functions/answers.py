@@ -79,7 +79,7 @@ def error_text(kind: ColumnOrName) -> Column:
 def key_index(key: ColumnOrName, prefix: str = "request-") -> Column:
     """Index of a ``request-<i>`` key; NULL for any other key (line rejected)."""
     k = _c(key)
-    return F.when(k.startswith(prefix), F.split_part(k, F.lit("-"), F.lit(2)).try_cast("int"))
+    return F.when(k.startswith(prefix), F.split_part(k, F.lit("-"), F.lit(2)).try_cast("bigint"))
 
 
 def first_text(parts: ColumnOrName) -> Column:

@@ -34,10 +34,11 @@ from knowtrace.functions.answers import (
     yes_no_safe,
 )
 from knowtrace.functions.core import pystrip
+from knowtrace.session import cut_lineage
 
 NORMALISED = ["request_id", "status", "text", "error", "seq"]
 
-JSONL_SCHEMA = "key STRING, response STRING, error STRING"
+JSONL_SCHEMA = "key: STRING, response: STRING, error: STRING"
 CANDIDATES_SCHEMA = "candidates ARRAY<STRUCT<content: STRUCT<parts: ARRAY<STRUCT<text: STRING>>>>>"
 TYPED_SCHEMA = (
     "custom_id STRING, result STRUCT<type: STRING, message: STRUCT<content: ARRAY<STRUCT<type: STRING, text: STRING>>>>"
@@ -84,12 +85,11 @@ def parse_jsonl_lines(lines: DataFrame, value: str = "value", seq: str = "seq")
     request 5 as in the reference.
     """
     raw = F.col(value)
-    valid = pystrip(raw) != ""
-    parsed = lines.where(valid).withColumn("__v", F.try_parse_json(raw)).where(F.col("__v").isNotNull())
-    parsed = parsed.withColumn("__o", F.from_json(raw, JSONL_SCHEMA)).withColumn(
-        "__idx", key_index(F.col("__o").getField("key"))
-    )
-    parsed = parsed.where(F.col("__idx").isNotNull())
+    # Parsed as the one element of an array: malformed text, text behind the object and
+    # other kinds of values are then no such array.  The last of repeated keys counts.
+    one = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), f"ARRAY<STRUCT<{JSONL_SCHEMA}>>")
+    parsed = lines.withColumn("__a", one).where(F.size("__a") == 1).withColumn("__o", F.get("__a", F.lit(0)))
+    parsed = parsed.withColumn("__idx", key_index(F.col("__o").getField("key"))).where(F.col("__idx").isNotNull())
     resp = F.col("__o").getField("response")
     err = F.col("__o").getField("error")
     resp_true = resp.isNotNull() & ~resp.isin(*_FALSY_JSON)
@@ -172,7 +172,12 @@ def count_mismatch(requests: DataFrame, inline: DataFrame) -> DataFrame:
 
 
 def prefix_before_error(df: DataFrame, order: str, is_error: Column) -> DataFrame:
-    """Rows strictly before the first fatal row (sequential family's stop-and-save)."""
+    """Rows strictly before the first fatal row (sequential family's stop-and-save).
+
+    The rows are cut first: both reads below then see the same answers, and a
+    responder upstream is asked once.
+    """
+    df = cut_lineage(df)
     first_bad = df.where(is_error).select(F.min(order)).scalar()
     return df.where(first_bad.isNull() | (F.col(order) < first_bad))
 
@@ -220,9 +225,13 @@ def apply_responder(
     fn: Callable[[str], str],
     prompt_col: str = "prompt",
     id_col: str = "request_id",
+    max_per_batch: int | None = None,
 ) -> DataFrame:
     """call a user-supplied answering function on every prompt, batch by batch.
 
+    Without ``max_per_batch`` the function takes one prompt.  With it, the
+    function takes a list of at most that many prompts and returns as many answers.
+
     Runs as ``mapInPandas`` (Arrow batches, one Python worker per task); an
     exception in ``fn`` becomes an ``errored`` row, never a failed task.
     Output is in the normalised response shape.
@@ -239,17 +248,22 @@ def apply_responder(
     def run(batches):
         for pdf in batches:
             ids, statuses, texts, errors = [], [], [], []
-            for rid, p in zip(pdf[id_col], pdf[prompt_col]):
+            step = max_per_batch or 1
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                asked = list(part[prompt_col])
                 try:
-                    t = fn(p)
-                    st, er = "succeeded", None
-                    t = "" if t is None else str(t).strip()
+                    got = list(fn(asked)) if max_per_batch else [fn(asked[0])]
+                    if len(got) != len(asked):
+                        raise ValueError(f"{len(got)} answers to {len(asked)} prompts")
+                    answers = [("succeeded", "" if t is None else str(t).strip(), None) for t in got]
                 except Exception as e:  # the responder's failure is data, not a task failure
-                    t, st, er = None, "errored", f"Error: {type(e).__name__}: {e}"
-                ids.append(rid)
-                statuses.append(st)
-                texts.append(t)
-                errors.append(er)
+                    answers = [("errored", None, f"Error: {type(e).__name__}: {e}")] * len(asked)
+                ids += list(part[id_col])
+                for st, t, er in answers:
+                    statuses.append(st)
+                    texts.append(t)
+                    errors.append(er)
             yield pd.DataFrame({"request_id": ids, "status": statuses, "text": texts, "error": errors})
 
     out = requests.select(F.col(id_col).cast("string").alias(id_col), F.col(prompt_col)).mapInPandas(run, schema)

@@ -15,7 +15,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
-    "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -34,6 +33,9 @@ def get_spark(master: str | None = None, app: str = "knowtrace", **conf: str) ->
         # (On a cluster the deploy sets driver/executor memory.)
         if master.startswith("local") and "spark.driver.memory" not in settings:
             settings["spark.driver.memory"] = os.environ.get("KNOWTRACE_DRIVER_MEMORY", "16g")
+        # Few partitions suit one machine; a cluster's own number stands.
+        if master.startswith("local"):
+            settings.setdefault("spark.sql.shuffle.partitions", "8")
     for k, v in settings.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -57,11 +59,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, kind: str) -> str:
     """A fresh, unique sub-path of the shared folder for one job's output."""
-    base = shared_dir(spark)
-    path = f"{base}/knowtrace/{kind}/{uuid.uuid4().hex}"
-    if path.startswith("/") or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    return f"{shared_dir(spark)}/knowtrace/{kind}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """A table written to the shared folder and read back: computed once, whoever reads it."""
+    path = f"{work_path(df.sparkSession, kind)}/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Wire format of the reference: UTF-8, header, every field quoted, quotes
 doubled, NULL written as an empty quoted field.  Spark options that
 round-trip it: read ``escape='"', multiLine=true``; write ``quoteAll=true,
-escape='"'`` with leading/trailing whitespace kept.  Reads use an explicit
-all-string schema (no inference pass) and type the columns afterwards;
+escape='"'`` with leading/trailing whitespace kept.  Columns are found by their
+header names, read as strings and typed afterwards;
 ``multiLine`` keeps each file in one partition, so many run files read in
 parallel.
 """
@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from knowtrace.functions.core import day_key, parse_date, tri_state, tri_state_text
+from knowtrace.session import stored
 
 ENTITY_FIELDS = ["name", "death_date", "description", "pageviews"]
 RESULT_FIELDS = ENTITY_FIELDS + ["llm_knows_death", "llm_response"]
@@ -35,23 +36,37 @@ WRITE_OPTS = {
 }
 
 
+def _frame(spark: SparkSession, path: str) -> DataFrame:
+    """One path's files as strings, columns named by the header.
+
+    The header is read first; the rows are read with it as an all-string schema, so
+    a ``run=<label>`` partition stays text.  Files of one path whose headers differ
+    raise instead of being read by position.
+    """
+    header = spark.read.options(**READ_OPTS).csv(path).columns
+    return spark.read.schema(_string_schema(header)).options(**READ_OPTS, enforceSchema="false").csv(path)
+
+
 def _string_schema(fields: list[str]) -> T.StructType:
     return T.StructType([T.StructField(f, T.StringType(), True) for f in fields])
 
 
 def _read(spark: SparkSession, paths, fields: list[str], missing_ok: bool) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.schema(_string_schema(fields)).options(**READ_OPTS)
-    try:
-        df = reader.csv(paths)
-    except AnalysisException as e:
-        if missing_ok and "PATH_NOT_FOUND" in str(e):
-            empty = spark.createDataFrame([], _string_schema(fields))
-            return empty.withColumn("file_name", F.lit(None).cast("string")).withColumn("run", F.lit(None).cast("string"))
-        raise
-    # ``run`` is the K6 partition value when the files sit under run=<label>/.
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"/run=([^/]+)/", 1)
-    return df.withColumn("file_name", F.col("_metadata.file_name")).withColumn("run", F.when(run != "", run))
+    out = None
+    for path in paths:
+        try:
+            df = _frame(spark, path)
+        except AnalysisException as e:
+            if missing_ok and "PATH_NOT_FOUND" in str(e):
+                continue
+            raise
+        # By name: other columns are left out, absent ones read as empty.  ``run`` is the
+        # K6 partition column itself, so a filter on it prunes run folders.
+        cols = [F.col(f"`{f}`") if f in df.columns else F.lit(None).cast("string").alias(f) for f in [*fields, "run"]]
+        df = df.select(*cols, F.col("_metadata.file_name").alias("file_name"))
+        out = df if out is None else out.unionByName(df)
+    return spark.createDataFrame([], _string_schema([*fields, "run", "file_name"])) if out is None else out
 
 
 def read_entities(spark: SparkSession, paths, missing_ok: bool = False) -> DataFrame:
@@ -95,24 +110,20 @@ def versioned_path(base: str, version: str) -> str:
     return f"{stem}_v{version}{ext}"
 
 
-def _write(df: DataFrame, path: str, mode: str, partition_by: list[str] | None) -> bool:
-    """Write once; if no data row came out, remove the output again.
+def _write(df: DataFrame, path: str, mode: str, partition_by: list[str] | None, order: list[Column] | None = None, shown: list[Column] | None = None) -> bool:
+    """Write the rows, or nothing at all for an empty run: an earlier output then stays.
 
-    The reference writes nothing for an empty run.  Checking emptiness
-    *before* the write would run the whole upstream plan (sort, shuffles)
-    twice; reading the first data row of what was written costs one small scan.
+    The rows are stored first, so the plan above runs once for the test and the write.
     """
-    w = df.write.mode(mode).options(**WRITE_OPTS)
+    rows = stored(df, "csv")
+    if rows.isEmpty():
+        return False
+    rows = rows.orderBy(*order) if order else rows
+    rows = rows.select(*shown) if shown else rows
+    w = rows.write.mode(mode).options(**WRITE_OPTS)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
-    spark = df.sparkSession
-    written = spark.read.options(header="true", multiLine="true").csv(path)
-    if written.isEmpty():
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
-        return False
     return True
 
 
@@ -128,14 +139,11 @@ def write_entities(
     if version is not None:
         path = versioned_path(path, version)
     extra = partition_by or []
-    out = df.orderBy(F.col("death_date").asc(), F.col("pageviews").desc(), F.col(tie).asc()).select(
-        F.col("name"),
-        day_key("death_date").alias("death_date"),
-        F.col("description"),
-        F.col("pageviews").cast("string").alias("pageviews"),
-        *extra,
-    )
-    return _write(out, path, mode, partition_by)
+    columns = [*ENTITY_FIELDS, *(c for c in [tie, *extra] if c not in ENTITY_FIELDS)]
+    rows = df.select(*columns)
+    shown = [F.col("name"), day_key("death_date").alias("death_date"), F.col("description"), F.col("pageviews").cast("string").alias("pageviews")]
+    order = [F.col("death_date").asc(), F.col("pageviews").desc(), F.col(tie).asc()]
+    return _write(rows, path, mode, partition_by, order, [*shown, *extra])
 
 
 def write_results(

@@ -108,3 +108,57 @@ def test_responder_errors_become_rows(spark):
     got = {r.request_id: (r.status, r.error) for r in S.apply_responder(df, fn).collect()}
     assert got["0"] == ("succeeded", None)
     assert got["1"] == ("errored", "Error: ValueError: bad")
+
+
+def test_jsonl_keeps_every_valid_line(spark):
+    ok = '{"candidates":[{"content":{"parts":[{"text":"%s"}]}}]}'
+    lines = [
+        '{"key":"request-3000000000","response":%s}' % (ok % "No"),
+        '{"key":"request-1","key":"request-2","response":%s}' % (ok % "Yes"),
+        '{"key":"request-4","response":%s} trailing' % (ok % "No"),
+        '{"key":"request-5","response":%s} {"a":1}' % (ok % "No"),
+        '{"key":"request-6","response":',
+        '[{"key":"request-7"}]',
+        "",
+        '{"key":"request-8","response":%s}' % (ok % "a } { b"),
+    ]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, seq long")
+    got = {r.request_id: r.text for r in S.parse_jsonl_lines(df).collect()}
+    assert got == {"3000000000": "No", "2": "Yes", "8": "a } { b"}
+
+
+def test_responder_takes_lists(spark):
+    def fn(prompts):
+        if "boom" in prompts:
+            raise ValueError("bad")
+        return [f"{len(prompts)} {p}" for p in prompts]
+
+    df = spark.createDataFrame([(str(i), "boom" if i == 4 else f"p{i}") for i in range(6)], "request_id string, prompt string").coalesce(1)
+    got = {r.request_id: (r.status, r.text) for r in S.apply_responder(df, fn, max_per_batch=2).collect()}
+    assert got["0"] == ("succeeded", "2 p0") and got["4"] == got["5"] == ("errored", None)
+
+
+def test_each_request_is_asked_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def fn(p):
+        asked.add(1)
+        return "" if p == "p12" else "No"
+
+    df = spark.createDataFrame([(str(i), f"p{i}") for i in range(20)], "request_id string, prompt string")
+    scored = S.score(S.apply_responder(df, fn))
+    got = S.prefix_before_error(scored.withColumn("position", F.col("request_id").cast("long")), "position", F.col("knows").isNull())
+    assert got.count() == 12 and asked.value == 20
+
+
+def test_sequential_envelope(spark):
+    import json
+
+    from knowtrace.operators import requests as R
+
+    df = spark.createDataFrame([("Ann", "singer")], "name string, description string")
+    for reasoning, want in ((False, (5, 0, "none")), (True, (200, 1, "low"))):
+        r = R.build_requests(df, [F.col("name")], "gpt-9", reasoning=reasoning).first()
+        got = json.loads(r.payload)
+        assert [m["role"] for m in got["messages"]] == ["system", "user"] and got["messages"][1]["content"] == "Is Ann, singer, still alive?"
+        assert (got["max_completion_tokens"], got["temperature"], got["reasoning_effort"]) == want and got["model"] == "gpt-9"

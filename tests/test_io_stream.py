@@ -92,3 +92,33 @@ def test_empty_write_leaves_nothing(spark):
     empty = _results(spark).where(F.lit(False))
     assert csv_io.write_results(empty, path) is False
     assert not os.path.exists(path.replace("file:", ""))
+
+
+def test_empty_rerun_keeps_the_earlier_output(spark):
+    path = work_path(spark, "rerun") + "/deaths.csv"
+    assert csv_io.write_results(_results(spark), path) is True
+    n = csv_io.read_results(spark, path).count()
+    assert csv_io.write_results(_results(spark).where(F.lit(False)), path) is False
+    assert csv_io.read_results(spark, path).count() == n > 0
+
+
+def test_columns_are_read_by_name(spark):
+    base = work_path(spark, "by_name")
+    df = spark.createDataFrame([("2024-01-05", "Ann", "x", "singer")], "death_date string, name string, extra string, description string")
+    df.write.options(header=True, quoteAll=True).csv(f"{base}/a")
+    r = csv_io.read_entities(spark, f"{base}/a").first()
+    assert (r.name, r.death_date, r.description, r.pageviews) == ("Ann", dt.date(2024, 1, 5), "singer", 0)
+    csv_io.write_results(_results(spark), f"{base}/b")
+    assert csv_io.read_entities(spark, f"{base}/b").count() == _results(spark).count()
+    both = csv_io.read_entities(spark, [f"{base}/a", f"{base}/b"])
+    assert both.count() == _results(spark).count() + 1 and both.where("name = 'Ann' AND description = 'singer'").count() == 1
+
+
+def test_run_labels_come_back_and_prune(spark):
+    path = work_path(spark, "labels")
+    for label in ("my model_topday-all", "50%_x", "007"):
+        csv_io.write_results(_results(spark), path, run=label, mode="append")
+    back = csv_io.read_results(spark, path)
+    assert {r.run for r in back.select("run").distinct().collect()} == {"my model_topday-all", "50%_x", "007"}
+    plan = back.where("run = '50%_x'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run" in plan
