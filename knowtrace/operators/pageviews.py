@@ -11,7 +11,8 @@ the few day buckets its window touches and equi-joined on (article, bucket):
   article is spread over as many keys as it has buckets;
 * the range filter is a scalar-subquery bound on ``day``, so a day-partitioned
   view table is pruned before the shuffle;
-* no broadcast hint: AQE broadcasts a side only after measuring it.
+* no broadcast hint and an inner join: AQE may broadcast either side after measuring it,
+  so few entities never shuffle the views (the entities are joined back from the left).
 
 An entity with no view row in its window gets NULL ("article missing", the
 reference's 404) and is dropped by P3; zero views stay 0.  Totals are keyed
@@ -50,7 +51,7 @@ def window_totals(
     after: int = 58,
     bucket_days: int = 7,
 ) -> DataFrame:
-    """(article, date) -> total views over ``[date - before, date + after]`` (NULL if no row).
+    """(article, date) -> total views over ``[date - before, date + after]``; no row without a view row.
 
     Range join as bucketed equi-join: each distinct key is exploded into the
     ``bucket_days``-wide day buckets its window touches (about 10 for a 60-day
@@ -79,7 +80,7 @@ def window_totals(
         & (daily["__vd"] >= F.date_sub(spans["date"], before))
         & (daily["__vd"] <= F.date_add(spans["date"], after))
     )
-    joined = spans.join(daily, cond, "left")
+    joined = spans.join(daily, cond)
     return joined.groupBy("article", "date").agg(F.sum("__v").alias("total"))
 
 

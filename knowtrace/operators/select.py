@@ -96,17 +96,17 @@ def top_n(
 
     ``tie`` is required: the reference's stable sort keeps input order for
     equal views, which a distributed engine cannot see, so callers name the
-    columns that decide ties (D2).  ``n`` of 0/None keeps every row (the CLI
-    maps 0 to "all") but still numbers them.
+    columns that decide ties (D2).  ``n`` of 0/None means all: the rows come back
+    as they are, unranked and unsorted (the rank is NULL), as in the reference.
     """
     if not tie:
         raise ValueError("top_n needs explicit tie-break columns")
+    if not n:
+        return df.withColumn(rank_col, F.lit(None).cast("bigint")) if rank_col else df
     order = [F.col(views).desc()] + [F.col(t) if isinstance(t, str) else t for t in tie]
     w = Window.partitionBy(period_key(per, date_col)).orderBy(*order)
     rn = F.row_number().over(w)
-    out = df.withColumn("__rn", rn)
-    if n:
-        out = out.where(F.col("__rn") <= F.lit(int(n)))
+    out = df.withColumn("__rn", rn).where(F.col("__rn") <= F.lit(int(n)))
     if rank_col:
         out = out.withColumn(rank_col, F.col("__rn").cast("bigint"))
     return out.drop("__rn")

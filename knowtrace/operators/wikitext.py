@@ -32,10 +32,8 @@ def _classified(pages: DataFrame, page_id: str, year: str, month: str, text: str
     # Hash-partition whole pages first: the per-line regex work then runs in
     # parallel whatever the input layout (one small file is one task), the
     # shuffle moves compact page texts rather than exploded lines, and the
-    # page window reuses this partitioning.  An explicit count keeps AQE from
-    # coalescing a CPU-heavy stage by bytes.
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = pages.repartition(n, F.col(page_id)).select(
+    # page window reuses this partitioning.
+    lines = pages.repartition(F.col(page_id)).select(
         F.col(page_id).alias("page_id"),
         F.col(year).alias("year"),
         F.col(month).alias("month"),
@@ -52,7 +50,7 @@ def _classified(pages: DataFrame, page_id: str, year: str, month: str, text: str
         X.header_day(ln).alias("hday"),
         X.is_top_bullet(ln).alias("top"),
         X.is_sub_bullet(ln).alias("sub"),
-        ln.rlike(r"(?U)^\s*$").alias("blank"),
+        (pystrip(ln) == "").alias("blank"),
     ).withColumn("is_hdr", F.col("hday").isNotNull())
 
 
@@ -61,10 +59,11 @@ def _line_state(cls: DataFrame, keep: list[str]) -> DataFrame:
     ln = F.col("line")
     w = Window.partitionBy("page_id").orderBy("line_no")
     up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nx = w.rowsBetween(1, Window.unboundedFollowing)
     st = cls.withColumn("ended", F.max("is_end").over(up) > 0).withColumn(
         "day", F.last("hday", ignorenulls=True).over(up)
-    ).withColumn("next_sub", F.first(F.when(~F.col("blank"), F.col("sub")), ignorenulls=True).over(nx))
+    ).withColumn("worded_sub", F.when(~F.col("blank"), F.col("sub")))
+    # the next worded line, one step a line (a frame to the page's end would cost its square)
+    st = st.withColumn("next_sub", F.expr("lead(worded_sub, 1) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY line_no)"))
     st = st.withColumn("grouped", F.col("top") & F.coalesce(F.col("next_sub"), F.lit(False)))
     st = st.withColumn(
         "anchor",
@@ -121,7 +120,7 @@ def _entry_columns(lines: DataFrame) -> DataFrame:
             ("__entry", X.norm_circa("__e3")),
         ],
     )
-    df = df.withColumn("__link", X.lead_link("__entry")).withColumn("__foreign", X.foreign_link("__entry"))
+    df = df.withColumn("__link", X.lead_link("__entry")).withColumn("__foreign", X.foreign_link("__e3"))
     ok = F.col("__link").getField("ok")
     after = F.col("__link").getField("rest")
     df = df.withColumn("__content", F.when(ok, X.has_content(after)))
