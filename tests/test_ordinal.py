@@ -24,4 +24,4 @@ def test_ordinal_many_partitions(spark):
 def test_hash_id_stable(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "n string, d int")
     ids = [r.h for r in df.select(hash_id("n", "d").alias("h")).collect()]
-    assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 16
+    assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 32

@@ -95,55 +95,47 @@ def test_line_state_goldens(spark):
     assert len(got["lone"]) == 1
 
 
-def _loop_model(lines):
-    """Plain loop over the lines: (line_no, day, parent) of every parsed line."""
-    out, day, i, n = [], None, 0, len(lines)
-    end = re.compile(r"^==+\s*(References|See also|External links|Notes|Further reading)\s*==+", re.I)
-    while i < n:
-        ln = lines[i]
-        if end.match(ln):
-            break
-        m = re.match(r"^==+\s*(\d{1,2})\s*==+", ln)
-        if m:
-            day = int(m.group(1))
-        elif day is not None and re.match(r"^\*[^*]", ln):
-            j = i + 1
-            while j < n and lines[j].strip() == "":
-                j += 1
-            if j < n and lines[j].startswith("**"):
-                parent, i = ln.strip(), i + 1
-                while i < n and lines[i].startswith("**"):
-                    if "[[" in lines[i]:
-                        out.append((i + 1, day, parent))
-                    i += 1
-                continue
-            if "[[" in ln:
-                out.append((i + 1, day, None))
-        elif day is not None and ln.startswith("**") and "[[" in ln:
-            out.append((i + 1, day, None))
-        i += 1
-    return out
-
-
-VOCAB = [
-    "==1==", "=== 2 ===", "==Foo==", "", "  ", "*", "text", "* group header",
-    "* [[A B]], 40, x y", "** [[C D]], 41, p q", "** no link", "*** [[E F]], 1, a b",
-    "* plain", "== See also ==", "==12==",
-]
-
-
-def test_line_state_matches_loop_model(spark):
+def _page(rnd):
+    """A page and, from how it was built, the (line, day, parent) of each line to be parsed."""
+    lines, expected = ["* [[Too Early]], 40, x y"], set()
+    for day in sorted(rnd.sample(range(1, 29), rnd.randint(1, 4))):
+        lines.append(rnd.choice(["==%d==", "=== %d ===", "== %d =="]) % day)
+        for _ in range(rnd.randint(0, 6)):
+            kind = rnd.choice(["entry", "group", "orphan", "plain", "other"])
+            if kind == "entry":
+                lines.append("* [[A B]], 40, x y")
+                expected.add((len(lines), day, None))
+                lines.append("text")
+            elif kind == "group":
+                head = rnd.choice(["* group header", "* [[Link]] header"])
+                lines.append(head)
+                lines += rnd.choice([[], [], ["", "  "]])
+                apart = lines[-1] != head
+                for k in range(rnd.randint(1, 3)):
+                    lines.append(rnd.choice(["** [[C D]], 41, p q", "*** [[E F]], 1, a b"]))
+                    expected.add((len(lines), day, None if apart else head))
+                lines.append("text")
+            elif kind == "orphan":
+                lines += ["text", "** [[C D]], 41, p q"]
+                expected.add((len(lines), day, None))
+                lines.append("text")
+            elif kind == "plain":
+                lines += ["* plain", "** no link", "text"]
+            else:
+                lines += ["==Foo==", "*", ""]
+    if rnd.random() < 0.5:
+        lines += ["== See also ==", "==9==", "* [[Too Late]], 40, x y"]
+    return "\n".join(lines), expected
+
+
+def test_line_state_of_generated_pages(spark):
     rnd = random.Random(7)
-    pages = {}
-    for k in range(300):
-        n = rnd.randint(0, 30)
-        weights = [1 if v in ("== See also ==",) else 6 for v in VOCAB]
-        pages[f"p{k}"] = "\n".join(rnd.choices(VOCAB, weights=weights, k=n))
+    built = {f"p{k}": _page(rnd) for k in range(300)}
     got = {}
-    for r in W.page_lines(_pages(spark, pages)).collect():
+    for r in W.page_lines(_pages(spark, {k: text for k, (text, _) in built.items()})).collect():
         got.setdefault(r.page_id, set()).add((r.line_no, r.day, r.parent_item))
-    for pid, text in pages.items():
-        assert got.get(pid, set()) == set(_loop_model(text.split("\n"))), pid
+    for pid, (_, expected) in built.items():
+        assert got.get(pid, set()) == expected, pid
 
 
 def test_corrections(spark):
