@@ -89,19 +89,27 @@ def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
     4. Running sum inside each range partition -> each value covers the ranks
        ``[start, end)`` of its group; keep the values covering the middle ranks.
     """
+    return _median_of_counts(_sorted_counts(df, group, value), group, value)
+
+
+def _sorted_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``group, value, __n`` in order with the partition's number, checkpointed (steps 1 and 2 above)."""
     from knowtrace.session import cut_lineage
 
     vc = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
-    tagged = cut_lineage(vc.orderBy(group, value).withColumn("__pid", F.spark_partition_id()))
+    return cut_lineage(vc.orderBy(group, value).withColumn("__pid", F.spark_partition_id()))
+
+
+def _median_of_counts(tagged: DataFrame, group: str, value: str) -> DataFrame:
     part = tagged.groupBy("__pid", group).agg(F.sum("__n").alias("__pn"))
     before = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("__off", F.coalesce(F.sum("__pn").over(before), F.lit(0)))
     totals = part.groupBy(group).agg(F.sum("__pn").alias("__total"))
     run = Window.partitionBy("__pid", group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = tagged.withColumn("__cum", F.sum("__n").over(run))
-    # Bounded broadcasts: one row per (partition, group) present, one row per group.
-    cum = cum.join(F.broadcast(part.select("__pid", group, "__off")), ["__pid", group])
-    cum = cum.join(F.broadcast(totals), group)
+    # Groups are the caller's, so no broadcast is asked for; few ones are broadcast at run time.
+    cum = cum.join(part.select("__pid", group, "__off"), ["__pid", group])
+    cum = cum.join(totals, group)
     end = F.col("__off") + F.col("__cum")
     start = end - F.col("__n")
     lo = F.floor((F.col("__total") - 1) / 2)
@@ -117,23 +125,26 @@ def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
 def pageview_stats(results: DataFrame, views: str = "pageviews", knows: str = "knows") -> DataFrame:
     """A4: min, max, mean, exact median and count of views per known outcome.
 
-    Counts, min, max and mean come from one partial aggregate over
-    ``(outcome, views) -> n`` (distinct values, not rows); the median is
-    :func:`exact_median`, which never gathers an outcome in one task.
-    Views of 0 are included (unlike the bin operator).
+    One scan: count, min, max, mean and the exact median all come from the
+    checkpointed counts ``(outcome, views) -> n`` (distinct values, not rows), and
+    no outcome is gathered in one task.  Views of 0 are included (unlike the bin
+    operator).  An outcome without rows has a row of zeros.
     """
     known = results.where(F.col(knows).isNotNull()).select(
         F.col(knows).alias("knows"), F.col(views).cast("bigint").alias("v")
     )
-    vc = known.groupBy("knows", "v").agg(F.count(F.lit(1)).alias("n"))
+    vc = _sorted_counts(known, "knows", "v")
+    n = F.col("__n")
     stats = vc.groupBy("knows").agg(
         F.min("v").alias("min_views"),
         F.max("v").alias("max_views"),
-        (F.sum(F.col("v") * F.col("n")).cast("double") / F.sum("n")).alias("mean_views"),
-        F.sum("n").cast("bigint").alias("count"),
+        (F.sum(F.col("v") * n).cast("double") / F.sum(n)).alias("mean_views"),
+        F.sum(n).cast("bigint").alias("count"),
     )
-    med = exact_median(known, "knows", "v").withColumnRenamed("median", "median_views")
-    return stats.join(med, "knows").select("knows", "min_views", "max_views", "mean_views", "median_views", "count")
+    med = _median_of_counts(vc, "knows", "v").withColumnRenamed("median", "median_views")
+    outcomes = results.sparkSession.range(2).select((F.col("id") == 1).alias("knows"))
+    both = outcomes.join(stats.join(med, "knows"), "knows", "left").na.fill(0)
+    return both.select("knows", "min_views", "max_views", "mean_views", "median_views", "count")
 
 
 def count_by_month(entities: DataFrame, date_col: str = "death_date") -> DataFrame:

@@ -6,7 +6,9 @@ single-partition windows inside them see calendar-sized inputs only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowtrace.functions.core import mid_month, pct_text, py_fixed, thousands
@@ -21,11 +23,11 @@ def daily_series(results: DataFrame) -> DataFrame:
 
 
 def monthly_bars(results: DataFrame) -> DataFrame:
-    """Month, mid-month anchor date, accuracy, n known."""
+    """Month, mid-month anchor date, accuracy, n known, the bar's label."""
     m = select.known_accuracy(metrics.accuracy_by(results, "month"))
-    return m.select(
-        "month", mid_month("month").alias("anchor"), "accuracy", (F.col("correct") + F.col("incorrect")).alias("n")
-    )
+    n = F.col("correct") + F.col("incorrect")
+    label = F.concat(py_fixed("accuracy", 0), F.lit("%\n(n="), n.cast("string"), F.lit(")"))
+    return m.select("month", mid_month("month").alias("anchor"), "accuracy", n.alias("n"), label.alias("label"))
 
 
 def monthly_trend(results: DataFrame, min_samples: int = 1, run: str | None = None) -> DataFrame:
@@ -40,25 +42,29 @@ def monthly_trend(results: DataFrame, min_samples: int = 1, run: str | None = No
     return out
 
 
-def report_rows(results: DataFrame) -> DataFrame:
-    """The text report as (section, text) rows: overall, view statistics per outcome, by month."""
+def report_rows(results: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """The text report as (seq, section, text) rows: overall, view statistics per outcome, by month.
+
+    ``seq`` is the order to print them in.  ``stats``: :func:`metrics.pageview_stats`, if at hand.
+    """
     o = metrics.overall_summary(results)
 
     def line(label, count_col, pct_col):
         return F.concat(F.lit(label), F.col(count_col).cast("string"), F.lit(" ("), pct_text(pct_col), F.lit(")"))
 
     overall = o.select(
-        F.explode(
+        F.posexplode(
             F.array(
                 F.concat(F.lit("Total tested: "), F.col("total").cast("string")),
                 line("  Knows death: ", "correct", "pct_correct"),
                 line("  Doesn't know: ", "incorrect", "pct_incorrect"),
                 F.when(F.col("unknown") > 0, line("  Errors: ", "unknown", "pct_unknown")),
             )
-        ).alias("text")
-    ).where(F.col("text").isNotNull()).select(F.lit("overall").alias("section"), "text")
-    st = metrics.pageview_stats(results)
+        ).alias("seq", "text")
+    ).where(F.col("text").isNotNull()).select(F.col("seq").cast("bigint").alias("seq"), F.lit("overall").alias("section"), "text")
+    st = (metrics.pageview_stats(results) if stats is None else stats).where("count > 0")
     stats = st.select(
+        F.when(F.col("knows"), F.lit(10)).otherwise(F.lit(11)).cast("bigint").alias("seq"),
         F.lit("stats").alias("section"),
         F.concat(
             F.when(F.col("knows"), F.lit("  Deaths model KNOWS (n=")).otherwise(F.lit("  Deaths model DOESN'T KNOW (n=")),
@@ -75,6 +81,8 @@ def report_rows(results: DataFrame) -> DataFrame:
     )
     m = metrics.accuracy_by(results, "month")
     months = m.select(
+        # months of the calendar, not rows of the input
+        (F.lit(100) + F.row_number().over(Window.orderBy("month")) - 1).cast("bigint").alias("seq"),
         F.lit("month").alias("section"),
         F.concat(
             F.lit("  "),
@@ -91,17 +99,40 @@ def report_rows(results: DataFrame) -> DataFrame:
     return overall.unionByName(stats).unionByName(months)
 
 
-def recall_report(results: DataFrame, num_bins: int = 10, min_samples: int = 1, run: str | None = None) -> dict[str, DataFrame]:
-    """Every report frame of one results table (lazy; nothing runs until used)."""
-    return {
-        "by_day": metrics.accuracy_by(results, "day"),
-        "by_month": metrics.accuracy_by(results, "month"),
-        "overall": metrics.overall_summary(results),
-        "pageview_stats": metrics.pageview_stats(results),
-        "daily_series": daily_series(results),
-        "monthly_bars": monthly_bars(results),
-        "bins": bins.accuracy_by_log_bins(results, num_bins),
-        "rug": bins.rug_points(results),
-        "monthly_trend": monthly_trend(results, min_samples, run),
-        "report_rows": report_rows(results),
-    }
+class Report(Mapping):
+    """Frames by name; each is built when it is first asked for, and then kept."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders, self._frames = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._builders[name]()
+        return self._frames[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def recall_report(results: DataFrame, num_bins: int = 10, min_samples: int = 1, run: str | None = None) -> Report:
+    """Every report frame of one results table.  Nothing runs on the call itself;
+    asking for the view statistics (or the rows that print them) starts one job.
+    """
+    out = Report(
+        {
+            "by_day": lambda: metrics.accuracy_by(results, "day"),
+            "by_month": lambda: metrics.accuracy_by(results, "month"),
+            "overall": lambda: metrics.overall_summary(results),
+            "pageview_stats": lambda: metrics.pageview_stats(results),
+            "daily_series": lambda: daily_series(results),
+            "monthly_bars": lambda: monthly_bars(results),
+            "bins": lambda: bins.accuracy_by_log_bins(results, num_bins),
+            "rug": lambda: bins.rug_points(results),
+            "monthly_trend": lambda: monthly_trend(results, min_samples, run),
+            "report_rows": lambda: report_rows(results, out["pageview_stats"]),
+        }
+    )
+    return out

@@ -35,6 +35,7 @@ SETTINGS_ROWS = [
     ("batch-jsonl", "low", 200, 1.0, SYSTEM_REASONING, None, None, None, "LOW"),
 ]
 RETRY_START, RETRY_CAP = 200, 800
+SERVICE_TIER = "flex"
 # -----------------------------------------------------------------------------
 
 SETTINGS_SCHEMA = T.StructType(
@@ -130,8 +131,12 @@ def with_ordinal(df: DataFrame, order: Sequence[Column], name: str = "position")
 
 
 def hash_id(*cols: ColumnOrName) -> Column:
-    """Stable request id from an entity key (scale default when no ordinal is needed)."""
-    return F.format_string("%016x", F.xxhash64(*[_c(c) for c in cols]))
+    """Stable request id from an entity key (scale default when no ordinal is needed).
+
+    128 bits: 64-bit ids of some billions of entities would clash and merge answers.
+    """
+    parts = [F.coalesce(F.concat(F.length(_c(c).cast("string")).cast("string"), F.lit(":"), _c(c).cast("string")), F.lit("-")) for c in cols]
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
 
 
 def typed_request(request_id: ColumnOrName, model: ColumnOrName, prompt_col: ColumnOrName) -> Column:
@@ -177,6 +182,24 @@ def jsonl_request(key: ColumnOrName, prompt_col: ColumnOrName) -> Column:
     return F.to_json(F.struct(_c(key).alias("key"), req.alias("request")))
 
 
+def sequential_request(model: ColumnOrName, prompt_col: ColumnOrName) -> Column:
+    """P12 sequential shape: ``{model, messages[system, user], max_completion_tokens, temperature, service_tier, reasoning_effort}``.
+
+    Needs the settings columns (``attach_settings``) in scope.
+    """
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), _c(text).alias("content"))
+    return F.to_json(
+        F.struct(
+            _c(model).alias("model"),
+            F.array(message("system", "system"), message("user", prompt_col)).alias("messages"),
+            F.col("max_tokens").alias("max_completion_tokens"),
+            F.col("temperature").cast("int").alias("temperature"),
+            F.lit(SERVICE_TIER).alias("service_tier"),
+            F.col("effort").alias("reasoning_effort"),
+        )
+    )
+
+
 def build_requests(
     selected: DataFrame,
     order: Sequence[Column],
@@ -205,7 +228,9 @@ def build_requests(
         F.col("position").cast("string")
     )
     df = df.withColumn("request_id", rid)
-    payload = F.when(F.col("family") == "batch-jsonl", jsonl_request("request_id", "prompt")).otherwise(
-        typed_request("request_id", "model", "prompt")
+    payload = (
+        F.when(F.col("family") == "batch-jsonl", jsonl_request("request_id", "prompt"))
+        .when(F.col("family") == "batch-typed", typed_request("request_id", "model", "prompt"))
+        .otherwise(sequential_request("model", "prompt"))
     )
     return df.withColumn("payload", payload)

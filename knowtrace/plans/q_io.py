@@ -234,19 +234,19 @@ def resume_union(spark, sf_dir):
 @register(
     "report_rows",
     with_(RESULTS, MONTHLY)
-    + """SELECT 'overall' AS section, 'Total tested: ' || CAST(count(*) AS VARCHAR) AS text FROM results
-UNION ALL SELECT 'overall', '  Knows death: ' || CAST(count(*) FILTER (WHERE knows) AS VARCHAR) || ' ('
+    + """SELECT 0 AS seq, 'overall' AS section, 'Total tested: ' || CAST(count(*) AS VARCHAR) AS text FROM results
+UNION ALL SELECT 1, 'overall', '  Knows death: ' || CAST(count(*) FILTER (WHERE knows) AS VARCHAR) || ' ('
   || printf('%.1f', CAST(count(*) FILTER (WHERE knows) AS DOUBLE) / count(*) * 100) || '%)' FROM results
-UNION ALL SELECT 'overall', '  Doesn''t know: ' || CAST(count(*) FILTER (WHERE NOT knows) AS VARCHAR) || ' ('
+UNION ALL SELECT 2, 'overall', '  Doesn''t know: ' || CAST(count(*) FILTER (WHERE NOT knows) AS VARCHAR) || ' ('
   || printf('%.1f', CAST(count(*) FILTER (WHERE NOT knows) AS DOUBLE) / count(*) * 100) || '%)' FROM results
-UNION ALL SELECT 'overall', '  Errors: ' || CAST(count(*) FILTER (WHERE knows IS NULL) AS VARCHAR) || ' ('
+UNION ALL SELECT 3, 'overall', '  Errors: ' || CAST(count(*) FILTER (WHERE knows IS NULL) AS VARCHAR) || ' ('
   || printf('%.1f', CAST(count(*) FILTER (WHERE knows IS NULL) AS DOUBLE) / count(*) * 100) || '%)' FROM results
   HAVING count(*) FILTER (WHERE knows IS NULL) > 0
-UNION ALL SELECT 'stats', CASE WHEN knows THEN '  Deaths model KNOWS (n=' ELSE '  Deaths model DOESN''T KNOW (n=' END
+UNION ALL SELECT CASE WHEN knows THEN 10 ELSE 11 END, 'stats', CASE WHEN knows THEN '  Deaths model KNOWS (n=' ELSE '  Deaths model DOESN''T KNOW (n=' END
   || CAST(count(*) AS VARCHAR) || '): Min: ' || format('{:,}', min(pageviews)) || '  Max: ' || format('{:,}', max(pageviews))
   || '  Mean: ' || format('{:,.0f}', avg(pageviews)) || '  Median: ' || format('{:,.0f}', CAST(median(pageviews) AS DOUBLE))
   FROM results WHERE knows IS NOT NULL GROUP BY knows
-UNION ALL SELECT 'month', '  ' || month || ': ' || CASE WHEN accuracy IS NULL THEN 'N/A' ELSE printf('%.1f', accuracy) || '%' END
+UNION ALL SELECT 99 + row_number() OVER (ORDER BY month), 'month', '  ' || month || ': ' || CASE WHEN accuracy IS NULL THEN 'N/A' ELSE printf('%.1f', accuracy) || '%' END
   || ' (' || CAST(correct AS VARCHAR) || '/' || CAST(correct + incorrect AS VARCHAR) || ' known)' FROM monthly""",
 )
 def report_rows(spark, sf_dir):

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knowtrace.functions.core import mid_month
-from knowtrace.operators import bins, metrics, pageviews, select
+from knowtrace.operators import bins, metrics, pageviews, report, select
 from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import DAILY, MONTHLY, RESULTS, with_
@@ -215,17 +214,12 @@ def missing_by_month(spark, sf_dir):
 @register(
     "monthly_bars",
     with_(RESULTS, MONTHLY)
-    + """SELECT month, CAST(month || '-15' AS DATE) AS anchor, accuracy, correct + incorrect AS n
+    + """SELECT month, CAST(month || '-15' AS DATE) AS anchor, accuracy, correct + incorrect AS n,
+  printf('%.0f', accuracy) || '%' || chr(10) || '(n=' || CAST(correct + incorrect AS VARCHAR) || ')' AS label
 FROM monthly WHERE accuracy IS NOT NULL""",
 )
 def monthly_bars(spark, sf_dir):
-    m = select.known_accuracy(metrics.accuracy_by(B.results(spark, sf_dir), "month"))
-    return m.select(
-        "month",
-        mid_month("month").alias("anchor"),
-        "accuracy",
-        (F.col("correct") + F.col("incorrect")).alias("n"),
-    )
+    return report.monthly_bars(B.results(spark, sf_dir))
 
 
 @register(
