@@ -59,7 +59,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, kind: str) -> str:
     """A fresh, unique sub-path of the shared folder for one job's output."""
-    return f"{shared_dir(spark)}/knowtrace/{kind}/{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/knowtrace/{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder (tables, not checkpoints).
+
+    Results are lazy and read those tables, so call it once they are written elsewhere.
+    Checkpoints go with their frames if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:

@@ -122,3 +122,19 @@ def test_run_labels_come_back_and_prune(spark):
     assert {r.run for r in back.select("run").distinct().collect()} == {"my model_topday-all", "50%_x", "007"}
     plan = back.where("run = '50%_x'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run" in plan
+
+
+def test_work_tables_can_be_cleared(spark, tmp_path):
+    import os
+
+    from knowtrace import session
+
+    kept = session.work_path(spark, "cleared")
+    _results(spark).write.parquet(kept)
+    own = kept.split("/cleared/")[0].replace("file:", "")
+    assert os.path.isdir(own)
+    other = own + "-other"
+    os.makedirs(other)
+    session.clear_work(spark)
+    assert not os.path.exists(own) and os.path.isdir(other)
+    os.rmdir(other)
