@@ -18,6 +18,7 @@ from knowtrace.functions.core import month_key
 from knowtrace.operators import pageviews, select
 from knowtrace.operators import wikitext as W
 from knowtrace.session import cut_lineage
+from knowtrace.sources import csv_io
 
 
 def completed_months(existing: DataFrame, date_col: str = "death_date") -> DataFrame:
@@ -41,20 +42,25 @@ def collect_entities(
     end,
     title: str = "title",
     months: DataFrame | None = None,
+    corrections: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """T4 (one pass): month pages in range -> parse -> date filter -> 60-day views
-    -> drop rows without an article.  Returns ``(entities, rejects)``.
+    """T4 (one pass): month pages in range -> parse -> corrections -> date filter
+    -> 60-day views -> drop rows without an article.  Returns ``(entities, rejects)``.
 
     ``months`` restricts the pages further (``pending_months`` for a resume).
+    Rows that ``corrections`` (J5) repairs get their views like any other.
     """
     spark = pages.sparkSession
     months = months if months is not None else W.month_starts(spark, start, end)
     wanted = W.month_pages(pages, months, title)
-    ent, rejects = W.parse_pages(wanted)
-    # The view join reads its entity input three times (date bounds, day
-    # spans, join back); checkpoint the parsed rows once to the shared folder
-    # rather than parse three times.
-    ent = cut_lineage(select.date_range(ent, start, end))
+    # Entities, rejects and the view join (date bounds, day spans, join back) all
+    # read the parsed rows: checkpoint them once rather than parse for each.
+    parsed = cut_lineage(W.parse_all(wanted))
+    ent = parsed.where(F.col("code") == "ok").select(*W.ENTITY_COLS)
+    rejects = parsed.where(F.col("code") != "ok").select(*W.REJECT_COLS)
+    if corrections is not None:
+        ent = ent.unionByName(W.apply_corrections(rejects, corrections), allowMissingColumns=True)
+    ent = select.date_range(ent, start, end)
     att = select.drop_missing_article(pageviews.attach_pageviews(ent, views))
     return att, rejects
 
@@ -79,6 +85,18 @@ def ingest_months(pages: DataFrame, views: DataFrame, existing: DataFrame | None
     return union_existing(new, existing)
 
 
+def append_months(pages: DataFrame, views: DataFrame, path: str, start, end, title: str = "title", corrections: DataFrame | None = None) -> bool:
+    """K4: collect the months that the entity CSV at ``path`` lacks and append them to it.
+
+    Files already there are neither read beyond their dates nor written again;
+    a second run on its own output finds nothing to do.  Returns whether rows came.
+    """
+    spark = pages.sparkSession
+    todo = pending_months(spark, start, end, csv_io.read_entities(spark, path, missing_ok=True))
+    new, _ = collect_entities(pages, views, start, end, title, months=todo, corrections=corrections)
+    return csv_io.write_entities(new, path, mode="append")
+
+
 def with_run_dimensions(results: DataFrame, run_col: str = "run") -> DataFrame:
     """Model title, subtitle and minimum views parsed from each row's run name."""
     from knowtrace.functions.labels import min_views_of, model_title, views_subtitle

@@ -234,3 +234,24 @@ def build_requests(
         .otherwise(sequential_request("model", "prompt"))
     )
     return df.withColumn("payload", payload)
+
+
+def build_run(
+    entities: DataFrame,
+    model: str,
+    tie: Sequence[str],
+    start=None,
+    end=None,
+    top_per_day: int | None = None,
+    top_per_month: int | None = None,
+    min_views: int | None = None,
+    reasoning: bool = False,
+    jsonl_level: str = "disabled",
+) -> DataFrame:
+    """T5: date range -> minimum views -> top-N -> order -> requests of the model's family."""
+    from knowtrace.operators import select
+
+    chosen = entities if start is None and end is None else select.date_range(entities, start, end)
+    chosen = select.select_top(chosen, tie, top_per_day, top_per_month, min_views)
+    per = "month" if top_per_month else "day" if top_per_day else None
+    return build_requests(chosen, select.selection_order(per, tie), model, reasoning, jsonl_level)

@@ -138,3 +138,33 @@ def test_work_tables_can_be_cleared(spark, tmp_path):
     session.clear_work(spark)
     assert not os.path.exists(own) and os.path.isdir(other)
     os.rmdir(other)
+
+
+def _month(spark, name, year, month, lines):
+    return spark.createDataFrame([(name, f"Deaths in {name}", year, month, "\n".join(lines))], "page_id string, title string, year int, month int, text string")
+
+
+def test_append_months_on_its_own_output(spark):
+    path = work_path(spark, "append") + "/deaths.csv"
+    pages = _month(spark, "January 2024", 2024, 1, ["==1==", "* [[Ann Example]], 40, Danish painter", "* [[Bo Example]], 41, singer"])
+    pages = pages.unionByName(_month(spark, "February 2024", 2024, 2, ["==3==", "* [[Cy Example]], 50, Danish singer"]))
+    days = [("Ann_Example", dt.date(2024, 1, 3), 7), ("Bo_Example", dt.date(2024, 1, 3), 5), ("Cy_Example", dt.date(2024, 2, 4), 9)]
+    views = pageviews.daily_views(spark.createDataFrame(days, "article string, day date, views long"))
+    fixes = spark.createDataFrame([("January 2024", 3, "fix", "", "Danish singer")], "page_id string, line_no int, action string, name string, description string")
+    assert ingest.append_months(pages, views, path, "2024-01-01", "2024-01-31", corrections=fixes)
+    files = set(spark.read.format("binaryFile").load(path).select("path").toPandas()["path"])
+    assert ingest.append_months(pages, views, path, "2024-01-01", "2024-02-29", corrections=fixes)
+    assert not ingest.append_months(pages, views, path, "2024-01-01", "2024-02-29", corrections=fixes)
+    got = sorted((r.name, r.pageviews) for r in csv_io.read_entities(spark, path).collect())
+    assert got == [("Ann Example", 7), ("Bo Example", 5), ("Cy Example", 9)]  # the corrected row has its views
+    assert files <= set(spark.read.format("binaryFile").load(path).select("path").toPandas()["path"])
+
+
+def test_build_run(spark):
+    from knowtrace.operators import requests as R
+
+    rows = [("A", dt.date(2024, 1, 1), "x", 5), ("B", dt.date(2024, 1, 1), "x", 9), ("C", dt.date(2024, 1, 2), "x", 1), ("D", dt.date(2025, 1, 1), "x", 99)]
+    df = spark.createDataFrame(rows, "name string, death_date date, description string, pageviews long")
+    got = R.build_run(df, "claude-x", ["name"], "2024-01-01", "2024-12-31", top_per_day=1, min_views=2).orderBy("position").collect()
+    assert [(r.name, r.request_id) for r in got] == [("B", "0")] and '"custom_id":"0"' in got[0].payload
+    assert [r.name for r in R.build_run(df, "gpt-x", ["name"]).orderBy("position").collect()] == ["D", "B", "A", "C"]

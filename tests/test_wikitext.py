@@ -1,5 +1,5 @@
 """Page parsing: entry goldens and line-state goldens (FIXTURES section 3), and
-the line-state windows against a plain loop model on random pages."""
+the line-state windows on generated pages."""
 
 import random
 import re
@@ -161,3 +161,30 @@ def test_month_title_and_pages(spark):
         W.month_starts(spark, "2024-03-01", "2024-01-01")
     t = spark.range(1).select(F.lit(1).alias("x"))
     assert t.count() == 1
+
+
+ENTRIES = [
+    ("* [[Bo Example]], 40, Danish painter [http://x.example a, b]", "ok", "Danish painter"),
+    ("* [[Bo Example]], {{circa}} 73, Danish painter", "ok", "c. 73"),
+    ("* [[Bo Example]], 40, Danish <b>painter</b>", "ok", "Danish painter"),
+    ("* [[Bo Example]], 40, Danish {{x|y}}painter", "ok", "Danish painter"),
+    ("* [[Bo Example]], 40, Danish painter (1984–2024)", "ok", "Danish painter"),
+    ("* {{ill|Bo Example|da}}, 73, [[Danish]] painter", "foreign_only", None),
+    ("* Bo [[Danish]], 40, Danish painter", "not_link", None),
+    ("* [[Bo Example, 40, Danish painter", "bad_link", None),
+    ("* [[File:Bo.jpg]], 40, Danish painter", "colon", None),
+    ("* [[B]], 40, Danish painter", "short_name", None),
+    ("* [[AL]], 40, Danish painter", "bad_two_letter", None),
+    ("* [[Bo Example]],", "no_content", None),
+    ("* [[Bo Example]], 40, U.S. senator", "short_desc", None),
+    ("* [[Bo Example]], 40, singer", "one_word", None),
+    ("* [[Bo Example]], 40, - : - :: -", "punct_only", None),
+]
+
+
+def test_every_entry_code(spark):
+    page = "==1==\n" + "\n".join(x for x, _, _ in ENTRIES) + "\n==31==\n* [[Bo Example]], 40, Danish painter"
+    pages = spark.createDataFrame([("p", 2024, 2, page)], "page_id string, year int, month int, text string")
+    got = {r.line_no: (r.code, r.description if r.code == "ok" else None) for r in W.parse_all(pages).collect()}
+    want = {n + 2: (code, desc) for n, (_, code, desc) in enumerate(ENTRIES)}
+    assert got == {**want, len(ENTRIES) + 3: ("invalid_date", None)}
