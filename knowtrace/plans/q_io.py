@@ -13,6 +13,7 @@ from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import MONTHLY, RESULTS, with_
 from knowtrace.plans.q_requests import PRIORITY_MODELS
+from knowtrace.plans.q_wikitext import ENTITIES_SQL
 from knowtrace.plans.render import SQL_SOURCES, render_pages
 from knowtrace.session import work_path
 from knowtrace.sources import csv_io
@@ -198,17 +199,19 @@ def pending_months(spark, sf_dir):
 @register(
     "resume_union",
     with_(
+        RESULTS,
         SQL_SOURCES,
-        f"""ok AS (SELECT okey, t, d FROM src WHERE shape IN (0, 1, 2, 3, 7)
+        f"""ok AS (SELECT *, n2 AS c_name_sp FROM src WHERE shape IN (0, 1, 2, 3, 7)
   AND d BETWEEN DATE '{RESUME_EXISTING_BEFORE}' AND DATE '{RESUME_END}')""",
-        """v AS (SELECT 'Person_' || CAST(l_orderkey AS VARCHAR) AS article, CAST(l_shipdate AS DATE) AS day FROM lineitem)""",
-        """new_rows AS (SELECT DISTINCT ok.okey, ok.d FROM ok JOIN v ON v.article = replace(ok.t, ' ', '_')
-  AND v.day BETWEEN ok.d - 1 AND ok.d + 58)""",
-        f"""old_rows AS (SELECT o_orderkey AS okey, CAST(o_orderdate AS DATE) AS d FROM orders
-  WHERE CAST(o_orderdate AS DATE) < DATE '{RESUME_EXISTING_BEFORE}')""",
+        f"ent AS ({ENTITIES_SQL.replace('FROM ok', ', okey FROM ok')})",
+        """v AS (SELECT 'Person_' || CAST(l_orderkey AS VARCHAR) AS article, CAST(l_shipdate AS DATE) AS day,
+         CAST(l_quantity AS BIGINT) AS views FROM lineitem)""",
     )
-    + """SELECT strftime(d, '%Y-%m') AS month, count(*) AS n
-FROM (SELECT d FROM old_rows UNION ALL SELECT d FROM new_rows) u GROUP BY 1""",
+    + f"""SELECT name, death_date, description, pageviews FROM results WHERE death_date < DATE '{RESUME_EXISTING_BEFORE}'
+UNION ALL SELECT e.name, e.death_date, e.description, CAST(sum(v.views) AS BIGINT)
+FROM ent e JOIN v ON v.article = replace(e.article_title, ' ', '_')
+  AND v.day BETWEEN e.death_date - 1 AND e.death_date + 58
+GROUP BY e.okey, e.name, e.death_date, e.description""",
 )
 def resume_union(spark, sf_dir):
     """The existing output covers every month before 1998; a run for
@@ -228,7 +231,7 @@ def resume_union(spark, sf_dir):
     base = work_path(spark, "resume") + "/deaths.csv"
     csv_io.write_entities(out, base, version="1.0")
     back = csv_io.read_entities(spark, csv_io.versioned_path(base, "1.0"))
-    return metrics.count_by_month(back)
+    return back.select("name", "death_date", "description", "pageviews")
 
 
 @register(

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knowtrace.functions.core import month_key
 from knowtrace.operators import pageviews
 from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import MONTHLY, RESULTS, with_
+from knowtrace.plans.q_wikitext import ENTITIES_SQL
 from knowtrace.plans.render import SQL_SOURCES, render_pages
 from knowtrace.session import cut_lineage, work_path
 from knowtrace.streaming.accuracy import stream_accuracy as run_accuracy
@@ -22,11 +22,11 @@ from knowtrace.streaming.ingest import stream_ingest as run_ingest
 
 @register("stream_accuracy", with_(RESULTS, MONTHLY) + "SELECT * FROM monthly")
 def stream_accuracy(spark, sf_dir):
-    """ST2: results land as one file per year; the stream consumes two files
+    """ST2: results land as eight files; the stream consumes two files
     per micro-batch and publishes the running table."""
     base = work_path(spark, "stream_accuracy")
     r = B.results(spark, sf_dir).select("name", "death_date", "pageviews", "knows")
-    r.repartition(F.year("death_date")).write.mode("overwrite").parquet(f"{base}/in")
+    r.repartition(8).write.mode("overwrite").parquet(f"{base}/in")
     run_accuracy(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", max_files_per_trigger=2)
     return spark.read.parquet(f"{base}/out").select("month", "correct", "incorrect", "unknown", "total", "accuracy")
 
@@ -35,12 +35,15 @@ def stream_accuracy(spark, sf_dir):
     "stream_ingest",
     with_(
         SQL_SOURCES,
-        "ok AS (SELECT okey, t, d FROM src WHERE shape IN (0, 1, 2, 3, 7))",
-        "v AS (SELECT 'Person_' || CAST(l_orderkey AS VARCHAR) AS article, CAST(l_shipdate AS DATE) AS day FROM lineitem)",
-        """hit AS (SELECT DISTINCT ok.okey, ok.d FROM ok JOIN v ON v.article = replace(ok.t, ' ', '_')
-  AND v.day BETWEEN ok.d - 1 AND ok.d + 58)""",
+        "ok AS (SELECT *, n2 AS c_name_sp FROM src WHERE shape IN (0, 1, 2, 3, 7))",
+        f"ent AS ({ENTITIES_SQL.replace('FROM ok', ', okey FROM ok')})",
+        """v AS (SELECT 'Person_' || CAST(l_orderkey AS VARCHAR) AS article, CAST(l_shipdate AS DATE) AS day,
+         CAST(l_quantity AS BIGINT) AS views FROM lineitem)""",
     )
-    + "SELECT strftime(d, '%Y-%m') AS month, count(*) AS n FROM hit GROUP BY 1",
+    + """SELECT e.name, e.death_date, e.description, CAST(sum(v.views) AS BIGINT) AS pageviews
+FROM ent e JOIN v ON v.article = replace(e.article_title, ' ', '_')
+  AND v.day BETWEEN e.death_date - 1 AND e.death_date + 58
+GROUP BY e.okey, e.name, e.death_date, e.description""",
 )
 def stream_ingest(spark, sf_dir):
     """ST1: page files arrive in two drops (up to 1997, then the rest); each run
@@ -62,4 +65,4 @@ def stream_ingest(spark, sf_dir):
     late.write.mode("append").parquet(f"{base}/in")
     run_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", views, max_files_per_trigger=4)
     out = spark.read.parquet(f"{base}/out/entities")
-    return out.groupBy(month_key("death_date").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("name", "death_date", "description", "pageviews")
