@@ -20,6 +20,7 @@ from knowtrace.sources.jsonl import read_responses_jsonl, write_requests_jsonl
 TOP_MONTH = 10
 MIN_VIEWS = 100_000
 REASONING_VIEWS = 250_000
+SEQUENTIAL_MODEL = "gpt-5.2"
 TYPED_MODEL = "claude-opus-4-5"
 JSONL_MODEL = "gemini-3-flash-preview"
 
@@ -51,11 +52,15 @@ def _priority_model_sql() -> str:
     return f"CASE o_orderpriority {whens} END"
 
 
-def _settings_values_sql() -> str:
-    rows = []
-    for fam, lvl, mt, temp, system, *_ in R.SETTINGS_ROWS:
-        rows.append(f"({_sql_str(fam)}, {_sql_str(lvl)}, {mt}, {temp}, {_sql_str(system)})")
-    return "settings(family, level, max_tokens, temperature, system) AS (VALUES " + ", ".join(rows) + ")"
+#: Fixed values, stated apart from the library's own table so that a wrong one shows.
+SETTINGS_SQL = """settings(family, level, max_tokens, temperature, system, effort, thinking_type, thinking_budget, thinking_level) AS (VALUES
+  ('sequential', 'off', 5, 0.0, 'Answer only "Yes" or "No". Nothing else.', 'none', NULL, NULL, NULL),
+  ('sequential', 'on', 200, 1.0, 'Answer only "Yes" or "No". Nothing else. Produce minimal reasoning.', 'low', NULL, NULL, NULL),
+  ('batch-typed', 'off', 2, 0.0, 'Answer only "Yes" or "No". Nothing else. If unsure, answer "Yes".', NULL, 'disabled', NULL, NULL),
+  ('batch-typed', 'on', 1026, 1.0, 'Answer only "Yes" or "No". Nothing else. Produce minimal reasoning. If unsure, answer "Yes".', NULL, 'enabled', 1024, NULL),
+  ('batch-jsonl', 'disabled', 5, 0.0, 'Answer only "Yes" or "No". Nothing else.', NULL, NULL, NULL, NULL),
+  ('batch-jsonl', 'minimal', 5, 0.0, 'Answer only "Yes" or "No". Nothing else.', NULL, NULL, NULL, 'MINIMAL'),
+  ('batch-jsonl', 'low', 200, 1.0, 'Answer only "Yes" or "No". Nothing else. Produce minimal reasoning.', NULL, NULL, NULL, 'LOW'))"""
 
 
 @register(
@@ -74,10 +79,11 @@ def _settings_values_sql() -> str:
                    CASE WHEN reasoning OR contains(lower(model), 'gemini-3-pro') THEN 'low' ELSE 'disabled' END
                  WHEN reasoning THEN 'on' ELSE 'off' END AS level
   FROM f)""",
-        _settings_values_sql(),
+        SETTINGS_SQL,
     )
     + """SELECT l.name, l.model, l.family, l.level, CAST(s.max_tokens AS INTEGER) AS max_tokens,
-  CAST(s.temperature AS DOUBLE) AS temperature, s.system
+  CAST(s.temperature AS DOUBLE) AS temperature, s.system, s.effort, s.thinking_type,
+  CAST(s.thinking_budget AS INTEGER) AS thinking_budget, s.thinking_level
 FROM l LEFT JOIN settings s ON s.family = l.family AND s.level = l.level""",
 )
 def settings_join(spark, sf_dir):
@@ -95,7 +101,7 @@ def settings_join(spark, sf_dir):
         "level", R.settings_level("family", "reasoning", "model")
     )
     df = R.attach_settings(df)
-    return df.select("name", "model", "family", "level", "max_tokens", "temperature", "system")
+    return df.select("name", "model", "family", "level", "max_tokens", "temperature", "system", "effort", "thinking_type", "thinking_budget", "thinking_level")
 
 
 def _selected(spark, sf_dir):
@@ -127,7 +133,7 @@ def _order():
     + f"""SELECT position, CAST(position AS VARCHAR) AS request_id, prompt,
   json_object('custom_id', CAST(position AS VARCHAR),
     'params', json_object('model', {_sql_str(TYPED_MODEL)}, 'max_tokens', 2, 'temperature', 0,
-      'system', {_sql_str(R.SYSTEM_TYPED)},
+      'system', 'Answer only "Yes" or "No". Nothing else. If unsure, answer "Yes".',
       'messages', json_array(json_object('role', 'user', 'content', prompt)),
       'thinking', json_object('type', 'disabled')))::VARCHAR AS payload
 FROM ord""",
@@ -137,6 +143,23 @@ def requests_typed(spark, sf_dir):
     return req.select("position", "request_id", "prompt", "payload")
 
 
+@register(
+    "requests_sequential",
+    _SELECTED_SQL
+    + f"""SELECT position, CAST(position AS VARCHAR) AS request_id, prompt,
+  json_object('model', {_sql_str(SEQUENTIAL_MODEL)},
+    'messages', json_array(
+      json_object('role', 'system', 'content', 'Answer only "Yes" or "No". Nothing else. Produce minimal reasoning.'),
+      json_object('role', 'user', 'content', prompt)),
+    'max_completion_tokens', 200, 'temperature', 1, 'service_tier', 'flex', 'reasoning_effort', 'low')::VARCHAR AS payload
+FROM ord""",
+)
+def requests_sequential(spark, sf_dir):
+    """T5 as one job, P12 sequential shape."""
+    run = R.build_run(B.results(spark, sf_dir), SEQUENTIAL_MODEL, ["row_key"], top_per_month=TOP_MONTH, min_views=MIN_VIEWS, reasoning=True)
+    return run.select("position", "request_id", "prompt", "payload")
+
+
 @register(
     "requests_jsonl",
     _SELECTED_SQL
@@ -144,7 +167,7 @@ def requests_typed(spark, sf_dir):
   json_object('key', 'request-' || CAST(position AS VARCHAR),
     'request', json_object(
       'contents', json_array(json_object('parts', json_array(json_object('text', prompt)), 'role', 'user')),
-      'systemInstruction', json_object('parts', json_array(json_object('text', {_sql_str(R.SYSTEM_REASONING)}))),
+      'systemInstruction', json_object('parts', json_array(json_object('text', 'Answer only "Yes" or "No". Nothing else. Produce minimal reasoning.'))),
       'generationConfig', json_object('temperature', 1.0::DOUBLE, 'maxOutputTokens', 200,
                                       'thinkingConfig', json_object('thinkingLevel', 'LOW'))))::VARCHAR AS payload
 FROM ord""",
