@@ -82,6 +82,20 @@ ORACLE_SQL: dict[str, str] = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
         g AS (SELECT doc_id, body, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g""",
+    # runs of 2, 4, 8, 16 and 20 words, each from two shorter ones; null where the text ends first
+    "op9_window_dedup": r"""
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        r1 AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM t),
+        r2 AS (SELECT doc_id, word, place, word || ' ' || lead(word, 1) OVER d AS a FROM r1 WINDOW d AS (PARTITION BY doc_id ORDER BY place)),
+        r4 AS (SELECT doc_id, word, place, a || ' ' || lead(a, 2) OVER d AS b FROM r2 WINDOW d AS (PARTITION BY doc_id ORDER BY place)),
+        r8 AS (SELECT doc_id, word, place, b, b || ' ' || lead(b, 4) OVER d AS c FROM r4 WINDOW d AS (PARTITION BY doc_id ORDER BY place)),
+        r16 AS (SELECT doc_id, word, place, b, c || ' ' || lead(c, 8) OVER d AS e FROM r8 WINDOW d AS (PARTITION BY doc_id ORDER BY place)),
+        r20 AS (SELECT doc_id, word, place, e || ' ' || lead(b, 16) OVER d AS run FROM r16 WINDOW d AS (PARTITION BY doc_id ORDER BY place)),
+        starts AS (SELECT doc_id, word, place, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, place) > 1 AS late FROM r20),
+        marked AS (SELECT doc_id, word, place, bool_or(late) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM starts),
+        cut AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM t LEFT JOIN cut USING (doc_id)""",
     "op10_arc_to_warc": r"""
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM p)
