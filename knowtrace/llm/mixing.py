@@ -4,8 +4,9 @@ Every document first gets the whole copies that are certain; the fractional
 rest is an inclusion probability, and a fixed-size sample (in words) is the head
 of the order of random odds divided by inclusion odds within each source.
 
-Only DataFrame functions are used.  Nothing is sorted as a whole: the order is
-cut with a histogram, and only the one bin of each source that holds the cut is ranked.
+Only DataFrame functions are used.  Nothing is sorted as a whole: the order is cut with a
+histogram of ``BINS`` bins, the bin of each source that holds the cut with a finer one, and only
+what is left there (a millionth of the order's range) is ranked.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in
 order; an empty table gives no rows; a source without words has target 0; repeated rows
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from knowtrace.llm.common import checked, pinned, words
 
 BINS = 1024
+LEVELS = 2
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -51,6 +53,31 @@ def uniform(seed: int, *cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def _bin(level: int) -> Column:
+    """Bin of ``rank`` among BINS ** level; a power of two, so finer bins lie within coarser ones exactly."""
+    bins = BINS**level
+    return F.when(F.col("rank").isNotNull(), F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1)))
+
+
+def cut_bins(drawn: DataFrame) -> DataFrame:
+    """of (source), cut_bin, before (words of the bins below): the finest bin that holds each source's cut.
+
+    Each level counts the bins inside the one the level above found, at most BINS a source.
+    """
+    cut = None
+    for level in range(1, LEVELS + 1):
+        rows = drawn.where(F.col("rank").isNotNull()).withColumn("bin", _bin(level))
+        if cut is None:
+            rows = rows.withColumn("before", F.lit(0).cast("long"))
+        else:
+            rows = rows.join(checked(cut), F.col("source").eqNullSafe(F.col("of")) & (_bin(level - 1) == F.col("cut_bin")))
+        fill = rows.groupBy("source", "rest", "before", "bin").agg(F.sum("size").alias("words"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
+        fill = fill.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+        cut = pinned(fill.select(F.col("source").alias("of"), F.col("bin").alias("cut_bin"), (F.col("upto") - F.col("words")).alias("before")), "mix-cuts")
+    return cut
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -83,13 +110,8 @@ def mix(
     # the order of the odds, mapped to (0, 1) so that bins of equal width cut it finely
     drawn = sizes.join(s, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     drawn = drawn.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
-    drawn = drawn.withColumn("bin", F.when(F.col("rank").isNotNull(), F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1))))
-
-    fill = drawn.where(F.col("bin").isNotNull()).groupBy("source", "rest", "bin").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    cut = fill.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
-    cut = pinned(cut.select(F.col("source").alias("of"), F.col("bin").alias("cut_bin"), (F.col("upto") - F.col("words")).alias("before")), "mix-cuts")
-    drawn = drawn.join(checked(cut), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    cut = checked(cut_bins(drawn))
+    drawn = drawn.withColumn("bin", _bin(LEVELS)).join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
 
     at_cut = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
     # without a cut every candidate fits
