@@ -33,9 +33,11 @@ from knowtrace.llm.common import let, pinned
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.  Repeats are possessive where nothing after them could
 #: take back a character: the same matches without backtracking or recursion on long runs.
+#: An address or a number is tried from the start of its run (or where the last match ended): a later
+#: start in the run would meet the same end of it, so long runs take linear time.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
