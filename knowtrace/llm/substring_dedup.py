@@ -111,7 +111,7 @@ def repeats(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             early = ~late
             rows = list(_pack((h[early] % np.uint64(buckets)).astype(np.int64), doc[early], pos[early], ids, tags, h[early]))
             if late.any():
-                rows += _pack(_by_document(ids, buckets)[doc[late]], doc[late], pos[late], ids, tags, None)
+                rows += _pack(_by_document(ids, tags, buckets)[doc[late]], doc[late], pos[late], ids, tags, None)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def counted(table: pa.Table) -> pa.Table:
@@ -125,15 +125,16 @@ def repeats(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             done.append((ids[late], tags[late], pos[late]))
         ids, tags, pos = (np.concatenate([p[i] for p in done]) for i in range(3))
         doc, ids, tags, pos = _documents(ids, tags, pos)
-        out = list(_pack(_by_document(ids, buckets)[doc], doc, pos, ids, tags, None))
+        out = list(_pack(_by_document(ids, tags, buckets)[doc], doc, pos, ids, tags, None))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
 
     packed = docs.mapInArrow(hashed, PACKED)
     return packed.groupBy("bucket").applyInArrow(counted, PACKED)
 
 
-def _by_document(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def _by_document(ids: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of documents; by id and text, so that rows without an id do not share one."""
+    return (mix(ids.view(np.uint64) ^ mix(tags.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
 
 
 def _documents(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
