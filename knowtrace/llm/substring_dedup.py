@@ -30,6 +30,8 @@ from knowtrace.llm.hashing import mix, numbered, pieces, spread, word_hashes
 
 BASE = 0x9E3779B97F4A7C15 | 1
 LAST = 2**63 - 1
+#: Intervals (8 bytes each) up to which they are broadcast with their documents, of which few must be, too.
+BROADCAST_INTERVALS = 2_000_000
 #: Bytes of text that a task compares at once before it packs the rest for the buckets.
 PIECE = 4 << 20
 PACKED = "bucket int, repeats boolean, docs binary, tags binary, runs binary, gaps binary, hashes binary"
@@ -174,7 +176,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = F.coalesce("doc_id", F.lit(LAST))
     keyed = rows.select(key.alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
     cuts = pinned(intervals(repeats(keyed, width, blob_buckets(rows, "text", bucket_bytes)), width), "intervals")
-    cuts = checked(cuts.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "starts", "ends"))
+    cuts = cuts.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "starts", "ends")
+    held = cuts.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+    cuts = checked(cuts) if held <= BROADCAST_INTERVALS else cuts
     joined = rows.join(cuts, (key == F.col("of")) & (F.xxhash64("text") == F.col("of_tag")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
