@@ -178,6 +178,28 @@ def test_personal_data_adds_what_the_base_reads_across(spark, tmp_path):
     assert sum(r.n_added for i, r in got.items() if i < 400) <= 4
 
 
+#: Numbers in short groups and written-out addresses, each alone in its text.
+ALONE = [
+    "call +33 6 12 34 56 78 soon", "+32 2 55 44 33 22", "pay 411 111 111 111 111 1 now", "41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1",
+    "write jo at example.com", "jo [AT] example [DOT] org", "jo@a.b", "1.2.3.4", "ab:1:2:3:4:5:6:7", "0033 6 12 34 56 78", "555-1234", "(212) 555-1234", "12345678", "3782 822463 10005",
+]
+
+
+def test_personal_data_alone_in_a_text(spark, tmp_path):
+    """What a text holds besides does not decide whether a number or an address is found."""
+    folder = rows.write(spark, tmp_path, [(i, t, "s") for i, t in enumerate(ALONE)])
+    got = {r.doc_id: r for r in queries.op7_boosted_pii(spark, folder).collect()}
+    for i, t in enumerate(ALONE):
+        r, (expected, spans) = got[i], brute_spans(t)
+        assert ((r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256), r.spans) == (expected, ",".join(spans)), t
+    assert [(got[i].n_card, got[i].n_phone) for i in range(5)] == [(0, 1), (0, 1), (1, 0), (1, 0), (1, 0)]
+    text = F.col("text")
+    bare = F.concat(*[pii.matches(text, p, F.lit(True), n) for n, k in enumerate(pii.KINDS) for p, _ in pii.PROPOSED[k]])
+    docs = spark.createDataFrame([(t or "",) for t in ALONE + PERSONAL], "text string")
+    for r in docs.select(F.array_distinct(bare).alias("bare"), pii.proposals(text).alias("guarded")).collect():
+        assert [tuple(s)[:4] for s in r.guarded] == [tuple(s) for s in r.bare]
+
+
 def test_empty_tables(spark, empty):
     for name in ("op3_ngram_llr", "op4_crf_toxicity", "op7_boosted_pii", "op10_arc_to_warc"):
         assert queries.QUERIES[name](spark, empty).count() == 0, name
