@@ -6,13 +6,13 @@ base span is an example of its kind; one that overlaps a base span of any kind w
 being one (a part of a number, a number read across its end), or equals a match that the base
 check turned down, is a counter-example.  Boosted trees learn
 from both by format (digits, groups, signs, check digit) and context (neighbouring characters,
-cue words); per kind, the lowest score at which ``precision`` of the examples set aside for
-calibration are right is its threshold.  Proposals at or above it are added; base spans always stay.
+cue words); per kind, the lowest score at which ``precision`` of the examples that the trees did
+not see are right is its threshold.  Proposals at or above it are added; base spans always stay.
 
 Only DataFrame functions and the engine's own tree learner are used; the learned trees are
 applied as column expressions inside each row, so documents are neither exploded nor shuffled.
-The learner sees at most ``examples`` proposals, the smallest by hash; generators and thresholds
-cover every whole text.
+The learner sees at most ``examples`` proposals, for each kind the smallest by hash; generators cover
+every whole text, and thresholds every example that the learner does not see (a quarter by hash is kept from it).
 
 Defined cases: null text is empty; offsets are code points, end exclusive; with fewer than
 ``LEAST`` examples or counter-examples nothing is added; repeated rows are judged each; an empty
@@ -22,6 +22,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -220,13 +221,18 @@ def learn(found: DataFrame, examples: int, precision: float, seed: int):
     p = found.select("doc_id", "base", "failed", F.explode("proposed").alias("p"))
     told = F.exists("base", lambda b: _overlap(b, F.col("p"))) | F.exists("failed", lambda b: _same(b, F.col("p")))
     p = p.where(told).withColumn("label", F.exists("base", lambda b: _same(b, F.col("p"))).cast("double"))
-    p = p.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "p.start", "p.end", "p.kind")).orderBy("h", "doc_id", "p").limit(examples)
-    p = pinned(p.select("label", "h", "p", *[F.get("p.x", F.lit(n)).alias(name) for n, name in enumerate(FEATURES)]), "examples")
-    calibration = F.pmod("h", F.lit(4)) == 0
-    n, good = p.where(~calibration).agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    p = pinned(p.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "p.start", "p.end", "p.kind")), "told")
+    kept_out = F.pmod("h", F.lit(4)) == 0
+    each = [p.where((F.col("p.kind") == n) & ~kept_out).orderBy("h", "doc_id", "p").limit(examples // len(KINDS)) for n in range(len(KINDS))]
+    fit = pinned(reduce(DataFrame.unionAll, each).select("label", "h", F.col("p.kind").alias("of"), *[F.get("p.x", F.lit(n)).alias(name) for n, name in enumerate(FEATURES)]), "examples")
+    n, good = fit.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if min(good, n - good) < LEAST:
         return None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(p.where(~calibration))
+    last = {r[0]: r[1] for r in fit.groupBy("of").agg(F.max("h")).collect()}  # KINDS rows
+    unseen = kept_out
+    for n in range(len(KINDS)):
+        unseen = unseen | ((F.col("p.kind") == n) & (F.col("h") > last[n] if n in last else F.lit(True)))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(fit)
     model = GBTClassifier(maxIter=8, maxDepth=4, stepSize=0.3, seed=seed, subsamplingRate=1.0, maxBins=32).fit(vectors)
     trees = [(w, t.toDebugString) for w, t in zip(model.treeWeights, model.trees)]
 
@@ -236,7 +242,7 @@ def learn(found: DataFrame, examples: int, precision: float, seed: int):
             margin = margin + F.lit(float(w)) * tree_expression(t, x)
         return 1.0 / (1.0 + F.exp(-2.0 * margin))
 
-    scored = p.where(calibration).select(F.col("p.kind").alias("kind"), "label", F.round(probability(F.col("p.x")), 6).alias("score"))
+    scored = p.where(unseen).select(F.col("p.kind").alias("kind"), "label", F.round(probability(F.col("p.x")), 6).alias("score"))
     levels = scored.groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("kind").orderBy(F.desc("score"))
     levels = levels.select("kind", "score", (F.sum("good").over(down) / F.sum("n").over(down)).alias("right"))

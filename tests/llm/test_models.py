@@ -200,6 +200,26 @@ def test_personal_data_alone_in_a_text(spark, tmp_path):
         assert [tuple(s)[:4] for s in r.guarded] == [tuple(s) for s in r.bare]
 
 
+def test_personal_data_thresholds_of_rare_kinds(spark, monkeypatch):
+    """A kind that is rare among many proposals of another is learned, and calibrated on all examples not learned from."""
+    texts = [f"write to a{i}@b{i}.com or c{i}@d.org and e{i}@f.net" for i in range(600)]
+    texts += [f"server at 10.{i}.3.{200 - i} and 300.{i}.1.1 end" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    text = F.col("text")
+    found = docs.withColumn("m", pii.base_matches(text)).select("doc_id", pii._spans(F.col("m"), True).alias("base"), pii._spans(F.col("m"), False).alias("failed"), pii.proposals(text).alias("proposed"))
+    written = {}
+
+    def kept(df, kind):
+        written[kind] = df.localCheckpoint()
+        return written[kind]
+
+    monkeypatch.setattr(pii, "pinned", kept)
+    _, cut = pii.learn(found, 200, 0.98, 5)
+    sizes = {r[0]: r[1] for r in written["examples"].groupBy("of").count().collect()}
+    assert sizes[0] == 50 and sizes[1] == 50
+    assert cut["email"] < 2 and cut["ip"] < 2
+
+
 def test_empty_tables(spark, empty):
     for name in ("op3_ngram_llr", "op4_crf_toxicity", "op7_boosted_pii", "op10_arc_to_warc"):
         assert queries.QUERIES[name](spark, empty).count() == 0, name
