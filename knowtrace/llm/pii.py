@@ -250,6 +250,19 @@ def learn(found: DataFrame, examples: int, precision: float, seed: int):
     return probability, {k: max(0.5, best[n]) if n in best else 2.0 for n, k in enumerate(KINDS)}
 
 
+def apart(spans: Column) -> Column:
+    """Of overlapping spans of a kind the longest (the first of equals), against those that stay: longest first."""
+    ranked = F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("shorter"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["found"].alias("found")))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
+
+    def step(kept: Column, s: Column) -> Column:
+        span = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["found"].alias("found"))
+        taken = F.exists(kept, lambda o: (o["kind"] == s["kind"]) & _overlap(o, s))
+        return F.when(taken, kept).otherwise(F.concat(kept, F.array(span)))
+
+    return F.aggregate(F.sort_array(ranked), none, step)
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, precision: float = 0.98, seed: int = 5) -> DataFrame:
     """doc_id, base, added: arrays of struct(start, kind (number in KINDS), end, found), by start, then kind.
 
@@ -265,11 +278,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exampl
     thresholds = F.array(*[F.lit(float(cut[k])) for k in KINDS])
     free = lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     chosen = F.filter("proposed", lambda s: free(s) & (probability(s["x"]) >= F.get(thresholds, s["kind"])))
-    plain = found.withColumn("chosen", F.transform(chosen, lambda s: F.struct(s["start"], s["kind"], s["end"], s["found"])))
-    # a longer overlapping proposal of the kind, or an equally long one that starts earlier, wins
-    wins = lambda o, s: (o["kind"] == s["kind"]) & _overlap(o, s) & ((o["end"] - o["start"] > s["end"] - s["start"]) | ((o["end"] - o["start"] == s["end"] - s["start"]) & (o["start"] < s["start"])))
-    added = F.filter("chosen", lambda s: ~F.exists("chosen", lambda o: wins(o, s)))
-    return plain.select("doc_id", "base", F.sort_array(added).alias("added"))
+    return found.select("doc_id", "base", F.sort_array(apart(chosen)).alias("added"))
 
 
 def count(spans: Column, kind: str) -> Column:

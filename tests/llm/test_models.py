@@ -220,6 +220,15 @@ def test_personal_data_thresholds_of_rare_kinds(spark, monkeypatch):
     assert cut["email"] < 2 and cut["ip"] < 2
 
 
+def test_personal_data_chains_of_overlaps(spark):
+    """A span that only overlaps a dropped one stays; another kind does not matter."""
+    kind = "array<struct<start:int,kind:int,end:int,found:string>>"
+    spans = [(0, 3, 8, "a"), (6, 3, 16, "b"), (14, 3, 26, "c"), (6, 2, 16, "d"), (30, 3, 35, "e"), (33, 3, 38, "f"), (37, 3, 42, "g")]
+    docs = spark.createDataFrame([(spans,), ([],)], f"spans {kind}")
+    got = [[s.found for s in r.kept] for r in docs.select(F.sort_array(pii.apart(F.col("spans"))).alias("kept")).collect()]
+    assert got == [["a", "d", "c", "e", "g"], []]
+
+
 def test_empty_tables(spark, empty):
     for name in ("op3_ngram_llr", "op4_crf_toxicity", "op7_boosted_pii", "op10_arc_to_warc"):
         assert queries.QUERIES[name](spark, empty).count() == 0, name
