@@ -4,15 +4,17 @@ An n-gram seen ``c`` times is stored as its level ``1 + floor(log_1.5 c)``: the
 (n-gram, 1) up to (n-gram, level), and a count is read back by probing level after level until one
 is missing.  The probability of a word after another interpolates the two counts read
 this way with the smoothed count of the word alone; the interpolation weight depends on the level
-of the context and is fitted with each n-gram's own occurrence left out.
+of the context and is fitted over all training tokens with each n-gram's own occurrence left out.
 
 Building: tasks count the n-grams of a piece of their texts, deal them as packed columns to segments by
 their hash, and one task a segment adds up the counts and fills that segment's bits, so
 the filter is made in parallel and only finished bits travel to the driver.  Segments grow in
 number with the text.  At most ``max_filter_bytes`` are broadcast at once: a larger filter is used in
-several passes, each scoring the words whose pair belongs to its segments, and the
+several passes, each reading the words whose pair belongs to its segments, and the
 passes' sums add up, so no n-gram is left out.  The segments of single words (about two bytes
-a different word) are part of every pass.
+a different word) are part of every pass.  A pass writes each token's three levels (context, pair,
+word); the weights are fitted on the counts of equal levels over all passes, which is exact, and then
+the scores are summed from the written levels.
 
 The exact unigram score beside it takes counts of the ``FREQUENT`` most frequent words (or somewhat fewer: the cut
 falls between levels) from a broadcast table, and joins the others.  Words are told apart by their
@@ -26,6 +28,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowtrace.llm.common import blob_buckets, checked, pinned
-from knowtrace.llm.hashing import mix, numbered, pieces, word_hashes
+from knowtrace.llm.hashing import mix, numbered, pieces, spread, word_hashes
 
 END = b""
 STEP = 1.5
@@ -43,9 +46,9 @@ BITS_EACH = 10
 FREQUENT = 1_000_000
 #: Bytes of text that a task counts or scores at once.
 PIECE = 2 << 20
-TUNE_DOCS = 400
-TUNE_CHARS = 20_000
 CONTEXTS = 64
+#: Levels are below this: a code is (context * LEVELS + pair) * LEVELS + word.
+LEVELS = 128
 PACKED = "segment int, keys binary, counts binary"
 
 
@@ -204,54 +207,103 @@ def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
 
 
 class Model:
-    """p(word | before) from the levels a filter gives."""
+    """p(word | before) from levels."""
 
-    def __init__(self, store: Filter, total: int, vocabulary: int, weights: np.ndarray | None = None):
-        self.store, self.total, self.vocabulary = store, total, vocabulary
+    def __init__(self, total: int, vocabulary: int, weights: np.ndarray | None = None):
+        self.total, self.vocabulary = total, vocabulary
         self.weights = np.full(CONTEXTS, 0.3) if weights is None else weights
         self.counts = level_counts()
 
-    def parts(self, flat: np.ndarray, lens: np.ndarray, h: np.ndarray, unigrams: np.ndarray, leave: int = 0):
-        """For each token: pair key held or not, context level, bigram share, smoothed unigram share."""
-        keys, at = np.unique(_pairs(flat, lens, h), return_inverse=True)
-        held = self.store.holds(keys)
-        pair = np.maximum(self.counts[self.store.level(keys)] - leave, 0)[at]
-        before = np.roll(flat, 1)
-        before[np.cumsum(lens) - lens] = flat[np.cumsum(lens) - 1]
-        context = self.counts[unigrams[before]]
+    def parts(self, code: np.ndarray, leave: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each code: its weight's number, bigram share, smoothed unigram share."""
+        before, pair, word = code // LEVELS**2, code // LEVELS % LEVELS, code % LEVELS
+        context, pair = self.counts[before], np.maximum(self.counts[pair] - leave, 0)
         share = np.minimum(np.where(context > leave, pair / np.maximum(context - leave, 1), 0.0), 1.0)
-        alone = (np.maximum(self.counts[unigrams[flat]] - leave, 0) + 1) / (self.total + self.vocabulary + 1)
-        return held[at], np.minimum(unigrams[before], CONTEXTS - 1), share, np.minimum(alone, 1.0)
+        alone = (np.maximum(self.counts[word] - leave, 0) + 1) / (self.total + self.vocabulary + 1)
+        return np.minimum(before, CONTEXTS - 1), share, np.minimum(alone, 1.0)
 
-    def log10(self, flat, lens, h, unigrams) -> np.ndarray:
-        """Sum a text over the tokens whose pair this filter holds."""
-        held, context, share, alone = self.parts(flat, lens, h, unigrams)
+    def log10(self, code: np.ndarray) -> np.ndarray:
+        context, share, alone = self.parts(code)
         w = self.weights[context]
-        each = np.where(held, np.log10(w * share + (1 - w) * alone), 0.0)
-        return np.add.reduceat(each, np.cumsum(lens) - lens) if len(lens) else each
+        return np.log10(w * share + (1 - w) * alone)
 
-    def fit(self, texts: list[bytes], unigrams, rounds: int = 20) -> np.ndarray:
-        """Interpolation weights by context level (EM), each occurrence left out of its counts."""
-        if not texts:
+    def fit(self, code: np.ndarray, n: np.ndarray, rounds: int = 20) -> np.ndarray:
+        """Interpolation weights by context level (EM) from how often each code occurs, each occurrence left out of its counts."""
+        if not len(code):
             return self.weights
-        flat, lens, different = numbered(_tokens(texts))
-        h = word_hashes(different)
-        held, context, share, alone = self.parts(flat, lens, h, unigrams(h), leave=1)
-        context, share, alone = context[held], share[held], alone[held]
+        context, share, alone = self.parts(code, leave=1)
         w = np.full(CONTEXTS, 0.3)
-        size = np.bincount(context, minlength=CONTEXTS)
+        size = np.bincount(context, n, minlength=CONTEXTS)
         for _ in range(rounds):
             a = w[context] * share
-            up = np.bincount(context, a / (a + (1 - w[context]) * alone), minlength=CONTEXTS)
+            up = np.bincount(context, n * a / (a + (1 - w[context]) * alone), minlength=CONTEXTS)
             w = (up + 1) / (size + 10)  # a few words that the pair does not tell
         return np.clip(w, 1e-4, 0.95)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 128 << 20, is_held_out: Column | None = None, tune_docs: int = TUNE_DOCS) -> DataFrame:
+def read_codes(store: Filter, flat: np.ndarray, lens: np.ndarray, h: np.ndarray, unigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the tokens whose pair this filter holds, in order within each text, and how many a text has."""
+    keys, at = np.unique(_pairs(flat, lens, h), return_inverse=True)
+    pair, held = np.minimum(store.level(keys), LEVELS - 1)[at], store.holds(keys)[at]
+    before = np.roll(flat, 1)
+    before[np.cumsum(lens) - lens] = flat[np.cumsum(lens) - 1]
+    unigrams = np.minimum(unigrams, LEVELS - 1)
+    code = (unigrams[before] * LEVELS + pair) * LEVELS + unigrams[flat]
+    text = np.repeat(np.arange(len(lens)), lens)[held]
+    ordered = np.sort(text * LEVELS**3 + code[held])  # equal levels side by side: they compress well
+    return ordered % LEVELS**3, np.bincount(text, minlength=len(lens))
+
+
+def pack(code: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Per text its codes as three runs of bytes: contexts, pairs, words."""
+    out, at = np.empty(3 * len(code), dtype=np.uint8), spread(3 * (np.cumsum(n) - n), n)
+    for k, level in enumerate((code // LEVELS**2, code // LEVELS % LEVELS, code % LEVELS)):
+        out[at + k * np.repeat(n, n)] = level
+    offsets = np.concatenate([[0], np.cumsum(3 * n)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def unpack(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``pack`` was given."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) // 3
+    at, step = spread(3 * (np.cumsum(n) - n), n), np.repeat(n, n)
+    before, pair, word = (data[at + k * step].astype(np.int64) for k in range(3))
+    return (before * LEVELS + pair) * LEVELS + word, n
+
+
+def code_counts(part: DataFrame) -> DataFrame:
+    """code, n: how often the texts' tokens have each code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (piece for whole in batches for piece in pieces(whole, 0, PIECE)):
+            code, n = np.unique(unpack(b.column(0).to_pylist())[0], return_counts=True)
+            yield pa.record_batch([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+
+    return part.select("codes").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def summed(part: DataFrame, model: Model) -> DataFrame:
+    """The part with the sum of its codes' logarithms as ``score`` in place of the codes."""
+    columns = [c for c in part.columns if c != "codes"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.select(columns).schema) + ", score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (piece for whole in batches for piece in pieces(whole, len(columns), PIECE)):
+            code, n = unpack(b.column(len(columns)).to_pylist())
+            different, at = np.unique(code, return_inverse=True)
+            text = np.repeat(np.arange(len(n)), n)
+            each = np.bincount(text, model.log10(different)[at], minlength=len(n))
+            yield pa.record_batch([*b.columns[:-1], pa.array(each, pa.float64())], [*columns, "score"])
+
+    return part.select(*columns, "codes").mapInArrow(run, kinds)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 128 << 20, is_held_out: Column | None = None, tune_docs: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The interpolation weights (CONTEXTS numbers) are fitted on at most ``tune_docs`` training
-    texts of at most TUNE_CHARS characters, the smallest by hash.
+    The interpolation weights (CONTEXTS numbers) are fitted on all training texts, or on ``tune_docs``
+    of them, the smallest by hash; 0 leaves them at 0.3.
     """
     spark = docs.sparkSession
     out_of = held_out(F.col(id_col)) if is_held_out is None else is_held_out
@@ -281,23 +333,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
         filled += sizes[s]
 
     share = spark.sparkContext.broadcast((frequent, read(sorted(x for x in sizes if x < segments))))
-    tune = train.where(F.length("text") <= TUNE_CHARS).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(tune_docs)
-    texts = [r[0].encode() for r in tune.select("text").collect()]
     parts = []
-    weights = None
     for number, shard in enumerate(shards):
-        store = read(shard)
-        if number == 0:
-            exact, known = Counts(*frequent), Filter(*share.value[1])
-            weights = Model(Filter(*store), total, vocabulary).fit(texts, lambda h: _unigram_levels(h, exact(h), known))
-        model = spark.sparkContext.broadcast((store, total, vocabulary, weights))
-        del store
-        parts.append(pinned(_score_pass(rows, model, share, number == 0), "scores"))
-
-    first = parts[0]
-    tail = first.select("row", F.explode("tail").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n"))
+        store = spark.sparkContext.broadcast(read(shard))
+        parts.append(pinned(_read_pass(rows, store, share, number == 0), "levels"))
+
+    tuned = [p.where("not held_out") for p in parts]
+    if tune_docs is not None:
+        tuned = [p.orderBy(F.xxhash64("doc_id", "tag"), "doc_id", "tag").limit(tune_docs) for p in tuned]
+    # at most LEVELS^3 rows, a few thousand in practice
+    table = reduce(DataFrame.unionAll, map(code_counts, tuned)).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    weights = Model(total, vocabulary).fit(table.column("code").to_numpy(), table.column("n").to_numpy())
+    tail = parts[0].select("row", F.explode("tail").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n"))
     rare = tail.join(counts, "h").groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_sum"))
-    out = first.drop("tail").join(rare, "row", "left")
+    parts = [summed(p.drop("tail"), Model(total, vocabulary, weights)) for p in parts]
+    out = parts[0].join(rare, "row", "left")
     for p in parts[1:]:  # equal rows have equal scores
         p = p.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), F.col("score").alias("more")).dropDuplicates(["of", "of_tag"])
         out = out.join(p, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")))
@@ -321,26 +371,26 @@ def _unigram_levels(h: np.ndarray, exact: np.ndarray, words: Filter) -> np.ndarr
     return out
 
 
-def _score_pass(rows: DataFrame, model, share, with_base: bool) -> DataFrame:
-    """row, doc_id, held_out, tag, n_tokens, known, base, score, tail: one pass over all texts."""
+def _read_pass(rows: DataFrame, store, share, with_base: bool) -> DataFrame:
+    """row, doc_id, held_out, tag, n_tokens, known, base, codes, tail: one pass over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, words = Counts(*share.value[0]), Filter(*share.value[1])
-        lm = Model(Filter(*model.value[0]), *model.value[1:])
+        pairs = Filter(*store.value)
         at = TaskContext.get().partitionId() << 40
         for b in (part for whole in batches for part in pieces(whole, 3, PIECE)):
             flat, lens, different = numbered(_tokens(b.column(3).to_pylist()))
             h = word_hashes(different)
             c = frequent(h)
-            s = lm.log10(flat, lens, h, _unigram_levels(h, c, words))
+            codes = pack(*read_codes(pairs, flat, lens, h, _unigram_levels(h, c, words)))
             starts = np.cumsum(lens) - lens
             known = np.add.reduceat((c > 0).astype(np.int64)[flat], starts)
             base = np.add.reduceat(np.log10(c + 1.0)[flat], starts)
             ids = pa.array(np.arange(at, at + len(lens)), pa.int64())
             at += len(lens)
-            yield pa.record_batch([ids, b.column(0), b.column(1), b.column(2), pa.array(lens), pa.array(known), pa.array(base), pa.array(s), _tails(flat, lens, h, c == 0 if with_base else np.zeros(len(c), dtype=bool))], ["row", "doc_id", "held_out", "tag", "n_tokens", "known", "base", "score", "tail"])
+            yield pa.record_batch([ids, b.column(0), b.column(1), b.column(2), pa.array(lens), pa.array(known), pa.array(base), codes, _tails(flat, lens, h, c == 0 if with_base else np.zeros(len(c), dtype=bool))], ["row", "doc_id", "held_out", "tag", "n_tokens", "known", "base", "codes", "tail"])
 
-    kinds = "row long, doc_id long, held_out boolean, tag long, n_tokens long, known long, base double, score double, tail array<struct<h:long,n:long>>"
+    kinds = "row long, doc_id long, held_out boolean, tag long, n_tokens long, known long, base double, codes binary, tail array<struct<h:long,n:long>>"
     return rows.select("doc_id", "held_out", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text")).mapInArrow(run, kinds)
 
 

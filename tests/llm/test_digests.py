@@ -203,6 +203,16 @@ def test_language_model_in_passes(spark, odd):
         assert abs(one[rows.key(r[:2])] - r[2]) < 1e-6
 
 
+def test_language_model_weights_in_passes(spark, odd):
+    """Fitted weights, and so the scores, do not depend on the number of passes."""
+    from knowtrace.llm import lm_score
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    one = {rows.key(r[:2]): r[2] for r in lm_score.score(docs).select("doc_id", "base_score", "score").collect()}
+    for r in lm_score.score(docs, max_filter_bytes=4000).select("doc_id", "base_score", "score").collect():
+        assert abs(one[rows.key(r[:2])] - r[2]) < 1e-6
+
+
 def test_filter_levels():
     import numpy as np
 
