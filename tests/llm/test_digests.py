@@ -213,6 +213,17 @@ def test_language_model_weights_in_passes(spark, odd):
         assert abs(one[rows.key(r[:2])] - r[2]) < 1e-6
 
 
+def test_language_model_weights_see_every_training_token(spark, odd, monkeypatch):
+    """Texts beyond 20,000 characters and beyond the first 400 count too."""
+    from knowtrace.llm import lm_score
+
+    docs = [(i, f"long{i} " * 3000 if i % 100 == 0 else f"short w{i}", "a") for i in range(600)]
+    seen, fit = [], lm_score.Model.fit
+    monkeypatch.setattr(lm_score.Model, "fit", lambda self, code, n: seen.append(int(n.sum())) or fit(self, code, n))
+    total = {r.train_tokens for r in lm_score.score(rows.table(spark, docs)).select("train_tokens").collect()}
+    assert {*seen} == total == {sum(len(t.split()) + 1 for i, t, _ in docs if zlib.crc32(str(i).encode()) % 7 != 2)}
+
+
 def test_filter_levels():
     import numpy as np
 
