@@ -236,8 +236,10 @@ def _apart(texts: list[str]) -> list[str]:
 
 
 def sample(rows: DataFrame, labels: DataFrame, docs_each: int) -> tuple[list[str], list[str], float]:
-    """Toxic and clean training texts, and the share of toxic labels."""
+    """Toxic and clean training texts, and the share of toxic labels among those of ``rows``."""
     kinds = pinned(labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL"), "toxic-labels")
+    # only labels of the rows that may be learned from count
+    kinds = pinned(rows.select("doc_id").join(checked(kinds), F.col("doc_id") == F.col("of")).select("of", "toxic").distinct(), "toxic-learned")
     n, bad = kinds.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     out = []
     for kind, most in ((1, docs_each), (0, 2 * docs_each)):

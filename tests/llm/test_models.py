@@ -119,6 +119,16 @@ def test_toxicity_rows_and_spans(spark, sf):
     assert toxicity.offending(text, np.array([0, 1, 1, 0, 1], dtype=bool)) == [{"start": 2, "end": 12}, {"start": 18, "end": 21}]
 
 
+def test_toxicity_ignores_labels_of_other_rows(spark):
+    """Labels of rows that are not learned from, or of no row, change no score."""
+    docs = spark.createDataFrame([(i, f"some plain words {i} " + ("vile vile" if i % 3 == 0 else "fine day")) for i in range(120)], "doc_id long, text string")
+    scores = []
+    for toxic in (0, 1):
+        labels = spark.createDataFrame([(i, int(i % 3 == 0) if i < 90 else toxic) for i in range(200)], "doc_id long, toxic int")
+        scores.append({r.doc_id: r.score for r in toxicity.score(docs, labels, learn=F.col("doc_id") < 90).collect()})
+    assert scores[0] == scores[1] and scores[0][0] > scores[0][1]
+
+
 def brute_spans(t):
     out = []
     sha = hashlib.sha256
