@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowtrace.llm import bpe, exact_dedup, lm_score, mixing, pii, quality, simhash, substring_dedup, toxicity, warc
+from knowtrace.llm import bpe, exact_dedup, lm_score, merkle, mixing, pii, quality, simhash, substring_dedup, toxicity, warc
 from knowtrace.session import work_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -72,10 +72,20 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, f"{path}/warc").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and digest of the proof of every document; texts of ids with an even crc32 lose their line ends and are folded again."""
+    forge = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = merkle.document_leaves(_table(spark, sf_dir, "documents"), forge)
+    return merkle.verify(merkle.manifest(leaves, carry=["forged"]))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pareto_mix, op2_simhash_pivots, op3_ngram_llr, op4_crf_toxicity, op5_bloom_lm, op6_salted_dedup, op7_boosted_pii, op8_byte_bpe, op9_window_dedup, op10_arc_to_warc)
-}
+    for f in (
+        op1_pareto_mix, op2_simhash_pivots, op3_ngram_llr, op4_crf_toxicity, op5_bloom_lm, op6_salted_dedup, op7_boosted_pii, op8_byte_bpe,
+        op9_window_dedup, op10_arc_to_warc, op11_merkle_butterfly,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_salted_dedup": r"""
