@@ -94,6 +94,18 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def person_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily views under the article names of the rendered month pages."""
+    li = table(spark, sf_dir, "lineitem")
+    return daily_views(
+        li.select(
+            F.concat(F.lit("Person_"), F.col("l_orderkey").cast("string")).alias("article"),
+            F.to_date("l_shipdate").alias("day"),
+            F.col("l_quantity").cast("bigint").alias("views"),
+        )
+    )
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, prompt, answer): each user turn with the next turn if it is the assistant's.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from knowtrace.functions import labels as L
 from knowtrace.functions.core import month_key
-from knowtrace.operators import ingest, metrics, pageviews, report
+from knowtrace.operators import ingest, ledger, metrics, pageviews, report
 from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import MONTHLY, RESULTS, with_
@@ -218,14 +218,7 @@ def resume_union(spark, sf_dir):
     mid-1997..1999 collects only 1998-1999 from the pages and keeps the rest."""
     existing = B.results(spark, sf_dir).where(F.col("death_date") < F.lit(RESUME_EXISTING_BEFORE))
     existing = existing.select("name", "death_date", "description", "pageviews")
-    li = B.table(spark, sf_dir, "lineitem")
-    views = pageviews.daily_views(
-        li.select(
-            F.concat(F.lit("Person_"), F.col("l_orderkey").cast("string")).alias("article"),
-            F.to_date("l_shipdate").alias("day"),
-            F.col("l_quantity").cast("bigint").alias("views"),
-        )
-    )
+    views = B.person_views(spark, sf_dir)
     out = ingest.ingest_months(render_pages(spark, sf_dir), views, existing, RESUME_START, RESUME_END)
     # K1/K5 then S2: the merged table is written as the versioned entity CSV and read back.
     base = work_path(spark, "resume") + "/deaths.csv"
@@ -234,6 +227,36 @@ def resume_union(spark, sf_dir):
     return back.select("name", "death_date", "description", "pageviews")
 
 
+@register(
+    "month_ledger",
+    with_(
+        SQL_SOURCES,
+        "ok AS (SELECT *, n2 AS c_name_sp FROM src WHERE shape IN (0, 1, 2, 3, 7))",
+        f"ent AS ({ENTITIES_SQL.replace('FROM ok', ', okey FROM ok')})",
+        """v AS (SELECT 'Person_' || CAST(l_orderkey AS VARCHAR) AS article, CAST(l_shipdate AS DATE) AS day,
+         CAST(l_quantity AS BIGINT) AS views FROM lineitem)""",
+        """totals AS (SELECT e.death_date, CAST(sum(v.views) AS BIGINT) AS pageviews
+FROM ent e JOIN v ON v.article = replace(e.article_title, ' ', '_') AND v.day BETWEEN e.death_date - 1 AND e.death_date + 58
+GROUP BY e.okey, e.name, e.death_date, e.description)""",
+        f"months AS ({_months_sql(PENDING_START, PENDING_END)})",
+    )
+    + """SELECT month_key, count(pageviews) AS rows, CAST(coalesce(sum(pageviews), 0) AS BIGINT) AS views, CASE WHEN month_key < '1998-01' THEN 1 ELSE 2 END AS run
+FROM months LEFT JOIN totals ON strftime(death_date, '%Y-%m') = month_key GROUP BY month_key""",
+)
+def month_ledger(spark, sf_dir):
+    """K4 with a ledger: a run up to 1997, one that ends before it commits, and one over the whole range."""
+    path = work_path(spark, "month_ledger")
+    pages, views = render_pages(spark, sf_dir), B.person_views(spark, sf_dir)
+    first = ledger.collect_months(pages, views, path, PENDING_START, "1997-12-31")
+    ledger.write_rows(ledger.read_months(spark, path, "1996-01-01", "1996-12-31"), path, "uncommitted")
+    ledger.collect_months(pages, views, path, PENDING_START, PENDING_END)
+    rows = ledger.read_months(spark, path).groupBy(month_key("death_date").alias("month_key")).agg(F.count(F.lit(1)).alias("n"), F.sum("pageviews").alias("views"))
+    done = ledger.committed(spark, path).join(rows, "month_key", "left")
+    run = F.when(F.col("run") == first, 1).otherwise(2)
+    # what the ledger says, and nothing where what lies there differs
+    return done.select("month_key", F.when(F.col("rows") == F.coalesce("n", F.lit(0)), F.col("rows")).alias("rows"), F.coalesce("views", F.lit(0)).alias("views"), run.alias("run"))
+
+
 @register(
     "report_rows",
     with_(RESULTS, MONTHLY)

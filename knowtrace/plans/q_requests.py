@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knowtrace.functions import answers as A
 from knowtrace.functions.core import pystrip
+from knowtrace.operators import ask
 from knowtrace.operators import requests as R
 from knowtrace.operators import responses as S
 from knowtrace.operators import select
@@ -493,3 +494,35 @@ def document_answers(spark, sf_dir):
         F.count_if(k.isNull()).alias("unparsed"),
         F.count(F.lit(1)).alias("total"),
     )
+
+
+def rationed_responder(prompt: str, limit: int):
+    """Deterministic stand-in for a reasoning model, asked about the order key in the prompt.
+
+    Key mod 5 decides the room it needs; one before a multiple of 7919 needs more than the cap, which is fatal.
+    """
+    key = int(prompt.split(",")[0].removeprefix("Is "))
+    need = 900 if (key + 1) % 7919 == 0 else (120, 120, 300, 300, 650)[key % 5]
+    if limit < need:
+        return "", "length"
+    return ("No." if key % 2 else "Yes"), "stop"
+
+
+@register(
+    "ask_sequential",
+    with_(
+        RESULTS,
+        """need AS (SELECT row_key, name, CASE WHEN (row_key + 1) % 7919 = 0 THEN 900 WHEN row_key % 5 < 2 THEN 120 WHEN row_key % 5 < 4 THEN 300 ELSE 650 END AS need
+  FROM results)""",
+    )
+    + """SELECT name, row_number() OVER (ORDER BY row_key) - 1 AS position, row_key % 2 = 1 AS knows, CASE WHEN row_key % 2 = 1 THEN 'No.' ELSE 'Yes' END AS response,
+  CASE WHEN need <= 200 THEN 200 WHEN need <= 400 THEN 400 ELSE 800 END AS "limit",
+  CASE WHEN need <= 200 THEN 1 WHEN need <= 400 THEN 2 ELSE 3 END AS attempts
+FROM need WHERE row_key < coalesce((SELECT min(row_key) FROM need WHERE need > 800), 9223372036854775807)""",
+)
+def ask_sequential(spark, sf_dir):
+    """F1 + W11 + W10 as one loop: retries under doubled limits, the run ends before the first fatal answer."""
+    requests = R.build_requests(B.results(spark, sf_dir).drop("knows"), [F.col("row_key").asc()], SEQUENTIAL_MODEL, reasoning=True)
+    requests = requests.select("position", "request_id", "name", "prompt")
+    out = ask.ask_sequential(requests, rationed_responder, reasoning=True, first_limit=R.RETRY_START, cap=R.RETRY_CAP, first_range=1024)
+    return out.results.select("name", "position", "knows", "response", "limit", "attempts")
