@@ -12,10 +12,16 @@ Edge modes (D1):
   can fall outside all bins through rounding, as they do there).
 Bins are half-open ``[low, high)`` except the last, which is closed; empty
 bins are omitted; ``mid`` is the geometric mean ``sqrt(low * high)``.
+
+With ``keys`` each group (a run, say) has edges of its own: its min and max are one
+row of a small aggregate that is joined back by key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +64,23 @@ def edge_at(i: Column, lo: Column, hi: Column, num_bins: int, mode: str = "clamp
     return F.when(i == 0, lo_d).when(i == num_bins, hi_d).otherwise(F.greatest(lo_d, F.least(hi_d, raw)))
 
 
-def with_log_bin(valid: DataFrame, num_bins: int = 10, views: str = "pageviews", mode: str = "clamped") -> tuple[DataFrame, Column]:
+def with_bounds(valid: DataFrame, views: str = "pageviews", keys: Sequence[str] = ()) -> DataFrame:
+    """Attach ``__lo`` and ``__hi``, the least and most views of the row's group (of all rows without keys)."""
+    bounds = [F.min(views).alias("__lo"), F.max(views).alias("__hi")]
+    if not keys:
+        # One row (a global aggregate): broadcast-join it so the bounds are plain columns.  As a
+        # scalar subquery it would be copied into every one of the many expressions that read it.
+        one = valid.agg(*bounds).withColumn("__one", F.lit(1))
+        return valid.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+    # one row a group, of any number of groups: the planner measures the side before it broadcasts it
+    own = valid.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(*bounds)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    return valid.join(own, same).drop(*[f"__of_{k}" for k in keys])
+
+
+def with_log_bin(
+    valid: DataFrame, num_bins: int = 10, views: str = "pageviews", mode: str = "clamped", keys: Sequence[str] = ()
+) -> tuple[DataFrame, Column]:
     """Attach ``bin`` (NULL when a row falls outside every bin) and return the edge column.
 
     The bin is the index of the last edge <= v (last bin closed).  It is
@@ -66,11 +88,7 @@ def with_log_bin(valid: DataFrame, num_bins: int = 10, views: str = "pageviews",
     edge values, so it equals the edge comparison without building or
     scanning an edge array per row (array lambdas run interpreted).
     """
-    # The global min/max is one row (a global aggregate): broadcast-join it so the
-    # bounds are plain columns.  As a scalar subquery it would be copied into
-    # every one of the many expressions below that read it.
-    bounds = valid.agg(F.min(views).alias("__lo"), F.max(views).alias("__hi")).withColumn("__one", F.lit(1))
-    valid = valid.withColumn("__one", F.lit(1)).join(F.broadcast(bounds), "__one").drop("__one")
+    valid = with_bounds(valid, views, keys)
     lo, hi = F.col("__lo"), F.col("__hi")
     edge = lambda i: edge_at(i, lo, hi, num_bins, mode)
     n = F.lit(num_bins)
@@ -95,18 +113,20 @@ def accuracy_by_log_bins(
     views: str = "pageviews",
     knows: str = "knows",
     edges: str = "clamped",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """``bin, low, high, mid, correct, total, accuracy`` for non-empty bins."""
+    """``bin, low, high, mid, correct, total, accuracy`` for non-empty bins (of each group of ``keys``)."""
     valid = valid_for_bins(results, views, knows)
-    binned, edge_col = with_log_bin(valid, num_bins, views, edges)
-    # __lo/__hi are constants (one global min/max), grouping by them adds no split.
-    agg = binned.where(F.col("bin").isNotNull()).groupBy("bin", "__lo", "__hi").agg(
+    binned, edge_col = with_log_bin(valid, num_bins, views, edges, keys)
+    # __lo/__hi are constants of the group, grouping by them adds no split.
+    agg = binned.where(F.col("bin").isNotNull()).groupBy(*keys, "bin", "__lo", "__hi").agg(
         F.count_if(F.col(knows)).alias("correct"),
         F.count(F.lit(1)).alias("total"),
     )
     low = edge_at(F.col("bin"), F.col("__lo"), F.col("__hi"), num_bins, edges)
     high = edge_at(F.col("bin") + 1, F.col("__lo"), F.col("__hi"), num_bins, edges)
     return agg.select(
+        *keys,
         "bin",
         low.alias("low"),
         high.alias("high"),

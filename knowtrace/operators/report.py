@@ -6,7 +6,7 @@ single-partition windows inside them see calendar-sized inputs only.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +16,10 @@ from knowtrace.functions.labels import model_title, views_subtitle
 from knowtrace.operators import bins, metrics, select, smoothing
 
 
-def daily_series(results: DataFrame) -> DataFrame:
-    """Day, accuracy (NULL days dropped), valid-mode moving average."""
-    daily = select.known_accuracy(metrics.accuracy_by(results, "day")).select("day", "accuracy")
-    return smoothing.moving_average_valid(daily, "accuracy", "day")
+def daily_series(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Day, accuracy (NULL days dropped), valid-mode moving average; a series for each group of ``keys``."""
+    daily = select.known_accuracy(metrics.accuracy_by(results, [*keys, "day"])).select(*keys, "day", "accuracy")
+    return smoothing.moving_average_valid(daily, "accuracy", "day", keys=keys)
 
 
 def monthly_bars(results: DataFrame) -> DataFrame:
@@ -30,12 +30,15 @@ def monthly_bars(results: DataFrame) -> DataFrame:
     return m.select("month", mid_month("month").alias("anchor"), "accuracy", n.alias("n"), label.alias("label"))
 
 
-def monthly_trend(results: DataFrame, min_samples: int = 1, run: str | None = None) -> DataFrame:
-    """Months with enough known rows, 3-month trailing average, model and subtitle of the run."""
-    m = metrics.accuracy_by(results, "month")
+def monthly_trend(results: DataFrame, min_samples: int = 1, run: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Months with enough known rows, 3-month trailing average, model and subtitle of the run.
+
+    With ``keys`` (such as those of ``ingest.with_run_dimensions``) each group is a trend of its own.
+    """
+    m = metrics.accuracy_by(results, [*keys, "month"])
     m = select.known_accuracy(select.min_samples(m, min_samples))
-    out = smoothing.moving_average_trailing(m, "accuracy", "month", 3).select(
-        "month", "accuracy", (F.col("correct") + F.col("incorrect")).alias("n_known"), "moving_avg"
+    out = smoothing.moving_average_trailing(m, "accuracy", "month", 3, keys).select(
+        *keys, "month", "accuracy", (F.col("correct") + F.col("incorrect")).alias("n_known"), "moving_avg"
     )
     if run is not None:
         out = out.withColumn("model", model_title(F.lit(run))).withColumn("subtitle", views_subtitle(F.lit(run)))

@@ -4,10 +4,15 @@ Both run on the output of a period aggregate (one row per day or month), so
 the series is bounded by the calendar, not by the data; the global-order
 window below therefore sees a few thousand rows at most whatever the input
 size.  Never call these on raw rows.
+
+With ``keys`` every group (a run, say) is a series of its own: the window is partitioned by
+the keys and the adaptive width comes from the group's count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +23,7 @@ def moving_average_valid(
     order: str = "day",
     max_window: int = 7,
     min_points: int | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Adaptive-width simple moving average in numpy ``'valid'`` mode.
 
@@ -28,12 +34,12 @@ def moving_average_valid(
     ``max_window``-row frame and the width is applied with ``slice``.
     """
     min_points = max_window if min_points is None else min_points
-    n_sub = series.select(F.count(F.lit(1))).scalar()
-    w_ord = Window.orderBy(order)
+    w_ord = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
     frame = w_ord.rowsBetween(-(max_window - 1), Window.currentRow)
-    # The point count is a scalar subquery; lambdas may not hold one, so it is
-    # attached as a column before the width enters the slice/aggregate.
-    series = series.withColumn("__n", n_sub)
+    # The point count is a scalar subquery (a window count by key); lambdas may not hold
+    # one, so it is attached as a column before the width enters the slice/aggregate.
+    counted = F.count(F.lit(1)).over(Window.partitionBy(*keys)) if keys else series.select(F.count(F.lit(1))).scalar()
+    series = series.withColumn("__n", counted)
     n = F.col("__n")
     width = F.least(F.lit(max_window), F.floor(n / 3).cast("int"))
     out = series.withColumn("__pos", F.row_number().over(w_ord)).withColumn(
@@ -49,7 +55,10 @@ def moving_average_valid(
     )
 
 
-def moving_average_trailing(series: DataFrame, value: str = "accuracy", order: str = "month", window: int = 3) -> DataFrame:
+def moving_average_trailing(
+    series: DataFrame, value: str = "accuracy", order: str = "month", window: int = 3, keys: Sequence[str] = ()
+) -> DataFrame:
     """Trailing mean with an expanding head (first points average what exists)."""
-    frame = Window.orderBy(order).rowsBetween(-(window - 1), Window.currentRow)
+    ordered = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
+    frame = ordered.rowsBetween(-(window - 1), Window.currentRow)
     return series.withColumn("moving_avg", F.avg(F.col(value).cast("double")).over(frame))

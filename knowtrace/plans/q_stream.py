@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knowtrace.operators import pageviews
+from knowtrace.operators.pageviews import daily_views
 from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import MONTHLY, RESULTS, with_
 from knowtrace.plans.q_wikitext import ENTITIES_SQL
 from knowtrace.plans.render import SQL_SOURCES, render_pages
 from knowtrace.session import cut_lineage, work_path
+from knowtrace.streaming import views as late
 from knowtrace.streaming.accuracy import stream_accuracy as run_accuracy
 from knowtrace.streaming.ingest import stream_ingest as run_ingest
 
@@ -50,14 +51,7 @@ def stream_ingest(spark, sf_dir):
     of the stream picks up only the files it has not seen."""
     base = work_path(spark, "stream_ingest")
     pages = cut_lineage(render_pages(spark, sf_dir))  # rendered once, split into two drops
-    li = B.table(spark, sf_dir, "lineitem")
-    views = pageviews.daily_views(
-        li.select(
-            F.concat(F.lit("Person_"), F.col("l_orderkey").cast("string")).alias("article"),
-            F.to_date("l_shipdate").alias("day"),
-            F.col("l_quantity").cast("bigint").alias("views"),
-        )
-    )
+    views = B.person_views(spark, sf_dir)
     early = pages.where(F.col("year") <= 1997)
     late = pages.where(F.col("year") > 1997)
     early.write.mode("append").parquet(f"{base}/in")
@@ -66,3 +60,31 @@ def stream_ingest(spark, sf_dir):
     run_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", views, max_files_per_trigger=4)
     out = spark.read.parquet(f"{base}/out/entities")
     return out.select("name", "death_date", "description", "pageviews")
+
+
+@register(
+    "late_views",
+    with_(
+        SQL_SOURCES,
+        "ok AS (SELECT *, n2 AS c_name_sp FROM src WHERE shape IN (0, 1, 2, 3, 7))",
+        f"ent AS ({ENTITIES_SQL.replace('FROM ok', ', okey FROM ok')})",
+        """v AS (SELECT 'Person_' || CAST(l_orderkey AS VARCHAR) AS article, CAST(l_shipdate AS DATE) AS day,
+         CAST(l_quantity AS BIGINT) AS views FROM lineitem)""",
+    )
+    + """SELECT e.name, e.death_date, e.description, CAST(sum(v.views) AS BIGINT) AS pageviews
+FROM ent e JOIN v ON v.article = replace(e.article_title, ' ', '_')
+  AND v.day BETWEEN e.death_date - 1 AND e.death_date + 58
+GROUP BY e.okey, e.name, e.death_date, e.description""",
+)
+def late_views(spark, sf_dir):
+    """ST1 over a store of views by epoch and month: odd order lines are there first, the others come late."""
+    base = work_path(spark, "late_views")
+    store, out = f"{base}/store", f"{base}/out"
+    lines = B.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("Person_"), F.col("l_orderkey").cast("string")).alias("article"), F.to_date("l_shipdate").alias("day"), F.col("l_quantity").cast("bigint").alias("views"), "l_linenumber")
+    odd = F.col("l_linenumber") % 2 == 1
+    late.store_views(daily_views(lines.where(odd)), store)
+    render_pages(spark, sf_dir).write.parquet(f"{base}/in")
+    run_ingest(spark, f"{base}/in", out, f"{base}/checkpoint", store)
+    daily_views(lines.where(~odd)).coalesce(1).write.parquet(f"{base}/late")
+    late.stream_views(spark, f"{base}/late", store, out, f"{base}/late-checkpoint")
+    return late.read_ingested(spark, out).select("name", "death_date", "description", "pageviews")

@@ -7,6 +7,10 @@ article dropped (P3), and written to the entity output under
 epoch owns its folder and overwrites it, so a replayed batch is idempotent.  The checkpoint records which files
 were consumed, so a re-run with ``availableNow`` processes only new files
 (the streaming form of the reference's resume-by-month).
+
+The views are a table, or the path of a store (:mod:`knowtrace.streaming.views`).  With a store a micro-batch
+reads the days its own windows reach and no others, totals are stamped with the store's epoch, and entities
+without views are kept under ``missing``, so that late views can correct both (``stream_views``).
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import types as T
 from knowtrace.functions.core import month_key
 from knowtrace.operators import pageviews, select
 from knowtrace.operators import wikitext as W
+from knowtrace.streaming.views import last_epoch, totals
 
 PAGES_SCHEMA = T.StructType(
     [
@@ -35,7 +40,7 @@ def stream_ingest(
     in_dir: str,
     out_dir: str,
     checkpoint: str,
-    views: DataFrame,
+    views: DataFrame | str,
     schema: T.StructType = PAGES_SCHEMA,
     fmt: str = "parquet",
     max_files_per_trigger: int | None = None,
@@ -54,14 +59,22 @@ def stream_ingest(
         try:
             ent = parsed.where(F.col("code") == "ok").select(*W.ENTITY_COLS)
             rej = parsed.where(F.col("code") != "ok").select(*W.REJECT_COLS)
-            att = select.drop_missing_article(pageviews.attach_pageviews(ent, views))
-            out = att.select("name", "article_title", "death_date", "description", "pageviews").withColumn(
-                "month", month_key("death_date")
-            )
+            if isinstance(views, str):
+                every = totals(ent, views, last_epoch(spark, views)).withColumn("month", month_key("death_date")).persist()
+                columns = ["name", "article_title", "death_date", "description", "pageviews", "views_epoch", "month"]
+                lost = every.where(F.col("pageviews").isNull()).select(*columns)
+                lost.write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/missing/epoch={epoch_id}")
+                out = select.drop_missing_article(every).select(*columns)
+            else:
+                every = None
+                att = select.drop_missing_article(pageviews.attach_pageviews(ent, views))
+                out = att.select("name", "article_title", "death_date", "description", "pageviews").withColumn("month", month_key("death_date"))
             # foreachBatch is at-least-once: a replayed epoch rewrites its own folder
             # (overwrite) instead of appending twice, so retries leave no duplicates.
             out.write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/entities/epoch={epoch_id}")
             rej.write.mode("overwrite").parquet(f"{out_dir}/rejects/epoch={epoch_id}")
+            if every is not None:
+                every.unpersist()
         finally:
             parsed.unpersist()
 
