@@ -7,16 +7,17 @@ Every response source is normalised to one frame
 where ``text`` is the (stripped) answer of a succeeded response and ``error``
 the ready-made message of any other outcome.  ``score`` turns that into the
 tri-state plus the response text; ``join_responses`` attaches it to the
-requests with the ``'No result'`` default.  Last-write-wins per id is a
-``max_by`` aggregate (partial aggregation, no sort of a whole group).
+requests with the ``'No result'`` default.  Last-write-wins per id is a hash
+aggregate of one fixed-width number a row and an equi-join that moves the wide rows once.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,12 +48,36 @@ TYPED_SCHEMA = (
 _FALSY_JSON = ["{}", "[]", "", "0", "0.0", "false", "null"]
 
 
+def _sequence(responses: DataFrame, seq: str) -> tuple[DataFrame, Column]:
+    """``responses`` with what :func:`dedupe_last` needs, and the sequence as a long.
+
+    A :func:`line_seq` becomes the number of its split (a table of one row a split) before the row's number in it.
+    """
+    if not isinstance(responses.schema[seq].dataType, T.StructType):
+        return responses, F.col(seq).cast("long")
+    splits = responses.select(F.col(f"{seq}.file").alias("__file"), F.col(f"{seq}.block").alias("__block")).distinct()
+    splits = splits.withColumn("__split", F.row_number().over(Window.orderBy("__file", "__block")))
+    same = F.col(f"{seq}.file").eqNullSafe(F.col("__file")) & F.col(f"{seq}.block").eqNullSafe(F.col("__block"))
+    row = F.col(f"{seq}.row").bitwiseAND(F.lit((1 << 33) - 1))
+    return responses.join(splits, same, "left"), F.shiftleft(F.col("__split").cast("long"), 33).bitwiseOR(row)
+
+
 def dedupe_last(responses: DataFrame, key: str = "request_id", seq: str = "seq") -> DataFrame:
-    """Keep the last row per id by ``seq`` (later lines replace earlier ones)."""
+    """Keep the last row per id by ``seq`` (later lines replace earlier ones).
+
+    Rows of one id and sequence are told apart by a hash of their other columns (the greatest wins); equal rows
+    count as one.  A null sequence is the earliest.
+    """
     others = [c for c in responses.columns if c not in (key, seq)]
-    packed = F.struct(*[F.col(c) for c in others + [seq]])
-    agg = responses.groupBy(key).agg(F.max_by(packed, F.col(seq)).alias("__last"))
-    return agg.select(key, *[F.col("__last").getField(c).alias(c) for c in others + [seq]])
+    rows, number = _sequence(responses, seq)
+    # number, then hash, in one decimal: a buffer of fixed width, so Spark aggregates by hash
+    number = F.coalesce(number, F.lit(-(1 << 63))).cast("decimal(19,0)")
+    tie = F.xxhash64(F.lit(0), *others).bitwiseAND(F.lit((1 << 62) - 1)).cast("decimal(19,0)")
+    rows = rows.select(*responses.columns, (number * F.lit(1 << 62).cast("decimal(19,0)") + tie).cast("decimal(38,0)").alias("__rank"))
+    last = rows.groupBy(F.col(key).alias("__key")).agg(F.max("__rank").alias("__last"))
+    kept = rows.join(last, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__rank") == F.col("__last")), "left_semi")
+    # equal rows: all columns are the key, nothing is held beside it
+    return kept.select(key, *others, seq).distinct()
 
 
 def score(responses: DataFrame, whole_word: bool = False) -> DataFrame:
@@ -162,8 +187,16 @@ def responses_by_position(inline: DataFrame, position: str = "position") -> Data
     )
 
 
+def warn_on_mismatch(requests: DataFrame, inline: DataFrame) -> bool:
+    """Warn where there are not as many responses as requests; nothing else changes."""
+    both = count_mismatch(requests, inline).first()
+    if both.mismatch:
+        warnings.warn(f"{both.responses} inline responses to {both.requests} requests", stacklevel=2)
+    return both.mismatch
+
+
 def count_mismatch(requests: DataFrame, inline: DataFrame) -> DataFrame:
-    """The reference's warning only: one row with both counts and whether they differ."""
+    """One row with both counts and whether they differ (:func:`warn_on_mismatch`)."""
     r = requests.select(F.count(F.lit(1)).alias("n")).scalar()
     i = inline.select(F.count(F.lit(1)).alias("n")).scalar()
     return requests.sparkSession.range(1).select(
@@ -210,14 +243,13 @@ def resolve_attempts(
     empty = F.col(text).isNull() | (pystrip(F.col(text)) == "")
     retry = empty & (F.col(finish) == "length") & F.lit(bool(reasoning)) & (F.col(limit) < F.lit(cap))
     cols = [c for c in attempts.columns if c != key]
-    packed = F.struct(*[F.col(c) for c in cols])
-    agg = attempts.groupBy(key).agg(
-        F.min_by(packed, F.when(~retry, F.col(attempt))).alias("__first_final"),
-        F.max_by(packed, F.col(attempt)).alias("__last"),
+    # numbers only in the buffers (aggregated by hash); the wide row is fetched by its attempt
+    agg = attempts.groupBy(F.col(key).alias("__key")).agg(
+        F.coalesce(F.min(F.when(~retry, F.col(attempt))), F.max(attempt)).alias("__final"),
         F.count(F.lit(1)).alias("attempts"),
     )
-    chosen = F.coalesce(F.col("__first_final"), F.col("__last"))
-    return agg.select(key, *[chosen.getField(c).alias(c) for c in cols], "attempts")
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col(attempt).eqNullSafe(F.col("__final"))
+    return attempts.join(agg, same).select(key, *cols, "attempts").distinct()
 
 
 def apply_responder(

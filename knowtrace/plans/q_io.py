@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from knowtrace.functions import labels as L
 from knowtrace.functions.core import month_key
-from knowtrace.operators import ingest, ledger, metrics, pageviews, report
+from knowtrace.operators import ingest, ledger, metrics, report, select
 from knowtrace.plans import bindings as B
 from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import MONTHLY, RESULTS, with_
@@ -67,6 +67,38 @@ def csv_round_trip(spark, sf_dir):
     return back.select("name", "death_date", "description", "pageviews", "knows", "response")
 
 
+@register(
+    "mixed_headers",
+    with_(RESULTS) + "SELECT name, death_date, CASE WHEN row_key % 3 = 0 THEN '' ELSE description END AS description, pageviews, knows FROM results",
+)
+def mixed_headers(spark, sf_dir):
+    """Files of one folder with two headers (other column order, one column absent, one more) are read by their own."""
+    path = work_path(spark, "mixed_headers")
+    r = B.results(spark, sf_dir).select("name", "death_date", "description", "pageviews", "knows", F.lit("").alias("response"), "row_key")
+    csv_io.write_results(r.where("row_key % 3 <> 0").drop("row_key"), path)
+    knows = F.when(F.col("knows"), "True").when(~F.col("knows"), "False").otherwise("")
+    other = r.where("row_key % 3 = 0").select(knows.alias("llm_knows_death"), F.lit("x, y").alias("note"), F.col("pageviews").cast("string").alias("pageviews"), "name", F.col("death_date").cast("string").alias("death_date"))
+    other.write.mode("append").options(**csv_io.WRITE_OPTS).csv(path)
+    return csv_io.read_results(spark, path).select("name", "death_date", "description", "pageviews", "knows")
+
+
+@register(
+    "file_order_ties",
+    with_(RESULTS)
+    + """SELECT name, month, rank, 0::BIGINT AS breaks FROM (
+  SELECT name, strftime(death_date, '%Y-%m') AS month, CAST(row_number() OVER (PARTITION BY strftime(death_date, '%Y-%m') ORDER BY pageviews // 100000 DESC, death_date, row_key) AS BIGINT) AS rank
+  FROM results) t WHERE rank <= 10""",
+)
+def file_order_ties(spark, sf_dir):
+    """K1/O1, then W2 over S2 (D2): equal views keep the order of the sorted files; what lies there is in order."""
+    path = work_path(spark, "file_order")
+    r = B.results(spark, sf_dir).select("name", "death_date", "description", F.floor(F.col("pageviews") / 100_000).cast("long").alias("pageviews"), "row_key")
+    csv_io.write_entities(r, path, tie="row_key")
+    breaks = csv_io.order_breaks(spark, path).agg(F.count(F.lit(1)).alias("breaks"))
+    top = select.top_n(csv_io.read_entities(spark, path, order=True), "month", 10, ["file_order"])
+    return top.select("name", month_key("death_date").alias("month"), "rank").join(F.broadcast(breaks))
+
+
 def _run_label_col():
     model = None
     mv = None

@@ -388,7 +388,8 @@ def response_status_counts(spark, sf_dir):
     with_(CONV_REQ)
     + f"""SELECT request_id,
   CASE WHEN answer IS NOT NULL AND answer <> '' THEN {knows(strip('answer'))} END AS knows,
-  CASE WHEN answer IS NULL THEN 'Error: No response'
+  CASE WHEN answer IS NULL AND conv_id % 2 = 0 THEN 'Error: quota of ' || conv_id
+       WHEN answer IS NULL THEN 'Error: No response'
        WHEN answer = '' THEN 'Error: Could not parse response'
        ELSE {response(strip('answer'))} END AS response
 FROM req""",
@@ -399,8 +400,9 @@ def inline_positional(spark, sf_dir):
         "position",
         F.col("answer").isNotNull().alias("has_response"),
         F.when(F.col("answer") != "", F.col("answer")).alias("text"),
-        F.lit(None).cast("string").alias("error"),
+        F.when(F.col("answer").isNull() & (F.col("conv_id") % 2 == 0), F.concat(F.lit("quota of "), F.col("conv_id").cast("string"))).alias("error"),
     )
+    S.warn_on_mismatch(req, inline)
     scored = S.score(S.responses_by_position(inline))
     return S.join_responses(req, scored).select("request_id", "knows", "response")
 

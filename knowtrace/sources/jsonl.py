@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knowtrace.sources.publish import publish
 from knowtrace.operators.responses import line_seq, parse_jsonl_lines, parse_typed_results
 
 
-def write_requests_jsonl(requests: DataFrame, path: str, payload: str = "payload", mode: str = "overwrite") -> None:
+def write_requests_jsonl(requests: DataFrame, path: str, payload: str = "payload", mode: str = "overwrite") -> bool:
     """K3: one request JSON object per line (``{"key": "request-<i>", "request": {...}}``).
 
-    Empty input writes nothing (the reference skips an empty run).
+    Empty input writes nothing and leaves an earlier file alone (the reference skips an empty run);
+    returns whether rows came.
     """
-    requests.select(F.col(payload).alias("value")).write.mode(mode).text(path)
+    return publish(requests.select(F.col(payload).alias("value")), path, lambda w, folder: w.text(folder), mode)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
