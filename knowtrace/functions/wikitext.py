@@ -1,6 +1,6 @@
 """Column functions for one entry line of a monthly death-list page.
 
-They are listed in execution order and compose into :func:`parse_entry`.
+They are listed in execution order; ``operators.wikitext`` composes them.
 Java regex stands in for Python's ``re``: ``(?U)`` makes ``\\s``/``\\d``
 Unicode-aware like Python's, ``(?iU)`` is ``re.IGNORECASE``, group
 references in replacements are ``$n``.
@@ -26,6 +26,7 @@ RE_CIRCA = (r"(?iU)\{\{circa\}\}\s*", r"(?iU)\{\{c\.\}\}\s*")
 CIRCA_TEXT = "c. "
 RE_LEAD_LINK = r"^\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
 RE_AGE = r"(?U)^\s*,\s*(\d{1,3}(?:[–—-]\d{1,3})?s?)\s*,"
+RE_CIRCA_AGE = r"(?U)^\s*,\s*c\.\s*(\d{1,3}(?:[–—-]\d{1,3})?s?)\s*,"  # not in the reference (D4)
 RE_LEAD_COMMA = r"(?U)^\s*,\s*"
 RE_LINK = r"\[\[([^\]|]+\|)?([^\]]+)\]\]"
 RE_TAG = r"<[^>]+>"
@@ -129,9 +130,13 @@ def lead_link(entry: ColumnOrName) -> Column:  # X6
     return F.struct(ok.alias("ok"), target.alias("title"), name.alias("name"), rest.alias("rest"))
 
 
-def drop_age(after_name: ColumnOrName) -> Column:  # X7: the age itself is discarded
+def drop_age(after_name: ColumnOrName, fix_circa: bool = False) -> Column:  # X7: the age itself is discarded
+    """``fix_circa`` takes ``c. 73,`` for an age as well; without it the age stays as the description."""
     a = _c(after_name)
-    return F.when(a.rlike(RE_AGE), F.regexp_replace(a, RE_AGE, "")).otherwise(F.regexp_replace(a, RE_LEAD_COMMA, ""))
+    out = F.when(a.rlike(RE_AGE), F.regexp_replace(a, RE_AGE, ""))
+    if fix_circa:
+        out = out.when(a.rlike(RE_CIRCA_AGE), F.regexp_replace(a, RE_CIRCA_AGE, ""))
+    return out.otherwise(F.regexp_replace(a, RE_LEAD_COMMA, ""))
 
 
 def unwrap_links(c: ColumnOrName) -> Column:  # X8
@@ -219,17 +224,6 @@ def cut_index_fold(c: ColumnOrName) -> Column:
     return F.aggregate(chars, init, step).getField("cut")
 
 
-def describe_prefix(after_name: ColumnOrName) -> Column:
-    """X7-X11 on the text after the name link (before the top-level cut)."""
-    return drop_year_range(trim_punct(strip_markup(unwrap_links(drop_age(after_name)))))
-
-
-def description(after_name: ColumnOrName) -> Column:
-    """X7-X12 on the text after the name link; NULL when there is no content."""
-    a = _c(after_name)
-    return F.when(has_content(a), cut_top_level(describe_prefix(a)))
-
-
 def has_content(after_name: ColumnOrName) -> Column:
     s = pystrip(_c(after_name))
     return (s != "") & (s != ",")
@@ -275,25 +269,6 @@ def name_warnings(name: ColumnOrName) -> Column:
     )
 
 
-def parse_entry(line: ColumnOrName, year: ColumnOrName, month: ColumnOrName, day: ColumnOrName) -> Column:
-    """X1-X14 as one struct: entry, foreign, link_ok, article_title, name,
-    content, description, death_date, code, warnings."""
-    entry = norm_circa(strip_ext_links(strip_comments(strip_bullets(line))))
-    link = lead_link(entry)
-    after = link.getField("rest")
-    base = F.struct(
-        entry.alias("entry"),
-        foreign_link(entry).alias("foreign"),
-        link.getField("ok").alias("link_ok"),
-        F.when(link.getField("ok"), link.getField("title")).alias("article_title"),
-        F.when(link.getField("ok"), link.getField("name")).alias("name"),
-        F.when(link.getField("ok"), has_content(after)).alias("content"),
-        F.when(link.getField("ok"), description(after)).alias("description"),
-        page_date(year, month, day).alias("death_date"),
-    )
-    return base
-
-
 # X15-X17 ---------------------------------------------------------------------
 
 

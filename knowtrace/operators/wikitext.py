@@ -105,7 +105,7 @@ def _staged(df: DataFrame, steps: list[tuple[str, object]]) -> DataFrame:
     return df
 
 
-def _entry_columns(lines: DataFrame) -> DataFrame:
+def _entry_columns(lines: DataFrame, fix_circa: bool = False) -> DataFrame:
     """X1-X12 on every line that holds a link, staged over projections so each
     regex runs once per line.  Runs *before* the page window: the window is a
     barrier for filter push-down, so later filters on the outcome read these
@@ -128,7 +128,7 @@ def _entry_columns(lines: DataFrame) -> DataFrame:
         df,
         [
             ("__d0", F.when(F.col("__content"), after)),
-            ("__d1", X.drop_age("__d0")),
+            ("__d1", X.drop_age("__d0", fix_circa)),
             ("__d2", X.unwrap_links("__d1")),
             ("__d3", X.strip_markup("__d2")),
             ("__d4", X.trim_punct("__d3")),
@@ -188,9 +188,14 @@ def _finish(emitted: DataFrame) -> DataFrame:
     )
 
 
-def parse_all(pages: DataFrame, page_id: str = "page_id", year: str = "year", month: str = "month", text: str = "text") -> DataFrame:
-    """Every parsed line with its ``code`` ('ok' or the reject reason)."""
-    cls = _entry_columns(_classified(pages, page_id, year, month, text))
+def parse_all(
+    pages: DataFrame, page_id: str = "page_id", year: str = "year", month: str = "month", text: str = "text", fix_circa: bool = False
+) -> DataFrame:
+    """Every parsed line with its ``code`` ('ok' or the reject reason).
+
+    ``fix_circa`` reads ``{{circa}} 73,`` as an age (D4); by default it becomes the description, as in the reference.
+    """
+    cls = _entry_columns(_classified(pages, page_id, year, month, text), fix_circa)
     return _finish(_line_state(cls, _ENTRY_COLS))
 
 
@@ -211,7 +216,7 @@ REJECT_COLS = [
 ]
 
 
-def parse_pages(pages: DataFrame, **cols: str) -> tuple[DataFrame, DataFrame]:
+def parse_pages(pages: DataFrame, **cols: str | bool) -> tuple[DataFrame, DataFrame]:
     """``(entities, rejects)``; one ``code`` column splits a single parse."""
     parsed = parse_all(pages, **cols)
     return parsed.where(F.col("code") == "ok").select(*ENTITY_COLS), parsed.where(F.col("code") != "ok").select(*REJECT_COLS)

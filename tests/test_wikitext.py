@@ -188,3 +188,15 @@ def test_every_entry_code(spark):
     got = {r.line_no: (r.code, r.description if r.code == "ok" else None) for r in W.parse_all(pages).collect()}
     want = {n + 2: (code, desc) for n, (_, code, desc) in enumerate(ENTRIES)}
     assert got == {**want, len(ENTRIES) + 3: ("invalid_date", None)}
+
+
+def test_circa_ages_can_be_read(spark):
+    text = "==1==\n" + "\n".join([LINES["circa"], LINES["plain"], "* [[Cy Example]], c. 60s, Danish actor", "* [[Di Example]], c. painter, Danish"])
+    got = {r.name: r.description for r in W.parse_all(_pages(spark, {"p": text}), fix_circa=True).collect()}
+    assert got == {"Bo Example": "Danish painter", "Ada Example": "Danish chess player", "Cy Example": "Danish actor", "Di Example": "c. painter"}
+
+
+def test_rejects_by_page(spark):
+    pages = _pages(spark, {"p": "==1==\n" + "\n".join([LINES["ill"], LINES["file"], LINES["plain"]]), "q": "==2==\n" + LINES["empty"], "r": "==3==\n" + LINES["plain"]})
+    _, rejects = W.parse_pages(pages)
+    assert {r.page_id: r.errors for r in W.reject_summary_by_page(rejects).collect()} == {"p": 2, "q": 1}  # the foreign one counts
