@@ -88,9 +88,12 @@ def mix(
     cap: float = 2.0,
     seed: int = 7,
     odds_col: str | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken (``copies * size``), one row a document.
 
+    ``carry`` adds ``row``, all columns of the document as a struct, so that copies belong to rows and not to ids.
+
     ``copies`` is ``floor(target / source_size)`` certain ones, plus one for the documents
     that the Pareto order picks until the rest of the target is filled; of the document
     at the cut the nearer side is chosen.  ``odds_col`` names a positive factor on a
@@ -98,7 +101,8 @@ def mix(
     The result depends on ids, sizes and the seed only, so reruns agree.
     """
     factor = F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)) if odds_col else F.lit(1.0)
-    sizes = pinned(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), factor.alias("factor")), "mix-sizes")
+    whole_row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    sizes = pinned(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), factor.alias("factor"), *whole_row), "mix-sizes")
     targets = source_targets(sizes, weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = targets.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -122,4 +126,4 @@ def mix(
     near = near.withColumn("picked", F.col("after") - F.col("rest") <= F.col("rest") - (F.col("after") - F.col("size"))).drop("after")
     copies = F.col("whole") + F.col("picked").cast("long")
     both = clear.unionByName(near).withColumn("copies", copies)
-    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if carry else []))

@@ -164,15 +164,17 @@ def _with_end(batches: Iterator) -> Iterator:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, cell_rows: int = 4096) -> DataFrame:
-    """doc_id, tag, fp, component_id (smallest id reachable by links), one row a document."""
+    """doc_id, tag, fp, component_id (smallest id reachable by links), root (a fingerprint, one a component), one row a document."""
     fps = pinned(fingerprints(docs, id_col, text_col, width), "fingerprints")
     classes = pinned(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     roots = components(near_links(classes.select("fp"), distance, cell_rows))
     linked = classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first")
     firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = pinned(linked.join(firsts, "root").select(F.col("fp").alias("node"), "component_id"), "components")
-    classes = classes.join(checked(linked), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(classes, F.col("fp") == F.col("of")).select("doc_id", "tag", "fp", "component_id")
+    linked = pinned(linked.join(firsts, "root").select(F.col("fp").alias("node"), "root", "component_id"), "components")
+    alone = F.col("node").isNull()
+    classes = classes.join(checked(linked), F.col("fp") == F.col("node"), "left")
+    classes = classes.select(F.col("fp").alias("of"), F.when(alone, F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return fps.join(classes, F.col("fp") == F.col("of")).select("doc_id", "tag", "fp", "component_id", "root")
 
 
 def hex_digits(fp: str = "fp"):

@@ -286,18 +286,16 @@ def test_arc_versions_and_broken_archives():
 
 
 def one_of_each(docs) -> list[tuple]:
-    """Brute force: of rows linked by 4 or fewer differing bits the one with the smallest id; rows of groups without an id stay."""
+    """Brute force: of rows linked by 4 or fewer differing bits one: the smallest id (null last), then the least text hash."""
     fps = [simhash.fingerprint(None if t is None else t.encode()) for _, t in docs]
     group = list(range(len(docs)))
     for a in range(len(docs)):
         for b in range(a):
             if (fps[a] ^ fps[b]).bit_count() <= 4 and group[a] != group[b]:
                 group = [group[a] if g == group[b] else g for g in group]
-    least = {}
-    for g, (i, _) in zip(group, docs):
-        if i is not None:
-            least[g] = min(i, least.get(g, i))
-    return [d for g, d in zip(group, docs) if g not in least or d[0] == least[g]]
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    order = lambda d: (d[0] is None, d[0] or 0, 42 if d[1] is None else signed(xxhash.xxh64_intdigest(d[1].encode(), 42)))
+    return [min((d for d, h in zip(docs, group) if h == g), key=order) for g in sorted(set(group))]
 
 
 def test_pipeline(spark, odd, sf):
