@@ -20,57 +20,79 @@ from knowtrace.llm.queries import RANKS, bpe_digests
 REJECT_AT = 0.3
 
 
-def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose (doc_id, key) is not in ``dropped`` (id, key); columns as they are.
+def _packed(docs: DataFrame, key: Column) -> DataFrame:
+    """row (all columns of docs), id, key: no name of a document's columns is left to clash with a helper's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), key.alias("key"))
 
-    The dropped ones are written and counted first: broadcast where few, shuffled where not.
+
+def _without(docs: DataFrame, key: Column, dropped: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """The rows of docs whose (doc_id, key) is not in ``dropped`` (id, key), those in ``again`` once; columns as they are.
+
+    Both are written and counted first: broadcast where few, shuffled where not.
     """
-    dropped = dropped.toDF("_id", "_key").distinct()
-    return docs.join(checked(pinned(dropped, "dropped")), F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    rows = _packed(docs, key)
+
+    def of(table: DataFrame, kind: str) -> tuple[DataFrame, Column]:
+        table = checked(pinned(table.toDF("of_id", "of_key").distinct(), kind))
+        return table, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
+
+    rows = rows.join(*of(dropped, "dropped"), "left_anti")
+    if again is None or again.isEmpty():
+        return rows.select("row.*")
+    table = of(again, "repeated-rows")
+    once = rows.join(*table, "left_semi").dropDuplicates(["id", "key"])
+    return rows.join(*table, "left_anti").unionByName(once).select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the tagger scores under REJECT_AT; it learns from the labels of ``docs``."""
+    """Documents that the tagger scores under REJECT_AT; it learns from the labels of ``docs``.
+
+    Null and empty texts are scored as texts without tokens; rows that repeat id and text are judged alike; texts of any length are
+    scored whole; an empty table gives no rows.
+    """
     scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(docs, F.xxhash64("text"), scored.where(F.col("score") >= REJECT_AT).select("doc_id", "tag"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id; rows that repeat its id and text stand once."""
+    """Of equal texts (null is empty), the document with the smallest doc_id; rows that repeat its id and text stand once.
+
+    Rows without an id go where the text has an id, else one stays.  Texts of any length, empty tables: as the operator.
+    """
     groups = pinned(exact_dedup.exact_groups(docs).select("doc_id", "text_sha256", "kept"), "groups")
-    kept, gone = (groups.where(F.col("kept") == k).select(F.col("doc_id"), "text_sha256") for k in (True, False))
-    again = pinned(kept.intersect(gone).toDF("_again", "_sha"), "repeated-rows")
-    sha = F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    gone = gone.join(again, F.col("doc_id").eqNullSafe(F.col("_again")) & (F.col("text_sha256") == F.col("_sha")), "left_anti")
-    out = _without(docs, sha, gone)
-    if again.isEmpty():
-        return out
-    same = F.col("doc_id").eqNullSafe(F.col("_again")) & (sha == F.col("_sha"))
-    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
+    kept, gone = (groups.where(F.col("kept") == k).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key")) for k in (True, False))
+    again = pinned(kept.intersect(gone), "again")
+    same = F.col("id").eqNullSafe(F.col("again_id")) & (F.col("key") == F.col("again_key"))
+    gone = gone.join(again.toDF("again_id", "again_key"), same, "left_anti")
+    return _without(docs, F.sha2(exact_dedup.normalised(F.col("text")), 256), gone, again)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id.
+    """One document of each group of near copies: that with the smallest doc_id, of equal ids that with the least text hash.
 
-    Rows without an id stay unless their group has an id.
+    A group without ids keeps one row too; of rows that repeat the winner's id and text one stays.  Null and blank texts
+    are near copies of each other (fingerprint zero); an empty table gives no rows.
     """
-    found = pinned(simhash.near_duplicates(docs, width=4, distance=4), "near")
-    first = found.where("doc_id = component_id").groupBy(F.col("component_id").alias("_first")).agg(F.min("tag").alias("_tag"))
-    gone = found.where("component_id IS NOT NULL").join(pinned(first, "near-first"), (F.col("doc_id") == F.col("_first")) & (F.col("tag") == F.col("_tag")), "left_anti")
-    return _without(docs, F.xxhash64("text"), gone.select("doc_id", "tag"))
+    found = pinned(simhash.near_duplicates(docs, width=4, distance=4).select("doc_id", "tag", "root"), "near")
+    groups = pinned(found.groupBy("root").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-groups")
+    held = found.join(groups.drop("n"), "root")
+    firsts = held.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("root").agg(F.min("tag").alias("first_tag"))
+    held = pinned(held.join(firsts, "root").withColumn("wins", F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("tag") == F.col("first_tag"))), "near-held")
+    again = held.where("wins").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "tag")
+    return _without(docs, F.xxhash64("text"), held.where("NOT wins").select("doc_id", "tag"), again)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    copies = checked(pinned(copies.where("_copies <> 1"), "copies"))
-    size = F.size(words(F.col("text"))).cast("long")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (size == F.col("_size")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
-    return taken.withColumn("_turn", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """Documents as often as the mix takes them, row by row: rows that share id and size need not be taken alike.
+
+    Null and blank texts have no words and are not taken; a null source is a source; an empty table gives no rows.
+    """
+    taken = mixing.mix(docs, carry=True).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("turn"))
+    return taken.select("row.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, repeated ones too; a null text is empty (no ids)."""
     return bpe_digests(bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True))
 
 
@@ -88,6 +110,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
