@@ -17,34 +17,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source weights; null texts have size 0, a null source comes last, repeated rows are documents of their own."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and their components at 4 bits; null and blank texts have fingerprint zero, a null id names no component."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, distance=4)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
 def op3_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted rules and the verdict on every document; null texts have no words and fail, rows that repeat id and text are judged alike."""
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from three of four labelled ids; null and empty texts are scored too, a null id is not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     scored = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
 def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every text; a null text is empty (its end alone is scored), a null id is learned from."""
     return lm_score.score(_table(spark, sf_dir, "documents"))
 
 
 def op6_salted_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts (null is empty); a null id wins only where all are null, of rows that repeat the winner one is kept."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of every text; a null text has none, ties between overlapping additions go to the longest, then the first."""
     found = pii.find(_table(spark, sf_dir, "documents"))
     counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
     everything = pii.joined(F.sort_array(F.concat("base", "added")))
@@ -52,6 +59,7 @@ def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every text as digests; a null text is empty and has no ids."""
     return bpe_digests(bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True))
 
 
@@ -61,11 +69,13 @@ def bpe_digests(decoded: DataFrame) -> DataFrame:
 
 
 def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words kept and removed of every text; a null text has none, a null id sorts last, rows that repeat id and text share their verdict."""
     found = substring_dedup.drop_repeats(_table(spark, sf_dir, "documents"), width=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages read back from the archives; a null html is empty, payloads under 100 bytes are never revisits."""
     path = work_path(spark, "archives")
     warc.write_arc(_table(spark, sf_dir, "pages"), f"{path}/arc")
     warc.convert(spark, f"{path}/arc", f"{path}/warc")
