@@ -16,7 +16,9 @@ every whole text, and thresholds every example that the learner does not see (a
 
 Defined cases: null text is empty; offsets are code points, end exclusive; with fewer than
 ``LEAST`` examples or counter-examples nothing is added; repeated rows are judged each; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored.  Work inside a text grows with its length and its spans (times a
+logarithm): offsets are running sums, context comes from short chunks, and proposals meet the base spans in one
+sorted pass.  Only additions that overlap one another in one unbroken chain are compared with each other.
 """
 
 from __future__ import annotations
@@ -77,6 +79,32 @@ CUES = {"email": "mail|contact|write", "ip": r"\bip\b|address|server|host", "car
 LEAST = 20
 EXAMPLES = 20_000
 DIGITS = "[^0-9]"
+#: Elements of an array, or characters of a text, that are handled at once; context reaches 40 characters, less than one.
+CHUNK = 256
+
+
+def running(values: Column, op, kind: str) -> Column:
+    """values[0], values[0] op values[1], ... of a lambda variable; in chunks, as growing one array by its elements is quadratic."""
+    many = f"array<array<{kind}>>"
+
+    def inside(c: Column) -> Column:
+        return F.aggregate(F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), F.slice(c, 1, 1), lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x))))
+
+    def joined(parts: Column) -> Column:
+        before = inside(F.transform(parts, lambda a: F.element_at(a, -1)))
+        return let(before, lambda b: F.flatten(F.transform(parts, lambda a, k: F.when(k == 0, a).otherwise(F.transform(a, lambda x: op(F.get(b, k - 1), x))))))
+
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(CHUNK))
+    parts = F.when(F.size(values) > 0, F.transform(starts, lambda at: inside(F.slice(values, at, CHUNK)))).otherwise(F.array().cast(many))
+    return let(parts, lambda p: F.when(F.size(p) > 0, joined(p)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
+def total(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
 
 def matches(text: Column, pattern: str, guard: Column, order: int) -> Column:
@@ -87,16 +115,10 @@ def matches(text: Column, pattern: str, guard: Column, order: int) -> Column:
     none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
 
     def placed(found: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
-        before = F.transform(F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("found")), lambda x: F.struct(F.length(x["piece"]).alias("gap"), x["found"].alias("found")))
-        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
-        def step(a: Column, x: Column) -> Column:
-            begin, end = a["at"] + x["gap"], a["at"] + x["gap"] + F.length(x["found"])
-            span = F.struct(begin.alias("start"), F.lit(order).alias("kind"), end.alias("end"), x["found"].alias("found"))
-            return F.struct(end.alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
-
-        return F.aggregate(before, start, step, lambda a: a["spans"])
+        both = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("piece"), found.alias("found"))
+        lengths = F.transform(both, lambda x: F.length(x["piece"]) + F.length(x["found"]))
+        span = lambda f, end: F.struct((end - F.length(f)).alias("start"), F.lit(order).alias("kind"), end.alias("end"), f.alias("found"))
+        return let(let(lengths, lambda n: running(n, total, "int")), lambda ends: F.transform(found, lambda f, k: span(f, F.get(ends, k))))
 
     hits = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(placed(found)))
     return F.when(guard, hits).otherwise(none)
@@ -151,10 +173,17 @@ def _spans(m: Column, holds: bool) -> Column:
 FEATURES = ("kind", "digits", "length", "groups", "plus", "paren", "luhn", "octets", "at", "words", "before", "after", "digit_before", "digit_after", "cue")
 
 
-def described(text: Column, s: Column) -> Column:
-    """A proposal with its features (struct of start, kind, end, found, x: array<double>)."""
+def described(chunks: Column, s: Column) -> Column:
+    """A proposal with its features (struct of start, kind, end, found, x: array<double>).
+
+    chunks: the text in pieces of CHUNK characters; a place is counted from the text's start only inside its piece.
+    """
     number = digits(s["found"])
-    left, right = F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))), F.substring(text, s["end"] + 1, F.lit(2))
+    part = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+    here, there = (F.floor(s[x] / CHUNK).cast("int") for x in ("start", "end"))
+    begin = F.greatest(s["start"] - 40, F.lit(0))
+    left = F.substring(F.concat(part(here - 1), part(here)), begin - F.greatest(here - 1, F.lit(0)) * CHUNK + 1, F.least(s["start"], F.lit(40)))
+    right = F.substring(F.concat(part(there), part(there + 1)), s["end"] - there * CHUNK + 1, F.lit(2))
 
     def char_class(c: Column) -> Column:
         return F.when((c == "") | c.rlike(r"^\s"), 0).when(c.rlike("^[0-9]"), 3).when(c.rlike(r"^\p{L}"), 2).when(c.rlike("^[.@+_:-]"), 4).otherwise(1)
@@ -184,16 +213,68 @@ def described(text: Column, s: Column) -> Column:
 
 
 def proposals(text: Column) -> Column:
+    """The different matches of all proposing patterns with their features, by start, kind and end."""
     each = [matches(text, p, text.rlike(holds), n) for n, k in enumerate(KINDS) for p, holds in PROPOSED[k]]
-    return F.transform(F.array_distinct(F.concat(*each)), lambda s: described(text, s))
+    once = let(F.sort_array(F.concat(*each)), lambda s: F.filter(s, lambda x, k: ~x.eqNullSafe(F.get(s, k - 1))))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return let(chunks, lambda c: F.transform(once, lambda s: described(c, s)))
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def against(base: Column, failed: Column, proposed: Column) -> Column:
+    """``proposed`` with inside (it lies in a base span), cut (it overlaps one), is_base, is_failed (it equals one).
 
+    All three arrays are lambda variables.  Starts of base spans and the bounds of proposals are sorted together; the greatest
+    end so far then tells a proposal's start whether a base span reaches its end, and its end whether one reaches its start.
+    """
+    event = lambda at, kind, end, no: F.struct(at.alias("at"), F.lit(kind).alias("kind"), end.alias("end"), no.alias("no"))
+    # at one place: ends of proposals before the base spans that start there, their starts after
+    events = F.sort_array(
+        F.concat(
+            F.transform(proposed, lambda s, k: event(s["end"], 0, F.lit(0), k)),
+            F.transform(base, lambda b: event(b["start"], 1, b["end"], F.lit(-1))),
+            F.transform(proposed, lambda s, k: event(s["start"], 2, F.lit(0), k)),
+        )
+    )
+
+    def reached(e: Column) -> Column:
+        """For both kinds of bounds, the greatest base end by then, by number of the proposal."""
+        ends = let(F.transform(e, lambda x: x["end"]), lambda v: running(v, most, "int"))
+        told = lambda m, kind: F.transform(F.array_sort(F.filter(F.transform(e, lambda x, k: F.struct(x["no"].alias("no"), x["kind"].alias("kind"), F.get(m, k).alias("most"))), lambda x: x["kind"] == kind)), lambda x: x["most"])
+        return let(ends, lambda m: F.struct(told(m, 0).alias("at_end"), told(m, 2).alias("at_start")))
+
+    def equal() -> Column:
+        """By number of the proposal: 0 equal to a base span, 1 to a failed match, 2 to none."""
+        row = lambda s, kind, no: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(kind).alias("is"), no.alias("no"))
+        rows = F.sort_array(F.concat(F.transform(base, lambda b: row(b, 0, F.lit(-1))), F.transform(failed, lambda b: row(b, 1, F.lit(-1))), F.transform(proposed, lambda s, k: row(s, 2, k))))
+        like = lambda a, b: F.coalesce((a["start"] == b["start"]) & (a["kind"] == b["kind"]) & (a["end"] == b["end"]), F.lit(False))
+        first = lambda r: F.transform(r, lambda x, k: F.struct(x["no"].alias("no"), F.when(like(F.get(r, k - 1), x), F.get(r, k - 1)["is"]).otherwise(F.lit(2)).alias("is")))
+        return let(rows, lambda r: F.transform(F.array_sort(F.filter(first(r), lambda x: x["no"] >= 0)), lambda x: x["is"]))
+
+    def flagged(m: Column, same: Column) -> Column:
+        fields = ("start", "kind", "end", "found", "x")
+        return F.transform(
+            proposed,
+            lambda s, k: F.struct(
+                *[s[f].alias(f) for f in fields],
+                (F.get(m["at_start"], k) >= s["end"]).alias("inside"),
+                (F.get(m["at_end"], k) > s["start"]).alias("cut"),
+                (F.get(same, k) == 0).alias("is_base"),
+                (F.get(same, k) == 1).alias("is_failed"),
+            ),
+        )
+
+    return let(let(events, reached), lambda m: let(equal(), lambda same: flagged(m, same)))
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, base, proposed (with what the base says of each) of doc_id, text."""
+    rows = docs.withColumn("m", base_matches(F.col("text"))).select("doc_id", _spans(F.col("m"), True).alias("base"), _spans(F.col("m"), False).alias("failed"), proposals(F.col("text")).alias("proposed"))
+    told = let(F.col("base"), lambda b: let(F.col("failed"), lambda f: let(F.col("proposed"), lambda p: against(b, f, p))))
+    return pinned(rows.select("doc_id", "base", told.alias("proposed")), "spans")
 
-def _same(a: Column, b: Column) -> Column:
-    return (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["kind"] == b["kind"])
+
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
 def tree_expression(text: str, x: Column) -> Column:
@@ -218,9 +299,8 @@ def tree_expression(text: str, x: Column) -> Column:
 
 def learn(found: DataFrame, examples: int, precision: float, seed: int):
     """(probability of a proposal's features, threshold by kind), or None with too few examples."""
-    p = found.select("doc_id", "base", "failed", F.explode("proposed").alias("p"))
-    told = F.exists("base", lambda b: _overlap(b, F.col("p"))) | F.exists("failed", lambda b: _same(b, F.col("p")))
-    p = p.where(told).withColumn("label", F.exists("base", lambda b: _same(b, F.col("p"))).cast("double"))
+    p = found.select("doc_id", F.explode(F.filter("proposed", lambda s: s["cut"] | s["is_failed"])).alias("p"))
+    p = p.withColumn("label", F.col("p.is_base").cast("double"))
     p = pinned(p.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "p.start", "p.end", "p.kind")), "told")
     kept_out = F.pmod("h", F.lit(4)) == 0
     each = [p.where((F.col("p.kind") == n) & ~kept_out).orderBy("h", "doc_id", "p").limit(examples // len(KINDS)) for n in range(len(KINDS))]
@@ -250,17 +330,32 @@ def learn(found: DataFrame, examples: int, precision: float, seed: int):
     return probability, {k: max(0.5, best[n]) if n in best else 2.0 for n, k in enumerate(KINDS)}
 
 
-def apart(spans: Column) -> Column:
-    """Of overlapping spans of a kind the longest (the first of equals), against those that stay: longest first."""
-    ranked = F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("shorter"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["found"].alias("found")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
+def apart(chosen: Column) -> Column:
+    """Of overlapping spans of a kind the longest (the first of equals), against those that stay: longest first.
+
+    Spans are sorted by kind and start and cut where none reaches beyond the next; only what hangs together is compared.
+    """
+    kinds = "array<struct<start:int,kind:int,end:int,found:string>>"
+    plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["found"].alias("found"))
+
+    def greedy(group: Column) -> Column:
+        ranked = F.transform(group, lambda s: F.struct((s["start"] - s["end"]).alias("shorter"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["found"].alias("found")))
+
+        def step(kept: Column, s: Column) -> Column:
+            return F.when(F.exists(kept, lambda o: _overlap(o, s)), kept).otherwise(F.concat(kept, F.array(plain(s))))
+
+        return F.aggregate(F.sort_array(ranked), F.array().cast(kinds), step)
+
+    place = lambda s, x: F.shiftleft(s["kind"].cast("long"), 32) + s[x]
 
-    def step(kept: Column, s: Column) -> Column:
-        span = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["found"].alias("found"))
-        taken = F.exists(kept, lambda o: (o["kind"] == s["kind"]) & _overlap(o, s))
-        return F.when(taken, kept).otherwise(F.concat(kept, F.array(span)))
+    def groups(s: Column) -> Column:
+        reach = let(F.transform(s, lambda x: place(x["s"], "end")), lambda v: running(v, most, "bigint"))
+        heads = lambda r: F.filter(F.transform(s, lambda x, k: F.when((k == 0) | (place(x["s"], "start") >= F.get(r, k - 1)), k)), lambda k: k.isNotNull())
+        cut = lambda h: F.transform(h, lambda at, k: greedy(F.transform(F.slice(s, at + 1, F.coalesce(F.get(h, k + 1), F.size(s)) - at), lambda x: x["s"])))
+        return F.flatten(let(let(reach, heads), cut))
 
-    return F.aggregate(F.sort_array(ranked), none, step)
+    ordered = F.sort_array(F.transform(chosen, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), plain(s).alias("s"))))
+    return let(ordered, lambda s: F.when(F.size(s) > 0, groups(s)).otherwise(F.array().cast(kinds)))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, precision: float = 0.98, seed: int = 5) -> DataFrame:
@@ -270,14 +365,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exampl
     overlapping ones of a kind the longest stays (the first of equals).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = pinned(rows.withColumn("m", base_matches(F.col("text"))).select("doc_id", _spans(F.col("m"), True).alias("base"), _spans(F.col("m"), False).alias("failed"), proposals(F.col("text")).alias("proposed")), "spans")
+    found = spans(rows)
     learned = learn(found, examples, precision, seed)
     if learned is None:
         return found.select("doc_id", "base", F.slice("base", 1, 0).alias("added"))
     probability, cut = learned
     thresholds = F.array(*[F.lit(float(cut[k])) for k in KINDS])
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    chosen = F.filter("proposed", lambda s: free(s) & (probability(s["x"]) >= F.get(thresholds, s["kind"])))
+    chosen = F.filter("proposed", lambda s: ~s["inside"] & (probability(s["x"]) >= F.get(thresholds, s["kind"])))
     return found.select("doc_id", "base", F.sort_array(apart(chosen)).alias("added"))
 
 
