@@ -61,11 +61,17 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(STEP) + 1e-9), 0).astype(np.int64)
 
 
-def level_counts(top: int = 128) -> np.ndarray:
-    """The mean of the counts that share a level; 0 for level 0."""
+def level_bounds(top: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest count of each level; 0 for level 0."""
     low = np.ceil(STEP ** np.arange(top) - 1e-9)
     high = np.maximum(np.ceil(STEP ** np.arange(1, top + 1) - 1e-9) - 1, low)
-    return np.concatenate([[0.0], (low + high) / 2])
+    return np.concatenate([[0.0], low]), np.concatenate([[0.0], high])
+
+
+def level_counts(top: int = 128) -> np.ndarray:
+    """The mean of the counts that share a level; 0 for level 0."""
+    low, high = level_bounds(top)
+    return (low + high) / 2
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -207,19 +213,23 @@ def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
 
 
 class Model:
-    """p(word | before) from levels."""
+    """p(word | before) from levels.
+
+    Pairs and words count as the least of their level, contexts as the greatest: what follows a context then sums to
+    one at most, as its true counts do (but for the filter's false positives, about one key in a hundred).
+    """
 
     def __init__(self, total: int, vocabulary: int, weights: np.ndarray | None = None):
         self.total, self.vocabulary = total, vocabulary
         self.weights = np.full(CONTEXTS, 0.3) if weights is None else weights
-        self.counts = level_counts()
+        self.least, self.greatest = level_bounds()
 
     def parts(self, code: np.ndarray, leave: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each code: its weight's number, bigram share, smoothed unigram share."""
         before, pair, word = code // LEVELS**2, code // LEVELS % LEVELS, code % LEVELS
-        context, pair = self.counts[before], np.maximum(self.counts[pair] - leave, 0)
+        context, pair = self.greatest[before], np.maximum(self.least[pair] - leave, 0)
         share = np.minimum(np.where(context > leave, pair / np.maximum(context - leave, 1), 0.0), 1.0)
-        alone = (np.maximum(self.counts[word] - leave, 0) + 1) / (self.total + self.vocabulary + 1)
+        alone = (np.maximum(self.least[word] - leave, 0) + 1) / (self.total + self.vocabulary + 1)
         return np.minimum(before, CONTEXTS - 1), share, np.minimum(alone, 1.0)
 
     def log10(self, code: np.ndarray) -> np.ndarray:

@@ -224,6 +224,33 @@ def test_language_model_weights_see_every_training_token(spark, odd, monkeypatch
     assert {*seen} == total == {sum(len(t.split()) + 1 for i, t, _ in docs if zlib.crc32(str(i).encode()) % 7 != 2)}
 
 
+def test_language_model_scores_by_hand(spark, odd, monkeypatch):
+    """score from plain counts, and the shares of what may follow each context."""
+    import numpy as np
+
+    from knowtrace.llm import lm_score as lm
+
+    monkeypatch.setattr(lm, "BITS_EACH", 60)  # next to no false positives
+    docs = [(i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, [*WORD.findall(ascii_lower(t or "")), None]) for i, t, _ in rows.documents(spark, odd)]
+    words = Counter(w for _, out, ws in docs if not out for w in ws)
+    pairs = Counter(p for _, out, ws in docs if not out for p in zip([None, *ws], ws))
+    n, v = sum(words.values()), len(words)
+    low, high = lm.level_bounds()
+    least, greatest = (lambda c, b=b: b[lm.levels(np.array([c]))[0]] for b in (low, high))
+
+    def p(before, word):
+        share = least(pairs[(before, word)]) / greatest(words[before]) if words[before] else 0.0
+        return 0.3 * min(share, 1.0) + 0.7 * (least(words[word]) + 1) / (n + v + 1)
+
+    want = sorted((repr(i), round(sum(math.log10(p(a, b)) for a, b in zip([None, *ws], ws)), 5)) for i, _, ws in docs)
+    found = lm.score(spark.read.parquet(f"{odd}/documents.parquet"), tune_docs=0).select("doc_id", "score").collect()
+    got = sorted((repr(r.doc_id), round(r.score, 5)) for r in found)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert sum(abs(a - b) < 1e-3 for (_, a), (_, b) in zip(got, want)) >= len(want) - 2
+    for before in list(words)[:200]:
+        assert sum(p(before, w) for w in words) <= 1 + 1e-9
+
+
 def test_filter_levels():
     import numpy as np
 
