@@ -130,7 +130,8 @@ def repeats(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         out = list(_pack(_by_document(ids, tags, buckets)[doc], doc, pos, ids, tags, None))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
 
-    packed = docs.mapInArrow(hashed, PACKED)
+    # as many reduce tasks as buckets: a task's share stays the same when the text grows
+    packed = docs.mapInArrow(hashed, PACKED).repartition(buckets, "bucket")
     return packed.groupBy("bucket").applyInArrow(counted, PACKED)
 
 
@@ -148,7 +149,7 @@ def _documents(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.n
     return np.cumsum(new) - 1, ids[new], tags[new], pos
 
 
-def intervals(found: DataFrame, width: int) -> DataFrame:
+def intervals(found: DataFrame, width: int, buckets: int) -> DataFrame:
     """doc_id, tag, starts, ends: maximal word intervals covered by the windows, one row a document."""
 
     def merged(table: pa.Table) -> pa.Table:
@@ -162,7 +163,7 @@ def intervals(found: DataFrame, width: int) -> DataFrame:
         starts, ends = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (pos[new], pos[last] + width))
         return pa.table([pa.array(ids), pa.array(tags), starts, ends], names=["doc_id", "tag", "starts", "ends"])
 
-    return found.groupBy("bucket").applyInArrow(merged, "doc_id long, tag long, starts array<int>, ends array<int>")
+    return found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merged, "doc_id long, tag long, starts array<int>, ends array<int>")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -175,7 +176,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(LAST))
     keyed = rows.select(key.alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
-    cuts = pinned(intervals(repeats(keyed, width, blob_buckets(rows, "text", bucket_bytes)), width), "intervals")
+    buckets = blob_buckets(rows, "text", bucket_bytes)
+    cuts = pinned(intervals(repeats(keyed, width, buckets), width, buckets), "intervals")
     cuts = cuts.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "starts", "ends")
     held = cuts.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
     cuts = checked(cuts) if held <= BROADCAST_INTERVALS else cuts
