@@ -7,14 +7,13 @@ this way with the smoothed count of the word alone; the interpolation weight dep
 of the context and is fitted over all training tokens with each n-gram's own occurrence left out.
 
 Building: tasks count the n-grams of a piece of their texts, deal them as packed columns to segments by
-their hash, and one task a segment adds up the counts and fills that segment's bits, so
-the filter is made in parallel and only finished bits travel to the driver.  Segments grow in
-number with the text.  At most ``max_filter_bytes`` are broadcast at once: a larger filter is used in
-several passes, each reading the words whose pair belongs to its segments, and the
-passes' sums add up, so no n-gram is left out.  The segments of single words (about two bytes
-a different word) are part of every pass.  A pass writes each token's three levels (context, pair,
-word); the weights are fitted on the counts of equal levels over all passes, which is exact, and then
-the scores are summed from the written levels.
+their hash, and one task a segment adds up the counts and fills that segment's bits.  Segments grow in
+number with the text.  A filter of at most ``max_filter_bytes``, words and pairs together, is broadcast.  A
+larger one stays in its written segments and the probes go to it: each piece of texts sends its different
+keys to their segments and gets their levels back, so nothing of the filter passes through the driver.
+Either way the texts are read once to be scored, by the same code, with the same scores.  Each token's three
+levels (context, pair, word) are written; the weights are fitted on the counts of equal levels, which is
+exact, and then the scores are summed from the written levels.
 
 The exact unigram score beside it takes counts of the ``FREQUENT`` most frequent words (or somewhat fewer: the cut
 falls between levels) from a broadcast table, and joins the others.  Words are told apart by their
@@ -28,7 +27,6 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,13 +117,10 @@ class Filter:
             data[start[s] : start[s] + size[s]] = np.frombuffer(p, dtype=np.uint8)
         return segments, data, start, (8 * size).astype(np.uint64)
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        return self.bits[(keys % np.uint64(self.segments)).astype(np.int64)] > 0
-
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Levels read by probing; keys of segments not held are 0."""
         out = np.zeros(len(keys), dtype=np.int64)
-        left = np.nonzero(self.holds(keys))[0]
+        left = np.nonzero(self.bits[(keys % np.uint64(self.segments)).astype(np.int64)] > 0)[0]
         j = 1
         while len(left):
             for i in range(HASHES):
@@ -137,6 +132,16 @@ class Filter:
         return out
 
 
+class Answers:
+    """What a filter's segments answered for these keys (sorted)."""
+
+    def __init__(self, keys: np.ndarray, found: np.ndarray):
+        self.keys, self.found = keys, found
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)].astype(np.int64)
+
+
 def _tokens(texts: list[bytes | None]) -> list[list[bytes]]:
     return [(t or b"").lower().split() + [END] for t in texts]
 
@@ -148,6 +153,13 @@ def _pairs(flat: np.ndarray, lens: np.ndarray, hashes: np.ndarray) -> np.ndarray
     return pair_keys(hashes[before], hashes[flat])
 
 
+def _segment(keys: np.ndarray, words: int, segments: int) -> np.ndarray:
+    """Segments of keys, of which the first ``words`` are words and the others pairs."""
+    s = (keys % np.uint64(segments)).astype(np.int64)
+    s[words:] += segments
+    return s
+
+
 def counted(rows: DataFrame, segments: int) -> DataFrame:
     """segment, bits, keys, counts: one row a segment, the first ``segments`` for words (key: hash of the
     word), then as many for pairs; keys and counts are those of the words (empty for pairs).
@@ -161,8 +173,7 @@ def counted(rows: DataFrame, segments: int) -> DataFrame:
             h = word_hashes(different)
             pairs, n_pairs = np.unique(_pairs(flat, lens, h), return_counts=True)
             keys, n = np.concatenate([h, pairs]), np.concatenate([np.bincount(flat), n_pairs]).astype(np.uint32)
-            s = (keys % np.uint64(segments)).astype(np.int64)
-            s[len(h) :] += segments
+            s = _segment(keys, len(h), segments)
             order = np.argsort(s, kind="stable")
             s, keys, n = s[order], keys[order], n[order]
             cuts = [*np.nonzero(np.diff(s, prepend=-1))[0], len(s)]
@@ -178,7 +189,8 @@ def counted(rows: DataFrame, segments: int) -> DataFrame:
         lists = [pa.array([keys[words].view(np.int64)], pa.list_(pa.int64())), pa.array([n[words].astype(np.int64)], pa.list_(pa.int64()))]
         return pa.table([table.column("segment").slice(0, 1), pa.array([fill(keys, n).tobytes()], pa.binary()), *lists], names=["segment", "bits", "keys", "counts"])
 
-    packed = rows.select(F.col("text").cast("binary")).mapInArrow(count, PACKED)
+    # as many reduce tasks as segments of a kind: a task's share stays the same when the text grows
+    packed = rows.select(F.col("text").cast("binary")).mapInArrow(count, PACKED).repartition(segments, "segment")
     return packed.groupBy("segment").applyInArrow(build, "segment int, bits binary, keys array<long>, counts array<long>")
 
 
@@ -251,17 +263,16 @@ class Model:
         return np.clip(w, 1e-4, 0.95)
 
 
-def read_codes(store: Filter, flat: np.ndarray, lens: np.ndarray, h: np.ndarray, unigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of the tokens whose pair this filter holds, in order within each text, and how many a text has."""
+def read_codes(store: Filter | Answers, flat: np.ndarray, lens: np.ndarray, h: np.ndarray, unigrams: np.ndarray) -> np.ndarray:
+    """The codes of the tokens, in order within each text."""
     keys, at = np.unique(_pairs(flat, lens, h), return_inverse=True)
-    pair, held = np.minimum(store.level(keys), LEVELS - 1)[at], store.holds(keys)[at]
+    pair = np.minimum(store.level(keys), LEVELS - 1)[at]
     before = np.roll(flat, 1)
     before[np.cumsum(lens) - lens] = flat[np.cumsum(lens) - 1]
     unigrams = np.minimum(unigrams, LEVELS - 1)
     code = (unigrams[before] * LEVELS + pair) * LEVELS + unigrams[flat]
-    text = np.repeat(np.arange(len(lens)), lens)[held]
-    ordered = np.sort(text * LEVELS**3 + code[held])  # equal levels side by side: they compress well
-    return ordered % LEVELS**3, np.bincount(text, minlength=len(lens))
+    # equal levels side by side: they compress well
+    return np.sort(np.repeat(np.arange(len(lens)), lens) * LEVELS**3 + code) % LEVELS**3
 
 
 def pack(code: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -327,41 +338,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
     frequent = frequent_words(counts)
     norm = float(np.log10(total + vocabulary + 1))
 
-    sizes = {r[0]: r[1] for r in bits.select("segment", F.octet_length("bits")).collect()}  # two numbers a segment
-
-    def read(numbers: list[int]) -> tuple:
-        rows_ = bits.where(F.col("segment").isin(numbers)).select("segment", "bits").toLocalIterator() if numbers else []
-        return Filter.arrays(segments, {s % segments: sizes[s] for s in numbers}, ((r[0] % segments, r[1]) for r in rows_))
-
-    shards: list[list[int]] = [[]]
-    filled = 0
-    for s in sorted(x for x in sizes if x >= segments):
-        if filled + sizes[s] > max_filter_bytes and shards[-1]:
-            shards.append([])
-            filled = 0
-        shards[-1].append(s)
-        filled += sizes[s]
-
-    share = spark.sparkContext.broadcast((frequent, read(sorted(x for x in sizes if x < segments))))
-    parts = []
-    for number, shard in enumerate(shards):
-        store = spark.sparkContext.broadcast(read(shard))
-        parts.append(pinned(_read_pass(rows, store, share, number == 0), "levels"))
+    held = bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
+    found = pinned((_broadcast_levels if held <= max_filter_bytes else _shuffled_levels)(rows, bits, segments, frequent), "levels")
 
-    tuned = [p.where("not held_out") for p in parts]
+    tuned = found.where("not held_out")
     if tune_docs is not None:
-        tuned = [p.orderBy(F.xxhash64("doc_id", "tag"), "doc_id", "tag").limit(tune_docs) for p in tuned]
+        tuned = tuned.orderBy(F.xxhash64("doc_id", "tag"), "doc_id", "tag").limit(tune_docs)
     # at most LEVELS^3 rows, a few thousand in practice
-    table = reduce(DataFrame.unionAll, map(code_counts, tuned)).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    table = code_counts(tuned).orderBy("code").toArrow()
     weights = Model(total, vocabulary).fit(table.column("code").to_numpy(), table.column("n").to_numpy())
-    tail = parts[0].select("row", F.explode("tail").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n"))
+    tail = found.select("row", F.explode("tail").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n"))
     rare = tail.join(counts, "h").groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_sum"))
-    parts = [summed(p.drop("tail"), Model(total, vocabulary, weights)) for p in parts]
-    out = parts[0].join(rare, "row", "left")
-    for p in parts[1:]:  # equal rows have equal scores
-        p = p.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), F.col("score").alias("more")).dropDuplicates(["of", "of_tag"])
-        out = out.join(p, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")))
-        out = out.withColumn("score", F.col("score") + F.col("more")).drop("of", "of_tag", "more")
+    out = summed(found.drop("tail"), Model(total, vocabulary, weights)).join(rare, "row", "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -373,35 +361,110 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_f
     )
 
 
-def _unigram_levels(h: np.ndarray, exact: np.ndarray, words: Filter) -> np.ndarray:
-    """Levels of words: of the exact count where there is one, else as the filter has it."""
-    out = levels(exact)
-    rare = np.nonzero(exact == 0)[0]
-    out[rare] = words.level(h[rare])
-    return out
+LEVELED = "row long, doc_id long, held_out boolean, tag long, n_tokens long, known long, base double, codes binary, tail array<struct<h:long,n:long>>"
+
+
+def _leveled(row: int, columns: list[pa.Array], flat: np.ndarray, lens: np.ndarray, h: np.ndarray, c: np.ndarray, words: Filter | Answers, pairs: Filter | Answers) -> list[pa.Array]:
+    """The columns of LEVELED for a piece of texts; c: exact counts of its words, 0 where only the filter has one."""
+    unigrams = levels(c)
+    rare = np.nonzero(c == 0)[0]
+    unigrams[rare] = words.level(h[rare])
+    starts = np.cumsum(lens) - lens
+    known = np.add.reduceat((c > 0).astype(np.int64)[flat], starts)
+    base = np.add.reduceat(np.log10(c + 1.0)[flat], starts)
+    codes = pack(read_codes(pairs, flat, lens, h, unigrams), lens)
+    return [pa.array(np.arange(row, row + len(lens)), pa.int64()), *columns, pa.array(lens), pa.array(known), pa.array(base), codes, _tails(flat, lens, h, c == 0)]
 
 
-def _read_pass(rows: DataFrame, store, share, with_base: bool) -> DataFrame:
-    """row, doc_id, held_out, tag, n_tokens, known, base, codes, tail: one pass over all texts."""
+def _with_tag(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "held_out", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
+
+
+def _broadcast_levels(rows: DataFrame, bits: DataFrame, segments: int, frequent: tuple) -> DataFrame:
+    """LEVELED, each task probing the whole filter."""
+    names = [x.split()[0] for x in LEVELED.split(", ")]
+    sizes = {r[0]: r[1] for r in bits.select("segment", F.octet_length("bits")).collect()}  # a filter within the limit
+    parts = {r[0]: r[1] for r in bits.select("segment", "bits").toLocalIterator()}
+    both = [
+        Filter.arrays(segments, {s - at: sizes[s] for s in parts if at <= s < at + segments}, ((s - at, p) for s, p in parts.items() if at <= s < at + segments))
+        for at in (0, segments)
+    ]
+    share = rows.sparkSession.sparkContext.broadcast((frequent, *both))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, words = Counts(*share.value[0]), Filter(*share.value[1])
-        pairs = Filter(*store.value)
+        table, words, pairs = Counts(*share.value[0]), Filter(*share.value[1]), Filter(*share.value[2])
         at = TaskContext.get().partitionId() << 40
         for b in (part for whole in batches for part in pieces(whole, 3, PIECE)):
             flat, lens, different = numbered(_tokens(b.column(3).to_pylist()))
             h = word_hashes(different)
-            c = frequent(h)
-            codes = pack(*read_codes(pairs, flat, lens, h, _unigram_levels(h, c, words)))
-            starts = np.cumsum(lens) - lens
-            known = np.add.reduceat((c > 0).astype(np.int64)[flat], starts)
-            base = np.add.reduceat(np.log10(c + 1.0)[flat], starts)
-            ids = pa.array(np.arange(at, at + len(lens)), pa.int64())
+            yield pa.record_batch(_leveled(at, b.columns[:3], flat, lens, h, table(h), words, pairs), names)
+            at += len(lens)
+
+    return _with_tag(rows).mapInArrow(run, LEVELED)
+
+
+def _shuffled_levels(rows: DataFrame, bits: DataFrame, segments: int, frequent: tuple) -> DataFrame:
+    """LEVELED, each piece of texts sending its different keys to the filter's segments.
+
+    A piece names a key once, so a frequent pair reaches its segment once a piece, not once a token.
+    """
+    names = [x.split()[0] for x in LEVELED.split(", ")]
+    share = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for b in (part for whole in batches for part in pieces(whole, 3, PIECE)):
+            flat, lens, different = numbered(_tokens(b.column(3).to_pylist()))
+            if not len(lens):
+                continue
+            texts = pa.StructArray.from_arrays(b.columns[:3], ["doc_id", "held_out", "tag"])
+            texts = pa.ListArray.from_arrays(pa.array([0, len(lens)], pa.int32()), texts)
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (flat.astype(np.uint32), lens, word_hashes(different))]
+            yield pa.record_batch([pa.array([at], pa.int64()), texts, *blobs], ["piece", "texts", "flat", "lens", "hashes"])
             at += len(lens)
-            yield pa.record_batch([ids, b.column(0), b.column(1), b.column(2), pa.array(lens), pa.array(known), pa.array(base), codes, _tails(flat, lens, h, c == 0 if with_base else np.zeros(len(c), dtype=bool))], ["row", "doc_id", "held_out", "tag", "n_tokens", "known", "base", "codes", "tail"])
 
-    kinds = "row long, doc_id long, held_out boolean, tag long, n_tokens long, known long, base double, codes binary, tail array<struct<h:long,n:long>>"
-    return rows.select("doc_id", "held_out", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text")).mapInArrow(run, kinds)
+    def asked(flat: bytes, lens: bytes, hashes: bytes) -> tuple[np.ndarray, ...]:
+        """flat, lens, hashes, exact counts, keys (rare words, then pairs) by segment, their segments, whether a key is a pair's."""
+        flat, lens, h = np.frombuffer(flat, np.uint32).astype(np.int64), np.frombuffer(lens, np.int64), np.frombuffer(hashes, np.uint64)
+        c = Counts(*share.value)(h)
+        rare = np.unique(h[c == 0])
+        keys = np.concatenate([rare, np.unique(_pairs(flat, lens, h))])
+        s = _segment(keys, len(rare), segments)
+        order = np.argsort(s, kind="stable")
+        return flat, lens, h, c, keys[order], s[order], order >= len(rare)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece, *blobs in zip(*(c.to_pylist() for c in b.columns)):
+                *_, keys, s, _ = asked(*blobs)
+                cuts = np.append(np.nonzero(np.diff(s, prepend=-1))[0], len(s))
+                sent = pa.array([keys[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())
+                yield pa.record_batch([pa.array(s[cuts[:-1]], pa.int32()), pa.array(np.full(len(sent), piece), pa.int64()), sent], ["segment", "piece", "keys"])
+
+    def answer(sent: pa.Table, segment: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in sent.column("keys").to_pylist()]
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        data = b"".join(segment.column("bits").to_pylist())
+        read = Filter(*Filter.arrays(1, {0: len(data)}, [(0, data)])).level(keys)
+        found = np.split(np.minimum(read, LEVELS - 1).astype(np.uint8)[at], np.cumsum([len(p) for p in parts])[:-1])
+        return pa.table([sent.column("piece"), sent.column("segment"), pa.array([x.tobytes() for x in found[: len(parts)]], pa.binary())], names=["piece", "segment", "levels"])
+
+    def level(piece: pa.Table, answers: pa.Table) -> pa.Table:
+        row = piece.to_pylist()[0]
+        flat, lens, h, c, keys, _, pair = asked(row["flat"], row["lens"], row["hashes"])
+        found = np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), np.uint8)
+        by_key = [(k[order], n[order]) for k, n in ((keys[m], found[m]) for m in (~pair, pair)) for order in [np.argsort(k)]]
+        texts = piece.column("texts").combine_chunks().flatten()
+        columns = [texts.field(i) for i in range(3)]
+        return pa.table(_leveled(row["piece"], columns, flat, lens, h, c, *(Answers(*x) for x in by_key)), names=names)
+
+    kinds = "piece long, texts array<struct<doc_id:long,held_out:boolean,tag:long>>, flat binary, lens binary, hashes binary"
+    table = pinned(_with_tag(rows).mapInArrow(number, kinds), "pieces")
+    sent = table.select("piece", "flat", "lens", "hashes").mapInArrow(ask, "segment int, piece long, keys binary")
+    stored = bits.select("segment", "bits").repartition(segments, "segment").groupBy("segment")
+    answers = sent.repartition(segments, "segment").groupBy("segment").cogroup(stored).applyInArrow(answer, "piece long, segment int, levels binary")
+    answers = answers.repartition(segments, "piece").groupBy("piece")
+    return table.repartition(segments, "piece").groupBy("piece").cogroup(answers).applyInArrow(level, LEVELED)
 
 
 def _tails(flat: np.ndarray, lens: np.ndarray, h: np.ndarray, rare: np.ndarray) -> pa.ListArray:

@@ -194,23 +194,36 @@ def test_language_model(spark, sf, frequent, monkeypatch):
     assert sum(r[6] for r in got if not r[1]) > sum(r[5] for r in got if not r[1])
 
 
-def test_language_model_in_passes(spark, odd):
+@pytest.mark.parametrize("tune_docs", [0, None])
+@pytest.mark.parametrize("frequent", [5, 1_000_000])
+def test_language_model_with_a_shuffled_filter(spark, odd, monkeypatch, tune_docs, frequent):
+    """Every column is the same whether the filter is broadcast or its segments are asked; weights and rare words too."""
     from knowtrace.llm import lm_score
 
+    table = lm_score.frequent_words
+    monkeypatch.setattr(lm_score, "frequent_words", lambda words: table(words, frequent))
     docs = spark.read.parquet(f"{odd}/documents.parquet")
-    one = {rows.key(r[:2]): r[2] for r in lm_score.score(docs, tune_docs=0).select("doc_id", "base_score", "score").collect()}
-    for r in lm_score.score(docs, max_filter_bytes=4000, tune_docs=0).select("doc_id", "base_score", "score").collect():
-        assert abs(one[rows.key(r[:2])] - r[2]) < 1e-6
+    one, two = (sorted(((*r[:5], round(r[5], 8), round(r[6], 8)) for r in lm_score.score(docs, max_filter_bytes=n, tune_docs=tune_docs).collect()), key=rows.key) for n in (128 << 20, 0))
+    assert one == two and len(one) == docs.count()
 
 
-def test_language_model_weights_in_passes(spark, odd):
-    """Fitted weights, and so the scores, do not depend on the number of passes."""
+def test_language_model_with_a_shuffled_filter_by_piece(spark, odd, monkeypatch):
+    """Many pieces and segments, an empty table, a table without training rows."""
     from knowtrace.llm import lm_score
 
+    def run(docs, limit):
+        return sorted(((*r[:5], round(r[5], 8), round(r[6], 8)) for r in lm_score.score(docs, max_filter_bytes=limit).collect()), key=rows.key)
+
     docs = spark.read.parquet(f"{odd}/documents.parquet")
-    one = {rows.key(r[:2]): r[2] for r in lm_score.score(docs).select("doc_id", "base_score", "score").collect()}
-    for r in lm_score.score(docs, max_filter_bytes=4000).select("doc_id", "base_score", "score").collect():
-        assert abs(one[rows.key(r[:2])] - r[2]) < 1e-6
+    want = run(docs, 128 << 20)
+    monkeypatch.setattr(lm_score, "PIECE", 3000)
+    buckets = lm_score.blob_buckets
+    monkeypatch.setattr(lm_score, "blob_buckets", lambda df, text, size: max(30, buckets(df, text, size)))
+    assert [r[:6] for r in run(docs, 0)] == [r[:6] for r in want]
+    assert run(docs, 0) == run(docs, 128 << 20)
+    assert run(docs.limit(0), 0) == []
+    out = docs.where("crc32(CAST(doc_id AS STRING)) % 7 = 2")
+    assert run(out, 0) == run(out, 128 << 20) != []
 
 
 def test_language_model_weights_see_every_training_token(spark, odd, monkeypatch):
