@@ -37,9 +37,9 @@ def numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[byt
     return flat, np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)), list(index)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes], seed: int = 42) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, 42) for w in words), dtype=np.uint64, count=len(words))
+    return np.fromiter((digest(w, seed) for w in words), dtype=np.uint64, count=len(words))
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
