@@ -194,6 +194,20 @@ def test_language_model(spark, sf, frequent, monkeypatch):
     assert sum(r[6] for r in got if not r[1]) > sum(r[5] for r in got if not r[1])
 
 
+def test_windows_meet_by_a_second_hash(spark, monkeypatch):
+    """With one hash the same for every window, those of different documents still do not meet."""
+    import numpy as np
+
+    from knowtrace.llm import substring_dedup as sd
+
+    real = sd.word_hashes
+    monkeypatch.setattr(sd, "word_hashes", lambda words, seed=42: np.zeros(len(words), dtype=np.uint64) if seed == 42 else real(words, seed))
+    monkeypatch.setattr(sd, "PIECE", 1)  # a document a piece
+    docs = [(i, " ".join(f"d{i}w{k}" for k in range(20)), "a") for i in range(6)]
+    found = sd.drop_repeats(rows.table(spark, [*docs, (9, docs[3][1], "a")]), bucket_bytes=8).collect()
+    assert {r.doc_id: r.n_removed for r in found} == {**{i: 0 for i in range(6)}, 9: 20}
+
+
 @pytest.mark.parametrize("tune_docs", [0, None])
 @pytest.mark.parametrize("frequent", [5, 1_000_000])
 def test_language_model_with_a_shuffled_filter(spark, odd, monkeypatch, tune_docs, frequent):
