@@ -4,15 +4,16 @@ Domain shape: ``views`` is a daily series (one row per article and day, for
 the article's whole life), ``entities`` is much smaller.  Joining on the
 article alone would pair every entity with *every* day of its article and
 filter afterwards; instead each distinct (article, date) key is exploded into
-the few day buckets its window touches and equi-joined on (article, bucket):
+the day buckets its window touches and equi-joined on (article, bucket):
 
 * the join key is (article, day bucket) with the exact range as residual
-  condition, so each key meets only the ~70 view days around it and a hot
+  condition, so each key meets only the view days around it and a hot
   article is spread over as many keys as it has buckets;
 * the range filter is a scalar-subquery bound on ``day``, so a day-partitioned
   view table is pruned before the shuffle;
-* no broadcast hint and an inner join: AQE may broadcast either side after measuring it,
-  so few entities never shuffle the views (the entities are joined back from the left).
+* the join is a sort-merge join whatever the planner's estimate: it takes the spans for about as large as the columns of
+  the entity file they come from, so it would send them, many times that, through the driver to be broadcast;
+* buckets are as wide as the window, so a key becomes two rows at most and meets no more than two windows of days.
 
 An entity with no view row in its window gets NULL ("article missing", the
 reference's 404) and is dropped by P3; zero views stay 0.  Totals are keyed
@@ -49,18 +50,18 @@ def window_totals(
     views: DataFrame,
     before: int = 1,
     after: int = 58,
-    bucket_days: int = 7,
+    bucket_days: int | None = None,
 ) -> DataFrame:
     """(article, date) -> total views over ``[date - before, date + after]``; no row without a view row.
 
     Range join as bucketed equi-join: each distinct key is exploded into the
-    ``bucket_days``-wide day buckets its window touches (about 10 for a 60-day
-    window at 7), joined to the views on (article, bucket), and the exact day
-    range is the residual condition.  The key side grows ~10x instead of
-    60x, the view side is shuffled once, and a hot article spreads over its
-    buckets.
+    ``bucket_days``-wide day buckets its window touches (two at most, as wide as
+    the window by default), joined to the views on (article, bucket), and the
+    exact day range is the residual condition.  The view side is shuffled once,
+    and a hot article spreads over its buckets.
     """
-    keys = keys.select("article", "date").distinct()
+    bucket_days = bucket_days or before + after + 1
+    keys = keys.select("article", "date")
     bounds = keys.select(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
     daily = views.where(
         (F.col("day") >= F.date_sub(bounds.getField("lo"), before))
@@ -69,7 +70,7 @@ def window_totals(
         F.col("article").alias("__va"), F.col("day").alias("__vd"), F.col("views").alias("__v"), _bucket(F.col("day"), bucket_days).alias("__vb")
     )
     lo_day, hi_day = F.date_sub("date", before), F.date_add("date", after)
-    spans = keys.select(
+    spans = keys.distinct().select(
         "article",
         "date",
         F.explode(F.sequence(_bucket(lo_day, bucket_days), _bucket(hi_day, bucket_days))).alias("__b"),
@@ -80,7 +81,7 @@ def window_totals(
         & (daily["__vd"] >= F.date_sub(spans["date"], before))
         & (daily["__vd"] <= F.date_add(spans["date"], after))
     )
-    joined = spans.join(daily, cond)
+    joined = spans.hint("merge").join(daily, cond)
     return joined.groupBy("article", "date").agg(F.sum("__v").alias("total"))
 
 
@@ -104,4 +105,4 @@ def attach_pageviews(
     totals = window_totals(keys, views, before, after).select(
         F.col("article").alias("__article"), F.col("date").alias("__date"), F.col("total").cast("bigint").alias(out)
     )
-    return keyed.join(totals, ["__article", "__date"], "left").drop("__article", "__date")
+    return keyed.hint("merge").join(totals, ["__article", "__date"], "left").drop("__article", "__date")
