@@ -2,84 +2,78 @@
 
 The reference walks each page line by line with a small state machine
 (current day, stop at an end section, group header look-ahead, parent text
-for sub-items).  Here that state is carried by window functions over the
-lines of one page, all sharing ``partitionBy(page).orderBy(line_no)`` so
-Spark sorts once:
-
-* W6 ended   = max(is end header) over lines up to this one
-* W5 day     = last non-NULL header day up to this one (not reset by other headings)
-* W7 grouped = top bullet whose next *non-blank* line is a sub-item
-* W8 anchor  = last non-sub line up to this one; a sub-item under a grouped
-  anchor gets its text as parent (a blank line in between breaks the link)
-
-A page is one input row, so the window partition is bounded by the size of
-one page whatever the total data size.  The entry chain (X1-X14) then runs
-as plain column expressions on the emitted lines only.
+for sub-items).  Here a page stays one row and its text is cut where that
+state changes, so no line is shuffled or sorted and a task holds one page at
+a time, however many pages it reads:
+
+* W6 ended   = the text is cut at its first end header
+* W5 day     = it is split before each day header (not at other headings); what comes before the first has no day
+* W7 grouped = a section is split before each worded line that is no sub-item, so a piece is such a line and the
+  sub-items and blank lines after it; a top bullet is grouped if its piece holds a sub-item
+* W8 parent  = the text of a grouped bullet, for its sub-items up to the first blank line
+
+Lines are numbered before the cuts, as ``<number>:<line>``.  The entry chain
+(X1-X14) then runs as plain column expressions on the emitted lines only.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowtrace.functions import wikitext as X
-from knowtrace.functions.core import pystrip
-
-
-def _classified(pages: DataFrame, page_id: str, year: str, month: str, text: str) -> DataFrame:
-    # Hash-partition whole pages first: the per-line regex work then runs in
-    # parallel whatever the input layout (one small file is one task), the
-    # shuffle moves compact page texts rather than exploded lines, and the
-    # page window reuses this partitioning.
-    lines = pages.repartition(F.col(page_id)).select(
-        F.col(page_id).alias("page_id"),
-        F.col(year).alias("year"),
-        F.col(month).alias("month"),
-        F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"),
-    ).withColumn("line_no", (F.col("pos") + 1).cast("int"))
-    ln = F.col("line")
-    return lines.select(
-        "page_id",
-        "year",
-        "month",
-        "line_no",
-        "line",
-        X.is_end_section(ln).cast("int").alias("is_end"),
-        X.header_day(ln).alias("hday"),
-        X.is_top_bullet(ln).alias("top"),
-        X.is_sub_bullet(ln).alias("sub"),
-        (pystrip(ln) == "").alias("blank"),
-    ).withColumn("is_hdr", F.col("hday").isNotNull())
-
-
-def _line_state(cls: DataFrame, keep: list[str]) -> DataFrame:
-    """W5-W8 windows; keeps only the lines the reference parses."""
-    ln = F.col("line")
-    w = Window.partitionBy("page_id").orderBy("line_no")
-    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    st = cls.withColumn("ended", F.max("is_end").over(up) > 0).withColumn(
-        "day", F.last("hday", ignorenulls=True).over(up)
-    ).withColumn("worded_sub", F.when(~F.col("blank"), F.col("sub")))
-    # the next worded line, one step a line (a frame to the page's end would cost its square)
-    st = st.withColumn("next_sub", F.expr("lead(worded_sub, 1) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY line_no)"))
-    st = st.withColumn("grouped", F.col("top") & F.coalesce(F.col("next_sub"), F.lit(False)))
-    st = st.withColumn(
-        "anchor",
-        F.last(F.when(~F.col("sub"), F.struct(F.col("grouped").alias("g"), pystrip(ln).alias("t"))), ignorenulls=True).over(up),
-    )
-    emit = (
-        ~F.col("ended")
-        & F.col("day").isNotNull()
-        & ~F.col("is_hdr")
-        & ln.contains("[[")
-        & ((F.col("top") & ~F.col("grouped")) | F.col("sub"))
+from knowtrace.functions.core import PY_WS_CLASS, pystrip
+
+
+# A line's number, white space within a line, and the day and end headers of numbered lines (as ``X.RE_DAY``, ``X.RE_END``).
+_NO, _WS = r"[0-9]+:", r"[\s&&[^\n]]*"
+_DAY_HEADER = rf"{_NO}==+{_WS}([0-9]{{1,2}}){_WS}==+"
+_FROM_END = rf"(?iU)(?:^|\n){_NO}==+{_WS}(?:{'|'.join(X.END_SECTIONS)}){_WS}==+(?s:.*)"
+_BEFORE_DAY = rf"(?U)\n(?={_DAY_HEADER})"
+_BEFORE_WORDED = rf"\n(?!{_NO}(?:\*\*|{PY_WS_CLASS}*(?:\n|\z)))"
+
+
+def _emitted(pages: DataFrame, page_id: str, year: str, month: str, text: str) -> DataFrame:
+    """The lines the reference parses, page by page."""
+    # Pages are spread first: the per-line regex work then runs in parallel whatever
+    # the input layout (one small file is one task), and the shuffle moves page texts.
+    numbered = F.transform(F.split(F.col(text), "\n", -1), lambda ln, i: F.concat((i + 1).cast("string"), F.lit(":"), ln))
+    of_page = ["page_id", "year", "month"]
+    df = pages.repartition(F.col(page_id)).select(
+        F.col(page_id).alias("page_id"), F.col(year).alias("year"), F.col(month).alias("month"), F.array_join(numbered, "\n").alias("numbered")
     )
-    parent = F.when(F.col("sub") & F.col("anchor").getField("g"), F.col("anchor").getField("t"))
-    return st.where(emit).select(
-        "page_id", "year", "month", "line_no", "line", "day", parent.alias("parent_item"), F.col("sub").alias("is_sub"), *keep
+    df = df.withColumn("numbered", F.regexp_replace("numbered", _FROM_END, ""))
+    df = df.select(*of_page, F.explode(F.split("numbered", _BEFORE_DAY, -1)).alias("section"))
+    df = df.where(F.col("section").rlike(f"(?U)^{_DAY_HEADER}"))
+    df = df.withColumn("day", F.regexp_extract("section", f"(?U)^{_DAY_HEADER}", 1).cast("int"))
+    df = df.select(*of_page, "day", F.explode(F.split("section", _BEFORE_WORDED, -1)).alias("piece"))
+    df = df.where(F.col("piece").contains("[["))
+    head = F.substring_index("piece", "\n", 1)
+    # sub-items before the first blank line, which ends the group
+    linked = F.regexp_replace("piece", rf"\n{_NO}(?!\*\*)(?s:.*)", "")
+    df = df.select(
+        *of_page,
+        "day",
+        _after_number(head).alias("head"),
+        F.col("piece").rlike(rf"\n{_NO}\*\*").alias("has_sub"),
+        (F.length(linked) - F.length(F.replace(linked, F.lit("\n"), F.lit("")))).alias("linked"),
+        F.split("piece", "\n", -1).alias("lines"),
     )
+    df = df.select(*of_page, "day", X.is_top_bullet("head").alias("top"), "head", "has_sub", "linked", F.posexplode("lines").alias("pos", "numbered"))
+    df = df.select(
+        *of_page, "day", "top", "head", "has_sub", "linked", "pos",
+        F.substring_index("numbered", ":", 1).cast("int").alias("line_no"), _after_number(F.col("numbered")).alias("line"),
+    )
+    sub = X.is_sub_bullet("line")
+    parent = F.when(sub & F.col("top") & (F.col("pos") <= F.col("linked")), pystrip("head"))
+    emit = F.col("line").contains("[[") & F.when(F.col("pos") == 0, F.col("top") & ~F.col("has_sub")).otherwise(sub)
+    return df.where(emit).select(*of_page, "line_no", "line", "day", parent.alias("parent_item"), sub.alias("is_sub"))
+
+
+def _after_number(numbered: Column) -> Column:
+    return F.substring(numbered, F.instr(numbered, ":") + F.lit(1), F.length(numbered))
 
 
 def page_lines(pages: DataFrame, page_id: str = "page_id", year: str = "year", month: str = "month", text: str = "text") -> DataFrame:
@@ -87,10 +81,7 @@ def page_lines(pages: DataFrame, page_id: str = "page_id", year: str = "year", m
 
     Output: ``page_id, year, month, line_no (1-based), line, day, parent_item, is_sub``.
     """
-    return _line_state(_classified(pages, page_id, year, month, text), [])
-
-
-_ENTRY_COLS = ["__entry", "__foreign", "__link_ok", "__title", "__name", "__content", "__desc"]
+    return _emitted(pages, page_id, year, month, text)
 
 
 def _staged(df: DataFrame, steps: list[tuple[str, object]]) -> DataFrame:
@@ -106,15 +97,14 @@ def _staged(df: DataFrame, steps: list[tuple[str, object]]) -> DataFrame:
 
 
 def _entry_columns(lines: DataFrame, fix_circa: bool = False) -> DataFrame:
-    """X1-X12 on every line that holds a link, staged over projections so each
-    regex runs once per line.  Runs *before* the page window: the window is a
-    barrier for filter push-down, so later filters on the outcome read these
-    materialised columns instead of re-inlining the chain."""
-    has = F.col("line").contains("[[")
+    """X1-X12 on the emitted lines, staged over projections so each regex runs
+    once per line.  The rows leave through a generator: it is a barrier for
+    filter push-down, so later filters on the outcome read these columns
+    instead of re-inlining the chain."""
     df = _staged(
         lines,
         [
-            ("__e1", F.when(has, X.strip_bullets("line"))),
+            ("__e1", X.strip_bullets("line")),
             ("__e2", X.strip_comments("__e1")),
             ("__e3", X.strip_ext_links("__e2")),
             ("__entry", X.norm_circa("__e3")),
@@ -137,7 +127,7 @@ def _entry_columns(lines: DataFrame, fix_circa: bool = False) -> DataFrame:
             ("__desc", X.apply_cut("__pre", "__cut")),
         ],
     )
-    return df.select(
+    row = F.struct(
         *lines.columns,
         "__entry",
         "__foreign",
@@ -147,6 +137,7 @@ def _entry_columns(lines: DataFrame, fix_circa: bool = False) -> DataFrame:
         "__content",
         "__desc",
     )
+    return df.select(F.inline(F.array(row)))
 
 
 def _finish(emitted: DataFrame) -> DataFrame:
@@ -195,8 +186,7 @@ def parse_all(
 
     ``fix_circa`` reads ``{{circa}} 73,`` as an age (D4); by default it becomes the description, as in the reference.
     """
-    cls = _entry_columns(_classified(pages, page_id, year, month, text), fix_circa)
-    return _finish(_line_state(cls, _ENTRY_COLS))
+    return _finish(_entry_columns(_emitted(pages, page_id, year, month, text), fix_circa))
 
 
 ENTITY_COLS = ["name", "article_title", "death_date", "description", "page_id", "line_no", "parent_item", "warnings"]

@@ -200,3 +200,32 @@ def test_rejects_by_page(spark):
     pages = _pages(spark, {"p": "==1==\n" + "\n".join([LINES["ill"], LINES["file"], LINES["plain"]]), "q": "==2==\n" + LINES["empty"], "r": "==3==\n" + LINES["plain"]})
     _, rejects = W.parse_pages(pages)
     assert {r.page_id: r.errors for r in W.reject_summary_by_page(rejects).collect()} == {"p": 2, "q": 1}  # the foreign one counts
+
+
+def test_no_line_is_sorted(spark):
+    """A window over the lines sorted all that a task read: its memory grew with the pages, not with a page."""
+    pages = _pages(spark, {"p": "==1==\n" + "\n".join(LINES.values())})
+    for df in (W.page_lines(pages), *W.parse_pages(pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Window" not in plan, plan
+
+
+ODD_LINES = {  # lines between a group header and its sub-item, and whether the header stays a group
+    "": False, " ": False, "\r": False, "\u3000": False, "\x1c": False, "12:": None, "text": None, "==Foo==": None, "==٣==": None, "==123==": None, "** plain": True,
+}
+
+
+def test_lines_between_a_header_and_its_item(spark):
+    pages = {repr(x): f"==1==\n* [[H]] group\n{x}\n** [[B C]], 40, p q\n==\tNOTES==\n* [[Z]] no" for x in ODD_LINES}
+    got = {k: set() for k in pages}
+    for r in W.page_lines(_pages(spark, pages)).collect():
+        got[r.page_id].add((r.line_no, r.day, r.parent_item, r.is_sub))
+    for x, group in ODD_LINES.items():
+        head = {(2, 1, None, False)} if group is None else set()  # a header without sub-items is an entry itself
+        assert got[repr(x)] == {*head, (4, 1, "* [[H]] group" if group else None, True)}, x
+
+
+def test_a_page_with_the_id_of_another(spark):
+    rows = [("p", 2024, 11, "==1==\n* [[A B]], 40, x y"), ("p", 2024, 11, "==2==\ntext\n* [[C D]], 40, x y"), (None, 2024, 11, None)]
+    pages = spark.createDataFrame(rows, "page_id string, year int, month int, text string")
+    assert sorted((r.line_no, r.day) for r in W.page_lines(pages).collect()) == [(2, 1), (3, 2)]
