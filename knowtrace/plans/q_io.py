@@ -15,7 +15,7 @@ from knowtrace.plans.oracle import MONTHLY, RESULTS, with_
 from knowtrace.plans.q_requests import PRIORITY_MODELS
 from knowtrace.plans.q_wikitext import ENTITIES_SQL
 from knowtrace.plans.render import SQL_SOURCES, render_pages
-from knowtrace.session import work_path
+from knowtrace.session import cut_lineage, work_path
 from knowtrace.sources import csv_io
 
 RESUME_EXISTING_BEFORE = "1998-01-01"
@@ -278,7 +278,7 @@ FROM months LEFT JOIN totals ON strftime(death_date, '%Y-%m') = month_key GROUP
 def month_ledger(spark, sf_dir):
     """K4 with a ledger: a run up to 1997, one that ends before it commits, and one over the whole range."""
     path = work_path(spark, "month_ledger")
-    pages, views = render_pages(spark, sf_dir), B.person_views(spark, sf_dir)
+    pages, views = cut_lineage(render_pages(spark, sf_dir)), B.person_views(spark, sf_dir)  # rendered once for both runs
     first = ledger.collect_months(pages, views, path, PENDING_START, "1997-12-31")
     ledger.write_rows(ledger.read_months(spark, path, "1996-01-01", "1996-12-31"), path, "uncommitted")
     ledger.collect_months(pages, views, path, PENDING_START, PENDING_END)
