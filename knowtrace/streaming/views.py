@@ -47,7 +47,7 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def store_views(views: DataFrame, store: str, epoch: int = 0) -> None:
     """Write normalised daily views (:func:`pageviews.daily_views`) as one epoch; again, if it was there."""
     rows = views.select("article", "day", "views", F.date_format("day", "yyyy-MM").alias("month"))
-    rows.repartition("month").sortWithinPartitions("month", "day").write.mode("overwrite").partitionBy("month").parquet(f"{store}/epoch={epoch}")
+    rows.hint("rebalance", "month").sortWithinPartitions("month", "day").write.mode("overwrite").partitionBy("month").parquet(f"{store}/epoch={epoch}")
 
 
 def last_epoch(spark: SparkSession, store: str) -> int:
@@ -123,7 +123,7 @@ def reopened(spark: SparkSession, store: str, out_dir: str, epoch: int) -> DataF
     rows = rows.join(fixed, ["article_title", "death_date"], "left")
     held = F.greatest(F.col("views_epoch"), F.coalesce("total_epoch", F.lit(-1)))
     keys = rows.select("article_title", "death_date", held.alias("held")).groupBy("article_title", "death_date").agg(F.min("held").alias("held"))
-    late = stored_views(spark, store, epoch, days, after=0).select(F.col("article").alias("key"), "day", F.col("epoch").alias("late_epoch")).distinct()
+    late = stored_views(spark, store, epoch, days, after=0).select(F.col("article").alias("key"), "day", F.col("epoch").alias("late_epoch"))
     touched = (F.col("key") == pageviews.title_key("article_title")) & F.col("day").between(F.date_sub("death_date", BEFORE), F.date_add("death_date", AFTER))
     return keys.join(late, touched & (F.col("late_epoch") > F.col("held")), "left_semi").select("article_title", "death_date")
 
@@ -141,7 +141,7 @@ def stream_views(spark: SparkSession, in_dir: str, store: str, out_dir: str, che
         if keys is not None:
             # found once: the bounds, the windows and the sums all read them
             fixed = totals(stored(keys, "reopened"), store, epoch).withColumn("month", F.date_format("death_date", "yyyy-MM"))
-            fixed.write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/corrections/epoch={epoch}")
+            fixed.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/corrections/epoch={epoch}")
 
     query = reader.load(in_dir).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
