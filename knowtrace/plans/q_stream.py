@@ -15,7 +15,7 @@ from knowtrace.plans.catalog import register
 from knowtrace.plans.oracle import MONTHLY, RESULTS, with_
 from knowtrace.plans.q_wikitext import ENTITIES_SQL
 from knowtrace.plans.render import SQL_SOURCES, render_pages
-from knowtrace.session import cut_lineage, work_path
+from knowtrace.session import cut_lineage, stored, work_path
 from knowtrace.streaming import views as late
 from knowtrace.streaming.accuracy import stream_accuracy as run_accuracy
 from knowtrace.streaming.ingest import stream_ingest as run_ingest
@@ -51,9 +51,10 @@ def stream_ingest(spark, sf_dir):
     of the stream picks up only the files it has not seen."""
     base = work_path(spark, "stream_ingest")
     pages = cut_lineage(render_pages(spark, sf_dir))  # rendered once, split into two drops
-    views = B.person_views(spark, sf_dir)
-    early = pages.where(F.col("year") <= 1997)
-    late = pages.where(F.col("year") > 1997)
+    # views and page files lie in order of time, so a micro-batch reads the views around its months and not all
+    views = stored(B.person_views(spark, sf_dir).repartitionByRange("day").sortWithinPartitions("day"), "stream_ingest_views")
+    early = pages.where(F.col("year") <= 1997).repartitionByRange("year", "month")
+    late = pages.where(F.col("year") > 1997).repartitionByRange("year", "month")
     early.write.mode("append").parquet(f"{base}/in")
     run_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", views, max_files_per_trigger=4)
     late.write.mode("append").parquet(f"{base}/in")
@@ -85,6 +86,6 @@ def late_views(spark, sf_dir):
     late.store_views(daily_views(lines.where(odd)), store)
     render_pages(spark, sf_dir).write.parquet(f"{base}/in")
     run_ingest(spark, f"{base}/in", out, f"{base}/checkpoint", store)
-    daily_views(lines.where(~odd)).coalesce(1).write.parquet(f"{base}/late")
+    daily_views(lines.where(~odd)).write.parquet(f"{base}/late")
     late.stream_views(spark, f"{base}/late", store, out, f"{base}/late-checkpoint")
     return late.read_ingested(spark, out).select("name", "death_date", "description", "pageviews")

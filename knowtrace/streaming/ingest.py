@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from knowtrace.functions.core import month_key
 from knowtrace.operators import pageviews, select
 from knowtrace.operators import wikitext as W
-from knowtrace.streaming.views import last_epoch, totals
+from knowtrace.streaming.views import date_bounds, last_epoch, totals
 
 PAGES_SCHEMA = T.StructType(
     [
@@ -63,15 +63,19 @@ def stream_ingest(
                 every = totals(ent, views, last_epoch(spark, views)).withColumn("month", month_key("death_date")).persist()
                 columns = ["name", "article_title", "death_date", "description", "pageviews", "views_epoch", "month"]
                 lost = every.where(F.col("pageviews").isNull()).select(*columns)
-                lost.write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/missing/epoch={epoch_id}")
+                lost.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/missing/epoch={epoch_id}")
                 out = select.drop_missing_article(every).select(*columns)
             else:
                 every = None
-                att = select.drop_missing_article(pageviews.attach_pageviews(ent, views))
+                # the days as literals, so that a table laid out by day is read only where this batch reaches
+                days = date_bounds(ent)
+                near = views if days is None else views.where(F.col("day").between(*map(F.lit, days)))
+                att = select.drop_missing_article(pageviews.attach_pageviews(ent, near))
                 out = att.select("name", "article_title", "death_date", "description", "pageviews").withColumn("month", month_key("death_date"))
             # foreachBatch is at-least-once: a replayed epoch rewrites its own folder
             # (overwrite) instead of appending twice, so retries leave no duplicates.
-            out.write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/entities/epoch={epoch_id}")
+            # A month's rows come together first, else every task writes a file for every month.
+            out.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/entities/epoch={epoch_id}")
             rej.write.mode("overwrite").parquet(f"{out_dir}/rejects/epoch={epoch_id}")
             if every is not None:
                 every.unpersist()
