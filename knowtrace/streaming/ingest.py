@@ -15,6 +15,8 @@ without views are kept under ``missing``, so that late views can correct both (`
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 from knowtrace.functions.core import month_key
 from knowtrace.operators import pageviews, select
 from knowtrace.operators import wikitext as W
-from knowtrace.streaming.views import date_bounds, last_epoch, totals
+from knowtrace.streaming.views import AFTER, BEFORE, last_epoch, totals
 
 PAGES_SCHEMA = T.StructType(
     [
@@ -35,6 +37,15 @@ PAGES_SCHEMA = T.StructType(
 )
 
 
+def month_bounds(pages: DataFrame) -> tuple[dt.date, dt.date] | None:
+    """The days that windows of entities on these pages can reach, from the pages' months alone (nothing is parsed)."""
+    month = F.col("year") * 12 + F.col("month") - 1
+    lo, hi = pages.agg(F.min(month), F.max(month)).first()
+    if lo is None:
+        return None
+    return dt.date(lo // 12, lo % 12 + 1, 1) - dt.timedelta(days=BEFORE), dt.date((hi + 1) // 12, (hi + 1) % 12 + 1, 1) + dt.timedelta(days=AFTER - 1)
+
+
 def stream_ingest(
     spark: SparkSession,
     in_dir: str,
@@ -68,7 +79,7 @@ def stream_ingest(
             else:
                 every = None
                 # the days as literals, so that a table laid out by day is read only where this batch reaches
-                days = date_bounds(ent)
+                days = month_bounds(batch)
                 near = views if days is None else views.where(F.col("day").between(*map(F.lit, days)))
                 att = select.drop_missing_article(pageviews.attach_pageviews(ent, near))
                 out = att.select("name", "article_title", "death_date", "description", "pageviews").withColumn("month", month_key("death_date"))
